@@ -129,4 +129,4 @@ def ddl_type(df: DataFrame, name: str) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, for choosing numbers of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -139,12 +139,16 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str]
     centred = profiles - middle
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
     common.short_batches(docs.sparkSession)
+    cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    if text_col not in keep:
+        cols.append(F.col(text_col).alias("text"))
+    place = keep.index(text_col) if text_col in keep else len(keep)
     schema = pa.schema([(f"k{i}", common.arrow_type(docs, c)) for i, c in enumerate(keep)] + [("lang_pred", pa.string()), ("score", pa.float64()), ("fit", pa.float64())])
     ddl = ", ".join([f"k{i} {common.ddl_type(docs, c)}" for i, c in enumerate(keep)] + ["lang_pred string, score double, fit double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, some = bundled(batch.column("text").to_pylist())
+            vectors, some = bundled(batch.column(place).to_pylist())
             if names:
                 apart = vectors - middle
                 apart /= np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
@@ -158,7 +162,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str]
             own = [batch.column(f"k{i}") for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, np.clip(fit, 0, 1), 0.0))], schema=schema)
 
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    rows = docs.select(*cols).mapInArrow(run, ddl)
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "fit")
 
 

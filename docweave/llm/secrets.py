@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,3 +138,16 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = {"doc_id": common.arrow_type(own, "doc_id")} | {f"n_{k}": pa.int64() for k in KINDS} | {c: pa.string() for c in ("base_sha256", "spans", "redacted")}
     return common.per_row(own, make, ["doc_id", "text"], schema, f"doc_id {common.ddl_type(own, 'doc_id')}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+
+
+def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with every span in the text replaced by its kind; null texts stay null."""
+    table, threshold = model.table, model.threshold
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        m = Model(table, threshold)
+        return texts.map(lambda t: None if t is None else replaced(t, [s for part in find(t, m) for s in part]))
+
+    common.short_batches(docs.sparkSession)
+    return docs.withColumn(text_col, clean(F.col(text_col)))
