@@ -6,6 +6,11 @@ each block of documents and keeps every document as those numbers. The words, no
 their hash; each distinct word is segmented once, and its ids go back to the blocks that asked for it, where they are
 joined by position. A word that every block holds is one entry a block, so frequent words make no hot key.
 
+A block's name is the hash of its list of words. Where the input is a scan, the texts are read twice, once for the words
+and once for the documents' numbers, which is less than writing the numbers out and reading them again; where it isn't
+(its plan holds an exchange, so that rows may come in another order when it is computed again), both are written first.
+A block whose words didn't arrive raises an error.
+
 Null texts count as empty; empty texts give only the end id; repeated rows and repeated or null document ids are
 encoded each for itself; a text of any length is encoded whole (one longer than `block_chars` is a block of its own);
 an empty table gives an empty result. Columns other than the id and the text are ignored, whatever their names.
@@ -20,6 +25,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +84,34 @@ def unpack_words(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def pack_places(at: np.ndarray) -> bytes:
+    """Ascending numbers, as their steps."""
+    return pack(np.diff(at, prepend=0).astype("<u4"))
+
+
+def unpack_places(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, "<u4"), dtype=np.int64)
+
+
+def pack_seqs(seqs: list[list[int]], fresh: int) -> bytes:
+    """Word numbers of documents. `fresh` numbers were given before; a number given just here is written as 0, others plus 1, in planes of bytes."""
+    flat = np.array([x for s in seqs for x in s], dtype=np.int64)
+    top = np.maximum.accumulate(np.concatenate([[fresh - 1], flat]))
+    coded = np.where(flat > top[:-1], 0, flat + 1).astype("<u4")
+    head = np.array([len(seqs), fresh, *map(len, seqs)], dtype="<u4").tobytes()
+    return zstandard.compress(head + coded.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_seqs(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n, fresh = np.frombuffer(raw, dtype="<u4", count=2).tolist()
+    lens = np.frombuffer(raw, dtype="<u4", offset=8, count=n).astype(np.int64)
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=8 + 4 * n).reshape(4, -1)
+    coded = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    flat = np.where(coded == 0, fresh - 1 + np.cumsum(coded == 0), coded - 1)
+    return np.split(flat, np.cumsum(lens)[:-1])
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 24_000_000) -> DataFrame:
     """A row a document: doc_id, ids array<int> (the end id last), decoded string (the library's decode of those ids)."""
     with open(model_path, "rb") as f:
@@ -86,28 +120,52 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     width = "<u2" if processor(model).get_piece_size() <= 1 << 16 else "<u4"
     common.short_batches(docs.sparkSession)
     id_arrow, id_ddl = common.arrow_type(docs, id_col), common.ddl_type(docs, id_col)
-    row_schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", id_arrow), ("a", pa.binary()), ("b", pa.binary())])
-    row_ddl = f"block long, kind int, doc_id {id_ddl}, a binary, b binary"
-
-    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            numbers = common.task_rows()
-            block, size, known = next(numbers), 0, {}
-            for doc_id, text in common.rows_of(batches, "doc_id", "text"):
-                if size and size + len(text or "") > block_chars:
-                    yield block, 0, None, pack_words([w.encode() for w in known]), None
-                    block, size, known = next(numbers), 0, {}
-                seq = [known.setdefault(w, len(known)) for w in chunks(text or "")]
-                size += len(text or "")
-                yield block, 1, doc_id, pack(np.array(seq, dtype="<u4")), None
-            if known:
-                yield block, 0, None, pack_words([w.encode() for w in known]), None
-
-        return common.in_batches(rows(), row_schema)
-
-    blocks = common.written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(to_blocks, row_ddl), "blocks")
-    words = blocks.where("kind = 0").select("block", "a")
-    buckets = min(4096, max(16, words.count()))
+    row_schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(id_arrow)), ("a", pa.binary()), ("b", pa.binary())])
+    row_ddl = f"block long, kind int, doc_ids array<{id_ddl}>, a binary, b binary"
+
+    def to_blocks(want: tuple[int, ...]):
+        """Blocks' rows of the kinds wanted: 0, the words; 1, documents as numbers."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                known, held, ids, seqs, size, fresh = {}, [], [], [], 0, 0
+
+                def ended() -> Iterator[tuple]:
+                    words = [w.encode() for w in known]
+                    name = xxhash.xxh3_64_intdigest(b"\0".join(words)) - (1 << 63)
+                    if 0 in want and words:
+                        yield name, 0, None, pack_words(words), None
+                    for x, blob in held:
+                        yield name, 1, x, blob, None
+
+                for doc_id, text in common.rows_of(batches, "doc_id", "text"):
+                    full = size and size + len(text or "") > block_chars
+                    if seqs and (full or len(seqs) == 64):
+                        held.append((ids, pack_seqs(seqs, fresh)))
+                        ids, seqs, fresh = [], [], len(known)
+                    if full:
+                        yield from ended()
+                        known, held, size, fresh = {}, [], 0, 0
+                    found = [known.setdefault(w, len(known)) for w in chunks(text or "")]
+                    size += len(text or "")
+                    if 1 in want:
+                        ids.append(doc_id)
+                        seqs.append(found)
+                if seqs:
+                    held.append((ids, pack_seqs(seqs, fresh)))
+                yield from ended()
+
+            return common.in_batches(rows(), row_schema)
+
+        return run
+
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if "Exchange" in given._jdf.queryExecution().executedPlan().toString():
+        both = common.written(given.mapInArrow(to_blocks((0, 1)), row_ddl), "blocks")
+        words, numbered = both.where("kind = 0").select("block", "a"), both.where("kind = 1")
+    else:
+        words, numbered = (given.mapInArrow(to_blocks((k,)), row_ddl) for k in (0, 1))
+    buckets = min(4096, max(16, common.estimated_bytes(docs) >> 24))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.binary())])
@@ -118,7 +176,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 to = np.array([crc32(w) % buckets for w in known])
                 order = np.argsort(to, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    yield int(to[at[0]]), block, pack(at.astype("<u4")), pack_words([known[i] for i in at])
+                    yield int(to[at[0]]), block, pack_places(at), pack_words([known[i] for i in at])
 
         return common.in_batches(rows(), schema)
 
@@ -137,7 +195,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
         return common.in_batches(rows(), row_schema)
 
-    dealt = words.mapInArrow(deal, "bucket int, block long, at binary, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    dealt = words.select("block", "a").mapInArrow(deal, "bucket int, block long, at binary, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     asked = dealt.mapInArrow(segment_all, row_ddl)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,24 +203,26 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
         def rows() -> Iterator[tuple]:
             sp, last, parts, flat = processor(model), None, [], None
-            for block, kind, doc_id, a, b in common.rows_of(batches, "block", "kind", "doc_id", "a", "b"):
+            for block, kind, doc_ids, a, b in common.rows_of(batches, "block", "kind", "doc_ids", "a", "b"):
                 if block != last:
                     last, parts, flat = block, [], None
                 if kind == 0:
-                    parts.append((unpack(a, "<u4"), unpack_words(b)))
+                    parts.append((unpack_places(a), unpack_words(b)))
                     continue
                 if flat is None:
+                    if not parts and any(map(len, unpack_seqs(a))):
+                        raise ValueError("the input's rows came in another order when read again")
                     flat, starts, lens = by_position(parts, width)
                     parts = []
-                seq = unpack(a, "<u4")
-                n = lens[seq]
-                at = np.repeat(starts[seq] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(seq) else n, n) + np.arange(n.sum())
-                ids = [*flat[at].tolist(), sp.eos_id()]
-                yield doc_id, ids, sp.decode(ids)
+                for doc_id, seq in zip(doc_ids, unpack_seqs(a), strict=True):
+                    n = lens[seq]
+                    at = np.repeat(starts[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    found = [*flat[at].tolist(), sp.eos_id()]
+                    yield doc_id, found, sp.decode(found)
 
         return common.in_batches(rows(), schema, 128)
 
-    together = blocks.where("kind = 1").unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    together = numbered.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
     return together.mapInArrow(join_up, f"doc_id {id_ddl}, ids array<int>, decoded string")
 
 
