@@ -3,13 +3,13 @@
 The base kinds are fixed patterns; their matches are the protected entities. How much a term tells about an entity is
 their pointwise mutual information, estimated from documents: log2(N c(t, e) / (c(t) c(e))), where c(t, e) counts the
 documents in which the term stands within `window` words of the entity. An entity's information content is
-log2(N / c(e)). A term whose information is at least `threshold` of that content, over `support` documents or more,
-discloses the entity: wherever the term stands it is a span of kind `term`, and sanitise() generalises it.
+log2(N / c(e)). A term whose information is at least `threshold` of that content, in `support` different contexts or
+more (the words around the entity; copies of a passage are one context), discloses the entity: wherever the term
+stands it is a span of kind `term`, and sanitise() generalises it.
 
-Three passes, none of which moves a text: entities and the terms around them; the places and document counts of those
-terms over the whole corpus, let through by a Bloom filter of fixed size and settled by an exact join; and the join of
-a document's term places to its base spans. A term that much of the corpus holds is counted before it is shuffled, and
-its places are looked at only where it discloses.
+Three passes, none of which moves a text: entities and the terms around them; the document counts of those terms over
+the whole corpus, summed in each task before they are dealt; and base spans together with the places of the terms that
+disclose. Terms are let through by Bloom filters of fixed size and settled by exact joins.
 
 Null texts count as empty. Repeated rows are documents of their own (told apart by a row number given when the texts
 are read), so are repeated or null ids. Texts are scanned whole. An empty table gives an empty result. Other columns
@@ -135,11 +135,18 @@ def bloom(terms: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def disclosing(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: float, support: int) -> DataFrame:
-    """(term): the terms that disclose some entity. pairs(entity, term, both), counts(term, c)."""
-    own = pairs.where(F.col("term") != "")
-    ent = pairs.where(F.col("term") == "").select("entity", F.col("both").alias("c_e"))
-    told = own.where(F.col("both") >= support).join(counts, "term").join(ent, "entity")
+def passed(bits: np.ndarray, known: dict[str, bool], term: str) -> bool:
+    if (ok := known.get(term)) is None:
+        if len(known) > 500_000:
+            known.clear()
+        ok = known[term] = all(bits[p >> 3] >> (p & 7) & 1 for p in bloom_places(term))
+    return ok
+
+
+def disclosing(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """(term): the terms that disclose some entity. pairs(entity, term, both), counts(term, c); a pair with an empty term counts its entity."""
+    ent = pairs.where("term = ''").select("entity", F.col("both").alias("c_e"))
+    told = pairs.where("term <> ''").join(counts, "term").join(ent, "entity")
     content = F.log2(F.lit(float(max(n_docs, 1))) / F.col("c_e"))
     pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("both") / (F.col("c") * F.col("c_e")))
     return told.where((content > 0) & (pmi >= threshold * content)).select("term").distinct()
@@ -153,56 +160,70 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", id_arrow), ("entity", pa.string()), ("term", pa.string())]
+        fields = [("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]
 
         def rows() -> Iterator[tuple]:
-            for doc_id, text in common.rows_of(batches, "doc_id", "text"):
+            for (text,) in common.rows_of(batches, "text"):
                 if text and (spans := base_spans(text)):
-                    for e in {entity(k, text[a:b]) for k, a, b in spans}:
-                        yield doc_id, e, ""  # the entity's own count
+                    told: dict[str, set[str]] = {entity(k, text[a:b]): set() for k, a, b in spans}
                     for e, t in around(text, spans, window):
-                        yield doc_id, e, t
+                        told[e].add(t)
+                    for e, terms in told.items():
+                        context = xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - (1 << 63)
+                        for t in ("", *terms):  # a document names a pair once, so counting rows counts documents
+                            yield e, t, context
 
         return common.in_batches(rows(), pa.schema(fields), 4096)
 
-    # a document names a pair once, so counting rows counts documents
-    pairs = common.written(own.mapInArrow(first, f"doc_id {id_ddl}, entity string, term string").groupBy("entity", "term").agg(F.count("*").alias("both")).where((F.col("both") >= support) | (F.col("term") == "")), "pairs")
+    pairs = own.mapInArrow(first, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
+    pairs = common.written(pairs.where((F.col("contexts") >= support) | (F.col("term") == "")), "pairs")
     candidates = pairs.where("term <> ''").select("term").distinct()
-    passes = bloom(candidates)
-    shared = spark.sparkContext.broadcast(passes)
+    shared = spark.sparkContext.broadcast(bloom(candidates))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            bits, known, seen = np.frombuffer(shared.value, dtype=np.uint8), {}, {}
+            for (text,) in common.rows_of(batches, "text"):
+                for term in {m.lower() for m in TERM.findall(text or "")}:
+                    if passed(bits, known, term):
+                        seen[term] = seen.get(term, 0) + 1
+                if len(seen) > 500_000:
+                    yield from seen.items()
+                    seen.clear()
+            yield from seen.items()
+
+        return common.in_batches(rows(), pa.schema([("term", pa.string()), ("c", pa.int64())]), 8192)
+
+    told = spark.createDataFrame([], "term string")
+    if candidates.limit(1).count():
+        counts = own.mapInArrow(count, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
+        told = common.written(disclosing(pairs, counts.join(candidates, "term", "left_semi"), own.count(), threshold), "told")
+    telling = spark.sparkContext.broadcast(bloom(told))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("row_id", pa.int64()), ("doc_id", id_arrow), ("term", pa.string()), ("places", pa.string())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string())]
 
         def rows() -> Iterator[tuple]:
-            numbers, bits = common.task_rows(), np.frombuffer(shared.value, dtype=np.uint8)
-            empty = not bits.any()
-            known: dict[str, bool] = {}
+            numbers, bits, known = common.task_rows(), np.frombuffer(telling.value, dtype=np.uint8), {}
+            some = bool(bits.any())
             for doc_id, text in common.rows_of(batches, "doc_id", "text"):
                 text = text or ""
-                row_id, spans, n = next(numbers), base_spans(text), (0,) * len(KINDS)
+                row_id, spans = next(numbers), base_spans(text)
                 yield row_id, doc_id, None, joined(spans, KINDS), *(sum(s[0] == k for s in spans) for k in KINDS), digest(spans, KINDS)
-                if empty:
-                    continue
-                places: dict[str, list[str]] = {}
-                for m in TERM.finditer(text):
-                    term = m[0].lower()
-                    if (ok := known.get(term)) is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        ok = known[term] = all(bits[p >> 3] >> (p & 7) & 1 for p in bloom_places(term))
-                    if ok:
-                        places.setdefault(term, []).append(f"term:{m.start()}:{m.end()}")
-                for term, found in places.items():
-                    yield row_id, doc_id, term, ",".join(found), *n, ""
+                if some and any(passed(bits, known, t) for t in {m.lower() for m in TERM.findall(text)}):
+                    places: dict[str, list[str]] = {}
+                    for m in TERM.finditer(text):
+                        if passed(bits, known, m[0].lower()):
+                            places.setdefault(m[0].lower(), []).append(f"term:{m.start()}:{m.end()}")
+                    for term, found in places.items():
+                        yield row_id, doc_id, term, ",".join(found), *(0,) * len(KINDS), ""
 
         return common.in_batches(rows(), pa.schema(fields))
 
     ddl = f"row_id long, doc_id {id_ddl}, term string, places string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string"
     read = common.written(own.mapInArrow(second, ddl), "read")
     bases, hits = read.where("term is null"), read.where("term is not null")
-    counts = hits.groupBy("term").agg(F.count("*").alias("c"))
-    told = disclosing(pairs, counts, bases.count(), threshold, support)
     more = hits.select("row_id", "term", "places").join(told, "term", "left_semi").groupBy("row_id").agg(F.collect_list("places").alias("more"))
     kinds = [*KINDS, "term"]
 
