@@ -28,3 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return _oracles
+
+
+from . import linkage, pages  # noqa: E402, F401  they register their queries
