@@ -35,29 +35,29 @@ class Space:
         self.low = None
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.vectors = np.zeros((1024, DIM), dtype=np.float32)
+        self.vectors = np.zeros((1024, DIM), dtype=np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
-            self.letters[code] = (np.random.Generator(np.random.PCG64(code)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.float32)
+            self.letters[code] = (np.random.Generator(np.random.PCG64(code)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1)
         return self.letters[code]
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Vectors of n-grams, given as 21 bits a code point."""
         if len(self.rows) + len(ids) > MOST_GRAMS:
-            self.rows, self.vectors = {}, np.zeros((1024, DIM), dtype=np.float32)
+            self.rows, self.vectors = {}, np.zeros((1024, DIM), dtype=np.int8)
         at = np.empty(len(ids), dtype=np.int64)
         for i, g in enumerate(ids.tolist()):
             if (row := self.rows.get(g)) is None:
                 row = self.rows[g] = len(self.rows)
                 if row >= len(self.vectors):
                     self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                v = np.ones(DIM, dtype=np.float32)
+                v = np.ones(DIM, dtype=np.int8)
                 for place in range(GRAM):
                     v *= np.roll(self.letter(g >> 21 * place & 0x1FFFFF), place)
                 self.vectors[row] = v
             at[i] = row
-        return self.vectors[at]
+        return self.vectors[at].astype(np.float32)
 
 
 _space = Space()
