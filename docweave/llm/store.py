@@ -1,7 +1,7 @@
 """A content-addressed store of token-id streams.
 
 A gear-style rolling hash over 16 ids cuts each document's ids into chunks that depend on content only, so copies share
-chunks wherever they start. A chunk's name is a 128-bit BLAKE2b of its ids; packs of chunks are dealt by name and each
+chunks wherever they start. A chunk's name is a 128-bit BLAKE2b of its ids' bytes; packs of chunks are dealt by name and each
 distinct chunk is written once. The file format is three Parquet tables under one folder:
 
   chunks/    bucket, names (16 bytes each), lens (ids a chunk, <u4), data (zstd of the ids, <u2 or <u4 as in manifest)
@@ -20,9 +20,11 @@ and the text are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -36,55 +38,98 @@ from . import common
 from .pieces import pack, unpack
 
 LEAST, MEAN_BITS, MOST, NAME = 64, 8, 2048, 16
-_tokenizers: dict[int, tuple] = {}
-_PLAIN_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?]\Z")
+_tokenizers: dict[tuple, tuple] = {}
+# The tokenizer's own splitting pattern, and what its classes hold of Latin-1 in lower case.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 #: Words that a Python worker remembers between tasks; beyond it the memory starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 800_000
 
 
-def word_ids(spec: bytes):
-    """A function from a text to the bytes (<u4) of its ids.
+def splits_as_known(spec: bytes) -> bool:
+    """Whether the tokenizer composes, lowers and splits texts as SPLIT says."""
+    d = json.loads(spec)
+    steps = [(n["type"], n.get("content")) for n in (d.get("normalizer") or {}).get("normalizers", [])]
+    first = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    last = ((d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+    level = last.get("type"), last.get("add_prefix_space"), last.get("use_regex")
+    return steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and first.get("pattern", {}).get("Regex") == SPLIT and level == ("ByteLevel", False, False)
+
+
+def word_ids(spec: bytes, width: str):
+    """A function from texts to the bytes (of the given width) of their ids.
 
     White space never joins the words on its sides under this kind of tokenizer (checked in check_spec), so each
-    distinct word is encoded by the library once and remembered.
+    distinct word is encoded by the library once and remembered. A text of Latin-1 characters, which composition leaves
+    alone and which holds no special token, is split into the tokenizer's own parts in lower case, so that fewer
+    distinct ones are left; these parts need only the library's model, without its normaliser.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = crc32(spec)
+    key = crc32(spec), width
     if key not in _tokenizers:
-        _tokenizers[key] = (Tokenizer.from_str(spec.decode()), {})
-    tok, known = _tokenizers[key]
-
-    def by_library(words: list[str]) -> None:
+        tok = Tokenizer.from_str(spec.decode())
+        _tokenizers[key] = (tok, {}, splits_as_known(spec), [t.content for t in tok.get_added_tokens_decoder().values()])
+    tok, known, fast, special = _tokenizers[key]
+    of_model, code = tok.model.tokenize, {2: "H", 4: "I"}[np.dtype(width).itemsize]
+    letter_of_byte = {i: c for i, c in enumerate(byte_letters()) if i != 32}
+
+    def learn_parts(parts: list[str]) -> None:
+        """Parts go to the library's model in the letters that stand for their bytes."""
+        if not parts:
+            return
+        for p, shown in zip(parts, " ".join(parts).encode().decode("latin-1").translate(letter_of_byte).split(" "), strict=True):
+            known[p] = array(code, [t.id for t in of_model(shown)]).tobytes()
+
+    def learn_words(words: list[str]) -> None:
         for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > MOST_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            # a stop after a letter is a word of its own to the tokenizer, and letters count as lower case
-            split = {w: (w[:-1].lower() if w[:-1].isalpha() and w.isascii() else w[:-1], w[-1]) for w in new if _PLAIN_END.search(w)}
-            split |= {w: (w.lower(), "") for w in new if w.isascii() and w.isalpha() and not w.islower()}
-            by_library(list(dict.fromkeys(x for w in new for x in split.get(w, (w,)) if x and x not in known)))
-            for w, (a, b) in split.items():
-                known[w] = known[a] + (known[b] if b else b"")
-        return b"".join([known[w] for w in words])
+            known[w] = array(code, e.ids).tobytes()
+
+    def parts(text: str) -> list[str] | None:
+        if not fast or any(x in text for x in special):
+            return None
+        low = text.lower()
+        try:
+            low.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if any(x in low for x in special) else _PARTS.findall(low)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > MOST_WORDS:
+            known.clear()
+        split, plain = [], set()
+        for t in texts:
+            if (found := parts(t)) is not None:
+                plain.update(found)
+            split.append(found)
+        learn_parts(list(plain.difference(known)))
+        for i, t in enumerate(texts):
+            if split[i] is None:
+                split[i] = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                learn_words(list(set(split[i]).difference(known)))
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
     return encode
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own Latin-1 character if that shows, else the next from U+0100 on."""
+    shows = lambda b: 33 <= b <= 126 or 161 <= b <= 255 and b != 173
+    hidden = iter(range(256, 512))
+    return [chr(b) if shows(b) else chr(next(hidden)) for b in range(256)]
+
+
 def check_spec(spec: bytes) -> None:
     """ValueError unless the tokenizer drops white space and keeps the words on its sides apart."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(spec.decode())
     for text in ("Ab c", "a, B.\n\nc ", "don't x1y 'S", " é́ ç ́x", "Word word, word. straße."):
-        if word_ids(spec)(text) != np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes():
+        if word_ids(spec, "<u4")([text])[0] != np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes():
             raise ValueError("words aren't independent under this tokenizer")
 
 
@@ -132,7 +177,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 8_000_000) -> None:
+def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 4_000_000) -> None:
     """Encodes whole texts, appends end_id and writes the three tables under `path`."""
     spark = docs.sparkSession
     with open(spec_path, "rb") as f:
@@ -141,6 +186,7 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
     from tokenizers import Tokenizer
 
     width = "<u2" if max(Tokenizer.from_str(spec.decode()).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    step = np.dtype(width).itemsize
     common.short_batches(spark)
     id_arrow, id_ddl = common.arrow_type(docs, id_col), common.ddl_type(docs, id_col)
     # a bucket's names fit in a task's memory at any size, and a block's pack for a bucket still holds a few chunks
@@ -154,25 +200,26 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
             by.setdefault(int.from_bytes(name[:4], "little") % buckets, []).append(name)
         for bucket, names in sorted(by.items()):
             raw = [held[n] for n in names]
-            lens = np.array([len(x) for x in raw], dtype="<u4") // 4
-            yield bucket, None, None, None, b"".join(names), lens.tobytes(), pack(np.frombuffer(b"".join(raw), dtype="<u4").astype(width)), None
+            lens = np.array([len(x) for x in raw], dtype="<u4") // step
+            yield bucket, None, None, None, b"".join(names), lens.tobytes(), zstandard.compress(b"".join(raw), 1), None
 
     def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            numbers, encode, end = common.task_rows(), word_ids(spec), end_id.to_bytes(4, "little")
+            numbers, encode, end = common.task_rows(), word_ids(spec, width), end_id.to_bytes(step, "little")
             held: dict[bytes, bytes] = {}
             size = 0
-            for doc_id, text in common.rows_of(batches, "doc_id", "text"):
-                raw = encode(text or "") + end
+            pairs = ((i, raw) for b in batches for i, raw in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()]), strict=True))
+            for doc_id, raw in pairs:
+                raw += end
                 names, last = [], 0
-                for at in cuts(np.frombuffer(raw, dtype="<u4")):
-                    chunk = raw[4 * last : 4 * at]
+                for at in cuts(np.frombuffer(raw, dtype=width)):
+                    chunk = raw[step * last : step * at]
                     names.append(name := name_of(chunk))
                     if name not in held:
                         held[name] = chunk
                         size += at - last
                     last = at
-                yield -1, doc_id, next(numbers), len(raw) // 4, b"".join(names), None, None, merkle(names)
+                yield -1, doc_id, next(numbers), len(raw) // step, b"".join(names), None, None, merkle(names)
                 if size >= block_ids:
                     yield from packs(held)
                     held, size = {}, 0
@@ -245,12 +292,13 @@ def chunk_rows(spark: SparkSession, path: str, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for names, lens, data in common.rows_of(batches, "names", "lens", "data"):
-                ids = unpack(data, width).astype("<u4")
+                ids = unpack(data, width)
                 last = 0
                 for i, n in enumerate(np.frombuffer(lens, dtype="<u4").tolist()):
-                    raw = ids[last : last + n].tobytes()
+                    own = ids[last : last + n]
                     last += n
-                    if (name := name_of(raw)) != names[i * NAME : (i + 1) * NAME]:
+                    raw = own.astype("<u4").tobytes()
+                    if (name := name_of(own.tobytes())) != names[i * NAME : (i + 1) * NAME]:
                         raise ValueError(f"chunk {name.hex()} isn't what its name says")
                     yield name, n, crc32(raw), raw
 
@@ -265,36 +313,37 @@ def steps_of(recipes: DataFrame) -> DataFrame:
     return recipes.select("row_id", F.posexplode(cut).alias("seq", "name"))
 
 
-_zeros: dict[int, list[int]] = {}
+def crc_operators(bits: int) -> list[np.ndarray]:
+    """For k < bits, what 2^k zero bytes do to a CRC-32: a 32 x 32 matrix over GF(2), as its columns."""
+    op = np.array([0xEDB88320, *(1 << i for i in range(31))], dtype=np.uint32)
+    out = []
+    for k in range(3 + bits):
+        if k >= 3:
+            out.append(op)
+        op = crc_apply(op, op)
+    return out
+
 
+def crc_apply(op: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(values)
+    for i in range(32):
+        out ^= np.where(values >> np.uint32(i) & np.uint32(1), op[i], np.uint32(0))
+    return out
 
-def crc_after(crc: int, n_bytes: int) -> int:
-    """What `crc` becomes under n_bytes zero bytes, by squaring the one-bit operator over GF(2)."""
 
-    def times(op: list[int], v: int) -> int:
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= op[i]
-            v >>= 1
-            i += 1
-        return out
+def crc_joined(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document from its chunks': every chunk's CRC moved past the bytes that follow it, all joined by xor.
 
-    bits = 0
-    while n_bytes:
-        if bits not in _zeros:
-            if not bits:
-                op = [0xEDB88320, *(1 << i for i in range(31))]
-                for _ in range(3):
-                    op = [times(op, v) for v in op]
-            else:
-                op = [times(_zeros[bits - 1], v) for v in _zeros[bits - 1]]
-            _zeros[bits] = op
-        if n_bytes & 1:
-            crc = times(_zeros[bits], crc)
-        n_bytes >>= 1
-        bits += 1
-    return crc
+    crcs, sizes (bytes): of chunks, documents one after another; first: where each document's chunks begin.
+    """
+    ends = np.cumsum(sizes)
+    total = np.append(ends[first[1:] - 1], ends[-1])
+    after = np.repeat(total, np.diff(np.append(first, len(crcs)))) - ends
+    v = crcs.astype(np.uint32)
+    for k, op in enumerate(crc_operators(int(after.max(initial=0)).bit_length())):
+        on = np.flatnonzero(after >> k & 1)
+        v[on] = crc_apply(op, v[on])
+    return np.bitwise_xor.reduceat(v, first)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -310,26 +359,32 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", id_arrow), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-        def ended(head: tuple, names: list[bytes], n: int, crc: int) -> tuple:
-            doc_id, start, expected, root = head
-            if n != expected or merkle(names) != root:
-                raise ValueError(f"document {doc_id} doesn't match its recipe")
-            return doc_id, start, n, crc
+        def ended(held: list[tuple]) -> list[tuple]:
+            """Rows of documents: held has (head, names, sizes, crcs)."""
+            first = np.cumsum([0, *(len(h[1]) for h in held[:-1])])
+            sizes = np.array([n for h in held for n in h[2]], dtype=np.int64)
+            crcs = crc_joined(np.array([c for h in held for c in h[3]], dtype=np.int64), 4 * sizes, first)
+            for (doc_id, _, expected, root), names, own, _ in held:
+                if sum(own) != expected or merkle(names) != root:
+                    raise ValueError(f"document {doc_id} doesn't match its recipe")
+            return [(h[0][0], h[0][1], sum(h[2]), int(c)) for h, c in zip(held, crcs, strict=True)]
 
         def rows() -> Iterator[tuple]:
-            head, names, n, crc = None, [], 0, 0
+            held, n = [], 0
             for seq, name, size, part_crc, doc_id, start, root in common.rows_of(batches, "seq", "name", "n_tokens", "crc", "doc_id", "start", "root"):
                 if seq < 0:
-                    if head:
-                        yield ended(head, names, n, crc)
-                    head, names, n, crc = (doc_id, start, size, root), [], 0, 0
+                    if n >= 8192:
+                        yield from ended(held)
+                        held, n = [], 0
+                    held.append(((doc_id, start, size, root), [], [], []))
                     continue
                 if part_crc is None:
                     raise ValueError(f"chunk {name.hex()} is missing")
-                names.append(name)
-                n, crc = n + size, crc_after(crc, 4 * size) ^ part_crc
-            if head:
-                yield ended(head, names, n, crc)
+                for own, x in zip(held[-1][1:], (name, size, part_crc), strict=True):
+                    own.append(x)
+                n += 1
+            if held:
+                yield from ended(held)
 
         return common.in_batches(rows(), schema, 4096)
 
