@@ -57,6 +57,18 @@ def splits_as_known(spec: bytes) -> bool:
     return steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and first.get("pattern", {}).get("Regex") == SPLIT and level == ("ByteLevel", False, False)
 
 
+class Known(dict):
+    """Ids' bytes by word part; a part that is asked for first goes to the model, in the letters that stand for its bytes."""
+
+    def __init__(self, of_model, code: str) -> None:
+        self.of_model, self.code, self.letters = of_model, code, dict(enumerate(byte_letters()))
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+        out = self[part] = array(self.code, [t.id for t in self.of_model(shown)]).tobytes()
+        return out
+
+
 def word_ids(spec: bytes, width: str):
     """A function from texts to the bytes (of the given width) of their ids.
 
@@ -71,17 +83,9 @@ def word_ids(spec: bytes, width: str):
     key = crc32(spec), width
     if key not in _tokenizers:
         tok = Tokenizer.from_str(spec.decode())
-        _tokenizers[key] = (tok, {}, splits_as_known(spec), [t.content for t in tok.get_added_tokens_decoder().values()])
+        _tokenizers[key] = (tok, Known(tok.model.tokenize, {2: "H", 4: "I"}[np.dtype(width).itemsize]), splits_as_known(spec), [t.content for t in tok.get_added_tokens_decoder().values()])
     tok, known, fast, special = _tokenizers[key]
-    of_model, code = tok.model.tokenize, {2: "H", 4: "I"}[np.dtype(width).itemsize]
-    letter_of_byte = {i: c for i, c in enumerate(byte_letters()) if i != 32}
-
-    def learn_parts(parts: list[str]) -> None:
-        """Parts go to the library's model in the letters that stand for their bytes."""
-        if not parts:
-            return
-        for p, shown in zip(parts, " ".join(parts).encode().decode("latin-1").translate(letter_of_byte).split(" "), strict=True):
-            known[p] = array(code, [t.id for t in of_model(shown)]).tobytes()
+    code = known.code
 
     def learn_words(words: list[str]) -> None:
         for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -100,18 +104,13 @@ def word_ids(spec: bytes, width: str):
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > MOST_WORDS:
             known.clear()
-        split, plain = [], set()
+        out = []
         for t in texts:
-            if (found := parts(t)) is not None:
-                plain.update(found)
-            split.append(found)
-        learn_parts(list(plain.difference(known)))
-        for i, t in enumerate(texts):
-            if split[i] is None:
-                split[i] = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                learn_words(list(set(split[i]).difference(known)))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            if (words := parts(t)) is None:
+                words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                learn_words(list(set(words).difference(known)))
+            out.append(b"".join(map(known.__getitem__, words)))
+        return out
 
     return encode
 
