@@ -7,10 +7,9 @@ by geometric consensus: the similarity transform (turn, scale, shift) that a pai
 `agree` corners or more onto their matches. Classes are the connected components of what agrees.
 
 Images with equal bytes are one entry. A table cell that more than `most` different images share (a logo's corner, or
-one picture edited thousands of times) isn't paired out: its members are compared with the cell's first image, and
-those that don't agree with it with the first of the rest, in rounds, for as long as a round finds a new copy. So such
-a cell costs its members times the copy groups in it, a corner that unrelated pictures share makes no candidate by
-itself, and pictures that share only such cells are found through the group's first ones, not from each other.
+one picture edited thousands of times) isn't paired out: its members are compared with the cell's first image, its hub,
+so that it costs its members once. What this can miss is a pair of images that share crowded cells only, none of whose
+copies is such a cell's hub; the README says so.
 
 Images are binary PGM (P5, 8 bit); other bytes, null and empty ones, and images without corners are classes of their
 own (n_corners 0; equal bytes are still one class). Repeated rows and ids stay, a null id never names a class. An
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -139,7 +138,7 @@ def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0) -> int:
     return max(min(len(np.unique(cells[fits[t]])), len(np.unique((right >> 38 << 20 | (right >> 18 & 0x3FFFF))[fits[t]]))) for t in best)
 
 
-def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most: int = 48) -> DataFrame:
+def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most: int = 32) -> DataFrame:
     """A row an image: doc_id, n_corners, class_id (the smallest id of its class), n_links (verified links of its entry)."""
     spark = images.sparkSession
     common.short_batches(spark)
@@ -170,23 +169,15 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     entries = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("corners").alias("corners"))
     one = F.explode("corners")
     cells = entries.select(F.col("same").alias("e"), one.alias("c")).select("e", F.col("c")[0].alias("g"), F.explode(F.array(*((F.lit(t << 32).cast("long") + F.col("c")[t + 1]) for t in range(3)))).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = every = common.written(cells.join(sizes, "cell"), "cells")
-    links = None
-    while True:
-        small = met.where(F.col("n") <= most)
-        both = small.alias("x").join(small.alias("y"), "cell").where("x.e < y.e").select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
-        large = met.where(F.col("n") > most)
-        hubs = large.groupBy("cell").agg(F.min(F.struct("e", "g")).alias("hub"))
-        to_hub = large.join(hubs, "cell").where("e <> hub.e").select(F.col("hub.e").alias("a"), F.col("e").alias("b"), F.col("hub.g").alias("ga"), F.col("g").alias("gb"))
-        found = common.written(_agreed(both.unionByName(to_hub), agree), "links")
-        links = found if links is None else links.unionByName(found)
-        if not large.limit(1).count() or (met is not every and not found.limit(1).count()):
-            break
-        done = found.select(F.col("a").alias("h"), F.col("b").alias("e"))
-        rest = large.join(hubs, "cell").where("e <> hub.e").withColumn("h", F.col("hub.e")).join(done, ["h", "e"], "left_anti").select("cell", "e", "g")
-        again = rest.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        met = common.written(rest.join(again, "cell"), "cells")
+    # one exchange by cell serves counts, pairs and hubs
+    w = Window.partitionBy("cell")
+    met = cells.withColumns({"n": F.count("*").over(w), "hub": F.min(F.struct("e", "g")).over(w)}).where("n > 1")
+    few = met.where(F.col("n") <= most).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("e", "g"))).alias("m"))
+    after = F.transform("m", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("m"), i + 2, F.size("m")).alias("ys")))
+    pairs = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.ys").alias("y")).where("x.e <> y.e")
+    pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
+    to_hub = met.where((F.col("n") > most) & (F.col("e") != F.col("hub.e"))).select(F.col("hub.e").alias("a"), F.col("e").alias("b"), F.col("hub.g").alias("ga"), F.col("g").alias("gb"))
+    links = _agreed(pairs.unionByName(to_hub), agree)
     links = common.written(links.distinct(), "links")
     roots = common.components(links)
     own = entries.select("same", "first").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
@@ -213,12 +204,13 @@ def _agreed(matches: DataFrame, agree: int) -> DataFrame:
 
 
 def scene(number: int, size: int = 64) -> np.ndarray:
-    """A test picture: overlapping rectangles and a slope, drawn from the number."""
+    """A test picture: overlapping rectangles over a slope and a texture, drawn from the number."""
     rng = np.random.Generator(np.random.PCG64(number))
     out = np.tile(np.linspace(40, 140, size, dtype=np.float32), (size, 1))
     for y, x, h, w, v in rng.integers((0, 0, 6, 6, 0), (size, size, 22, 22, 256), (26, 5)):
         out[y : y + h, x : x + w] = 0.25 * out[y : y + h, x : x + w] + 0.75 * v
-    return out
+    grain = rng.integers(-40, 41, (size // 2, size // 2)).astype(np.float32)
+    return out * 0.8 + 25 + np.repeat(np.repeat(grain, 2, 0), 2, 1)
 
 
 def fixture(number: int) -> bytes:
