@@ -110,9 +110,8 @@ def described(images: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         patch = smooth[n, cy[..., None] + _DY, cx[..., None] + _DX]
         turn = np.arctan2((patch * _DY).sum(-1), (patch * _DX).sum(-1)) % (2 * np.pi)
         points = _POINTS[(turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS]
-        wide = box(smooth, 1)
         y, z = cy[..., None, None] + points[..., 0], cx[..., None, None] + points[..., 1]
-        tests = wide[n[..., None], y, z]
+        tests = smooth[n[..., None], y, z]
         keys = np.packbits(tests[..., 0] < tests[..., 1], axis=-1).reshape(len(x), k, 12).copy().view(">u4").astype(np.int64)
         ox, oy = ((cx + 0.5) / scale - 0.5).round().astype(np.int64), ((cy + 0.5) / scale - 0.5).round().astype(np.int64)
         geometry = ox << 36 | oy << 16 | level << 8 | (turn * 256 / (2 * np.pi)).astype(np.int64) % 256
@@ -138,7 +137,7 @@ def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0) -> int:
     return max(min(len(np.unique(cells[fits[t]])), len(np.unique((right >> 38 << 20 | (right >> 18 & 0x3FFFF))[fits[t]]))) for t in best)
 
 
-def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most: int = 32) -> DataFrame:
+def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most: int = 12) -> DataFrame:
     """A row an image: doc_id, n_corners, class_id (the smallest id of its class), n_links (verified links of its entry)."""
     spark = images.sparkSession
     common.short_batches(spark)
