@@ -128,5 +128,6 @@ def ddl_type(df: DataFrame, name: str) -> str:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, for choosing numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate, for choosing numbers of partitions; 512 MB where it knows none (it then says 8 EB or more)."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 1 << 29
