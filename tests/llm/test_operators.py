@@ -141,7 +141,7 @@ def test_privacy(spark, docs, none):
     assert [(k, text[a:b]) for k, a, b in spans] == [("email", "a.b@c.de"), ("email", "a@b.c"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8"), ("phone", "+49 (30) 123-4567"), ("card", "4111 1111 1111 1111")]
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     assert [m.span() for m in plain.finditer(text)] == [s[1:] for s in spans if s[0] == "email"]
-    rows = [(i, f"agent zorblax{'' if i % 2 else ' met'} wrote number{i} from spy@mi.org again") for i in range(6)] + [(i, "again we wrote from number") for i in range(6, 60)] + [(60, "only zorblax here")]
+    rows = [(i, f"agent zorblax{'' if i % 2 else ' quietly'} wrote number{i} from spy@mi.org again") for i in range(6)] + [(i, "again we wrote from number") for i in range(6, 60)] + [(60, "only zorblax here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = privacy.find(df, support=2)
     got = {r.doc_id: r for r in found.collect()}
