@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -85,10 +85,14 @@ def resized(x: np.ndarray, scale: float) -> np.ndarray:
     return rows[:, :, j] * (1 - g) + rows[:, :, j1] * g
 
 
-def described(images: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-    """For each of the equally large images: (geometry, key, key, key); geometry packs x, y (in the image as given), scale number and turn (of 256)."""
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in images]
-    for level, (scale, k) in enumerate(zip(SCALES, PER_SCALE, strict=True)):
+def described(images: np.ndarray) -> list[list[int]]:
+    """For each of the equally large images: place, key, key, key of one corner after the other, as signed 32-bit integers.
+
+    A place packs x and y in the image as given (16 bits each; in units of more pixels where a side is longer than that).
+    """
+    out: list[list[int]] = [[] for _ in images]
+    unit = 1 + max(images.shape[1:]) // (1 << 16)
+    for scale, k in zip(SCALES, PER_SCALE, strict=True):
         x = images.astype(np.float32) if scale == 1 else resized(images.astype(np.float32), scale)
         h, w = x.shape[1:]
         if min(h, w) <= 2 * PATCH + 2:
@@ -112,29 +116,32 @@ def described(images: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         points = _POINTS[(turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS]
         y, z = cy[..., None, None] + points[..., 0], cx[..., None, None] + points[..., 1]
         tests = smooth[n[..., None], y, z]
-        keys = np.packbits(tests[..., 0] < tests[..., 1], axis=-1).reshape(len(x), k, 12).copy().view(">u4").astype(np.int64)
+        keys = np.packbits(tests[..., 0] < tests[..., 1], axis=-1).reshape(len(x), k, 12).copy().view(">i4").astype(np.int64)
         ox, oy = ((cx + 0.5) / scale - 0.5).round().astype(np.int64), ((cy + 0.5) / scale - 0.5).round().astype(np.int64)
-        geometry = ox << 36 | oy << 16 | level << 8 | (turn * 256 / (2 * np.pi)).astype(np.int64) % 256
+        place = (ox // unit << 16 | oy // unit).astype(np.uint32).view(np.int32)
         for i, j in zip(*np.nonzero(good), strict=True):
-            out[i].append((int(geometry[i, j]), *keys[i, j].tolist()))
+            out[i] += (int(place[i, j]), *keys[i, j].tolist())
     return out
 
 
 def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0) -> int:
-    """The most corners (4 pixels apart or more) that one similarity transform carries onto their matches."""
-    a, b = (((g >> 36) + 1j * (g >> 16 & 0xFFFFF)).astype(complex) for g in (left, right))
+    """The most corners (4 pixels apart or more) that one similarity transform carries onto their matches; left and right are places."""
+    a, b = ((p >> 16) + 1j * (p & 0xFFFF) for p in (left, right))
+    cells = [(p >> 18 << 16 | (p & 0xFFFF) >> 2) for p in (left, right)]
     i, j = np.triu_indices(len(a), 1)
     far = (np.abs(a[i] - a[j]) >= 6) & (np.abs(b[i] - b[j]) >= 6)
-    i, j = i[far], j[far]
-    if not len(i):
-        return 0
-    i, j = i[:4096], j[:4096]
-    turn = (b[j] - b[i]) / (a[j] - a[i])
-    shift = b[i] - turn * a[i]
-    fits = (np.abs(turn[:, None] * a[None, :] + shift[:, None] - b[None, :]) <= off) & (np.abs(turn)[:, None] > 0.4) & (np.abs(turn)[:, None] < 2.5)
-    cells = (left >> 38 << 20 | (left >> 18 & 0x3FFFF)).astype(np.int64)
-    best = np.argsort(-fits.sum(1), kind="stable")[:8]
-    return max(min(len(np.unique(cells[fits[t]])), len(np.unique((right >> 38 << 20 | (right >> 18 & 0x3FFFF))[fits[t]]))) for t in best)
+    i, j, best = i[far], j[far], 0
+    for lo in range(0, len(i), 4096):
+        u, v = i[lo : lo + 4096], j[lo : lo + 4096]
+        turn = (b[v] - b[u]) / (a[v] - a[u])
+        turn, u = turn[sized := (np.abs(turn) > 0.4) & (np.abs(turn) < 2.5)], u[sized]
+        fits = np.abs(turn[:, None] * (a[None, :] - a[u][:, None]) + b[u][:, None] - b[None, :]) <= off
+        count = fits.sum(1)
+        for t in np.argsort(-count, kind="stable"):
+            if count[t] <= best:
+                break
+            best = max(best, min(len(np.unique(c[fits[t]])) for c in cells))
+    return best
 
 
 def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most: int = 12) -> DataFrame:
@@ -142,11 +149,12 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     spark = images.sparkSession
     common.short_batches(spark)
     id_arrow, id_ddl = common.arrow_type(images, id_col), common.ddl_type(images, id_col)
-    fields = pa.schema([("doc_id", id_arrow), ("same", pa.int64()), ("corners", pa.list_(pa.list_(pa.int64())))])
+    fields = pa.schema([("doc_id", id_arrow), ("same", pa.int64()), ("n_corners", pa.int32()), ("corners", pa.list_(pa.int32()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        given: set[int] = set()  # a task gives the corners of equal bytes once
         for batch in batches:
             ids, data = batch.column("doc_id"), batch.column("image").to_pylist()
             found: list[list] = [[] for _ in data]
@@ -161,29 +169,40 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
                     for i, c in zip(at[lo : lo + step], described(np.stack([pixels[i] for i in at[lo : lo + step]])), strict=True):
                         found[i] = c
             same = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in data]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(found, fields.types[2])], schema=fields)
-
-    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(describe, f"doc_id {id_ddl}, same long, corners array<array<long>>")
+            counts = [len(c) // 4 for c in found]
+            for i, e in enumerate(same):
+                if e in given:
+                    found[i] = []
+                given.add(e)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(counts, pa.int32()), pa.array(found, fields.types[3])], schema=fields)
+
+    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(describe, f"doc_id {id_ddl}, same long, n_corners int, corners array<int>")
     rows = common.written(rows, "corners")
-    entries = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("corners").alias("corners"))
-    one = F.explode("corners")
-    cells = entries.select(F.col("same").alias("e"), one.alias("c")).select("e", F.col("c")[0].alias("g"), F.explode(F.array(*((F.lit(t << 32).cast("long") + F.col("c")[t + 1]) for t in range(3)))).alias("cell"))
-    # one exchange by cell serves counts, pairs and hubs
+    # (e, g, cell): a row for each corner and table. The exchange by cell serves the removal of copies, counts, pairs and hubs.
+    at = F.sequence(F.lit(0), F.size("corners") - 1, F.lit(4))
+    one = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get("corners", i).alias("g"), (F.lit(t << 32).cast("long") + F.get("corners", i + t + 1)).alias("cell")) for t in range(3)))))
+    cells = rows.where(F.size("corners") > 0).select(F.col("same").alias("e"), F.explode(one).alias("c")).select("e", "c.g", "c.cell")
+    cells = cells.repartition("cell").dropDuplicates(["cell", "e", "g"])
     w = Window.partitionBy("cell")
     met = cells.withColumns({"n": F.count("*").over(w), "hub": F.min(F.struct("e", "g")).over(w)}).where("n > 1")
     few = met.where(F.col("n") <= most).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("e", "g"))).alias("m"))
     after = F.transform("m", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("m"), i + 2, F.size("m")).alias("ys")))
     pairs = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.ys").alias("y")).where("x.e <> y.e")
-    pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
-    to_hub = met.where((F.col("n") > most) & (F.col("e") != F.col("hub.e"))).select(F.col("hub.e").alias("a"), F.col("e").alias("b"), F.col("hub.g").alias("ga"), F.col("g").alias("gb"))
+    pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), _match("x.g", "y.g"))
+    to_hub = met.where((F.col("n") > most) & (F.col("e") != F.col("hub.e"))).select(F.col("hub.e").alias("a"), F.col("e").alias("b"), _match("hub.g", "g"))
     links = _agreed(pairs.unionByName(to_hub), agree)
-    links = common.written(links.distinct(), "links")
+    links = common.written(links, "links")
     roots = common.components(links)
-    own = entries.select("same", "first").join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    own = rows.groupBy("same").agg(F.min("doc_id").alias("first")).join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = own.groupBy("root").agg(F.min("first").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
     named = own.join(least, "root").join(degree, "same", "left").select("same", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "same", F.size("corners").alias("n_corners")).join(named, "same").select("doc_id", "n_corners", "class_id", "n_links")
+    return rows.select("doc_id", "same", "n_corners").join(named, "same").select("doc_id", "n_corners", "class_id", "n_links")
+
+
+def _match(left: str, right: str) -> Column:
+    """m: two places in one integer."""
+    return F.shiftleft(F.col(left).cast("long"), 32).bitwiseOR(F.col(right).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("m")
 
 
 def _agreed(matches: DataFrame, agree: int) -> DataFrame:
@@ -192,13 +211,13 @@ def _agreed(matches: DataFrame, agree: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for a, b, m in common.rows_of(batches, "a", "b", "m"):
-                left, right = np.array([x["ga"] for x in m], dtype=np.int64), np.array([x["gb"] for x in m], dtype=np.int64)
-                if consensus(left, right) >= agree:
+                both = np.array(m, dtype=np.int64)
+                if consensus(both >> 32 & 0xFFFFFFFF, both & 0xFFFFFFFF) >= agree:
                     yield a, b
 
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 4096)
 
-    pairs = matches.groupBy("a", "b").agg(F.collect_set(F.struct("ga", "gb")).alias("m")).where(F.size("m") >= agree)
+    pairs = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
     return pairs.mapInArrow(run, "a long, b long")
 
 
