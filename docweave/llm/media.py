@@ -7,9 +7,11 @@ by geometric consensus: the similarity transform (turn, scale, shift) that a pai
 `agree` corners or more onto their matches. Classes are the connected components of what agrees.
 
 Images with equal bytes are one entry. A table cell that more than `most` different images share (a logo's corner, or
-one picture edited thousands of times) isn't paired out: its members are compared with the cell's first image, its hub,
-so that it costs its members once. What this can miss is a pair of images that share crowded cells only, none of whose
-copies is such a cell's hub; the README says so.
+one picture edited thousands of times) isn't paired out at first: its members are compared with the cell's first image,
+its hub, so that it costs its members once. Members that end in the hub's class are settled. A second pass compares the
+others with the cell's members of other classes, and tries pairs again that fell short without their crowded cells, now
+with all matches. It leaves out images with fewer than `agree` corners in crowded cells, which can't agree by such cells
+alone. So classes are those of all pairs; n_links counts the links that were tried, not those inside settled groups.
 
 Images are binary PGM (P5, 8 bit); other bytes, null and empty ones, and images without corners are classes of their
 own (n_corners 0; equal bytes are still one class). Repeated rows and ids stay, a null id never names a class. An
@@ -190,9 +192,14 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     pairs = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.ys").alias("y")).where("x.e <> y.e")
     pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), _match("x.g", "y.g"))
     to_hub = met.where((F.col("n") > most) & (F.col("e") != F.col("hub.e"))).select(F.col("hub.e").alias("a"), F.col("e").alias("b"), _match("hub.g", "g"))
-    links = _agreed(pairs.unionByName(to_hub), agree)
-    links = common.written(links, "links")
+    tried = _tried(pairs.unionByName(to_hub), agree).withColumns({"cell": F.lit(None).cast("long"), "g": F.lit(None).cast("int")})
+    crowded = met.where(F.col("n") > most).select(F.col("e").alias("a"), F.col("hub.e").alias("b"), F.lit(None).cast("array<long>").alias("m"), "cell", "g")
+    tried = common.written(tried.unionByName(crowded), "tried")
+    links = tried.where("cell IS NULL AND m IS NULL").select("a", "b")
     roots = common.components(links)
+    if not tried.where("cell IS NOT NULL").isEmpty():
+        links = common.written(links.unionByName(_left_over(tried, roots, agree)), "links")
+        roots = common.components(links)
     own = rows.groupBy("same").agg(F.min("doc_id").alias("first")).join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = own.groupBy("root").agg(F.min("first").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
@@ -205,20 +212,55 @@ def _match(left: str, right: str) -> Column:
     return F.shiftleft(F.col(left).cast("long"), 32).bitwiseOR(F.col(right).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("m")
 
 
-def _agreed(matches: DataFrame, agree: int) -> DataFrame:
-    """(a, b): pairs of images whose matches reach a consensus. A pair has few matches, at most corners times tables."""
+def _tried(matches: DataFrame, agree: int) -> DataFrame:
+    """(a, b, m): pairs of images; m is null where their matches reach a consensus, else it lists them. A pair has few matches, at most corners times tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for a, b, m in common.rows_of(batches, "a", "b", "m"):
-                both = np.array(m, dtype=np.int64)
-                if consensus(both >> 32 & 0xFFFFFFFF, both & 0xFFFFFFFF) >= agree:
+                yield a, b, None if _agree(m, agree) else m
+
+        return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.list_(pa.int64()))]), 4096)
+
+    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).mapInArrow(run, "a long, b long, m array<long>")
+
+
+def _agree(matches: list[int], agree: int) -> bool:
+    if len(matches) < agree:
+        return False
+    both = np.array(matches, dtype=np.int64)
+    return consensus(both >> 32 & 0xFFFFFFFF, both & 0xFFFFFFFF) >= agree
+
+
+def _left_over(tried: DataFrame, roots: DataFrame, agree: int) -> DataFrame:
+    """(a, b): the links between classes that crowded cells hold and their hubs don't show."""
+    crowd = tried.where("cell IS NOT NULL").select(F.col("a").alias("e"), F.col("b").alias("hub"), "cell", "g")
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    of_e = roots.select(F.col("node").alias("e"), "root")
+    own = crowd.groupBy("e").agg(F.collect_list(F.struct("cell", "g")).alias("at"), F.count_distinct("g").alias("n")).join(of_e, "e", "left").withColumn("root", F.coalesce("root", "e"))
+    own = common.written(own, "crowded")
+    able = own.where(F.col("n") >= agree).select("e", "root")
+    members = crowd.select("e", "hub", "cell").distinct().join(able, "e").join(of_hub, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    rest = members.where("root <> hub_root").select(F.col("e").alias("f"), F.col("root").alias("f_root"), "cell")
+    met = rest.join(members.select("e", "root", "cell"), "cell").where("root <> f_root").select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+    short = tried.where("cell IS NULL AND m IS NOT NULL").select("a", "b", "m")
+    some = met.withColumn("m", F.array().cast("array<long>")).unionByName(short)
+    for x in "ab":
+        some = some.join(own.select(F.col("e").alias(x), F.col("at").alias(f"at_{x}"), F.col("root").alias(f"root_{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for a, b, m, left, right in common.rows_of(batches, "a", "b", "m", "at_a", "at_b"):
+                cells: dict[int, list[int]] = {}
+                for x in left:
+                    cells.setdefault(x["cell"], []).append(x["g"])
+                m = {*m, *((g << 32) | (y["g"] & 0xFFFFFFFF) for y in right for g in cells.get(y["cell"], ()))}
+                if _agree(sorted(m), agree):
                     yield a, b
 
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 4096)
 
-    pairs = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
-    return pairs.mapInArrow(run, "a long, b long")
+    return some.where("root_a <> root_b").select("a", "b", "m", "at_a", "at_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def scene(number: int, size: int = 64) -> np.ndarray:

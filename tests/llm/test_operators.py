@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from docweave.llm import chat, languages, media, mixing, neighbours, pieces, privacy, secrets, simhash, store
@@ -189,6 +190,30 @@ def test_media(spark):
     assert media.copies(odd.limit(0), "doc_id", "image").count() == 0
 
 
+def test_media_crowded_cells(spark):
+    """With crowded cells the classes are still those of all pairs that meet in a cell."""
+    images = {i: media.fixture(i) for i in range(48)}
+    for i in range(48, 56):  # a picture with ever larger labels, and two of them joined side by side with strangers
+        x = media.decode_pgm(images[0]).copy()
+        x[: 4 * (i - 47), 10:60] = 200
+        images[i] = media.encode_pgm(x)
+    for i, j in ((0, 4), (8, 12), (48, 16)):
+        images[100 + i] = media.encode_pgm(np.hstack([media.decode_pgm(images[k]) for k in (i, j)]))
+    corners = {i: np.array(media.described(media.decode_pgm(x)[None])[0]).reshape(-1, 4) for i, x in images.items()}
+    e = {i: xxhash.xxh3_64_intdigest(x) for i, x in images.items()}
+    root = {i: i for i in images}
+    for a in images:
+        for b in images:
+            if e[a] < e[b]:
+                i, j = np.nonzero((corners[a][:, None, 1:] == corners[b][None, :, 1:]).any(2))
+                if len(i) >= 4 and media.consensus(corners[a][i, 0] & 0xFFFFFFFF, corners[b][j, 0] & 0xFFFFFFFF) >= 4:
+                    old, new = sorted((root[a], root[b]), reverse=True)
+                    root = {k: new if r == old else r for k, r in root.items()}
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in images.items()], "doc_id long, image binary")
+    for most in (1, 3):
+        assert {r.doc_id: r.class_id for r in media.copies(rows, "doc_id", "image", most=most).collect()} == root
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
