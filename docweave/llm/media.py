@@ -1,8 +1,9 @@
 """Media columns: cropped and edited copies of images, found by local descriptors.
 
 Harris corners are taken on several scales; each gets an orientation from its patch's intensity centroid and 96 binary
-intensity tests rotated by it. Three Hamming tables hold the 32-bit thirds of the descriptors, so descriptors that
-differ in two bits or less always meet in a table, and most of those with some more do. Images that meet are compared
+intensity tests rotated by it. Three Hamming tables hold two of the descriptors' 32-bit thirds each, so descriptors
+that differ within one third only (all those that differ by one bit) meet in a table; a single third would meet by chance in
+proportion to the table. An image needs `agree` such corners, not all. Images that meet are compared
 by geometric consensus: the similarity transform (turn, scale, shift) that a pair of matched corners sets must carry
 `agree` corners or more onto their matches. Classes are the connected components of what agrees.
 
@@ -51,6 +52,7 @@ def _pattern() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Test points for each turn (TURNS, 96, 2 points), and the disc of the orientation patch, as (y, x)."""
     rng = np.random.default_rng(96)
     base = np.clip(rng.normal(0, PATCH / 2.2, (96, 2, 2)), -PATCH * 0.66, PATCH * 0.66)
+    base[:, 1, 1] = base[:, 0, 1]  # across the orientation: along it, the gradient would settle most tests alike
     turns = 2 * np.pi * np.arange(TURNS) / TURNS
     c, s = np.cos(turns)[:, None, None], np.sin(turns)[:, None, None]
     y, x = base[None, ..., 0], base[None, ..., 1]
@@ -182,7 +184,7 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     rows = common.written(rows, "corners")
     # (e, g, cell): a row for each corner and table. The exchange by cell serves the removal of copies, counts, pairs and hubs.
     at = F.sequence(F.lit(0), F.size("corners") - 1, F.lit(4))
-    one = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get("corners", i).alias("g"), (F.lit(t << 32).cast("long") + F.get("corners", i + t + 1)).alias("cell")) for t in range(3)))))
+    one = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get("corners", i).alias("g"), F.xxhash64(F.lit(t), F.get("corners", i + 1 + t), F.get("corners", i + 1 + (t + 1) % 3)).alias("cell")) for t in range(3)))))
     cells = rows.where(F.size("corners") > 0).select(F.col("same").alias("e"), F.explode(one).alias("c")).select("e", "c.g", "c.cell")
     cells = cells.repartition("cell").dropDuplicates(["cell", "e", "g"])
     w = Window.partitionBy("cell")

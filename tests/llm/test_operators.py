@@ -205,7 +205,7 @@ def test_media_crowded_cells(spark):
     for a in images:
         for b in images:
             if e[a] < e[b]:
-                i, j = np.nonzero((corners[a][:, None, 1:] == corners[b][None, :, 1:]).any(2))
+                i, j = np.nonzero((corners[a][:, None, 1:] == corners[b][None, :, 1:]).sum(2) >= 2)
                 if len(i) >= 4 and media.consensus(corners[a][i, 0] & 0xFFFFFFFF, corners[b][j, 0] & 0xFFFFFFFF) >= 4:
                     old, new = sorted((root[a], root[b]), reverse=True)
                     root = {k: new if r == old else r for k, r in root.items()}
