@@ -266,13 +266,12 @@ def _left_over(tried: DataFrame, roots: DataFrame, agree: int) -> DataFrame:
 
 
 def scene(number: int, size: int = 64) -> np.ndarray:
-    """A test picture: overlapping rectangles over a slope and a texture, drawn from the number."""
+    """A test picture: overlapping rectangles and a slope, drawn from the number."""
     rng = np.random.Generator(np.random.PCG64(number))
     out = np.tile(np.linspace(40, 140, size, dtype=np.float32), (size, 1))
     for y, x, h, w, v in rng.integers((0, 0, 6, 6, 0), (size, size, 22, 22, 256), (26, 5)):
         out[y : y + h, x : x + w] = 0.25 * out[y : y + h, x : x + w] + 0.75 * v
-    grain = rng.integers(-40, 41, (size // 2, size // 2)).astype(np.float32)
-    return out * 0.8 + 25 + np.repeat(np.repeat(grain, 2, 0), 2, 1)
+    return out
 
 
 def fixture(number: int) -> bytes:
