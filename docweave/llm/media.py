@@ -10,9 +10,9 @@ by geometric consensus: the similarity transform (turn, scale, shift) that a pai
 Images with equal bytes are one entry. A table cell that more than `most` different images share (a logo's corner, or
 one picture edited thousands of times) isn't paired out at first: its members are compared with the cell's first image,
 its hub, so that it costs its members once. Members that end in the hub's class are settled. A second pass compares the
-others with the cell's members of other classes, and tries pairs again that fell short without their crowded cells, now
-with all matches. It leaves out images with fewer than `agree` corners in crowded cells, which can't agree by such cells
-alone. So classes are those of all pairs; n_links counts the links that were tried, not those inside settled groups.
+others with members of other classes, and tries pairs again that fell short without their crowded cells, now
+with all matches. Images with fewer than `agree` corners in crowded cells can't agree by such cells alone, and the others
+needn't be met in all their cells (see `_left_over`). So classes are those of all pairs; n_links counts the links that were tried, not those inside settled groups.
 
 Images are binary PGM (P5, 8 bit); other bytes, null and empty ones, and images without corners are classes of their
 own (n_corners 0; equal bytes are still one class). Repeated rows and ids stay, a null id never names a class. An
@@ -194,8 +194,8 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     pairs = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.ys").alias("y")).where("x.e <> y.e")
     pairs = pairs.select(F.col("x.e").alias("a"), F.col("y.e").alias("b"), _match("x.g", "y.g"))
     to_hub = met.where((F.col("n") > most) & (F.col("e") != F.col("hub.e"))).select(F.col("hub.e").alias("a"), F.col("e").alias("b"), _match("hub.g", "g"))
-    tried = _tried(pairs.unionByName(to_hub), agree).withColumns({"cell": F.lit(None).cast("long"), "g": F.lit(None).cast("int")})
-    crowded = met.where(F.col("n") > most).select(F.col("e").alias("a"), F.col("hub.e").alias("b"), F.lit(None).cast("array<long>").alias("m"), "cell", "g")
+    tried = _tried(pairs.unionByName(to_hub), agree).withColumns({"cell": F.lit(None).cast("long"), "g": F.lit(None).cast("int"), "n": F.lit(None).cast("long")})
+    crowded = met.where(F.col("n") > most).select(F.col("e").alias("a"), F.col("hub.e").alias("b"), F.lit(None).cast("array<long>").alias("m"), "cell", "g", "n")
     tried = common.written(tried.unionByName(crowded), "tried")
     links = tried.where("cell IS NULL AND m IS NULL").select("a", "b")
     roots = common.components(links)
@@ -235,34 +235,65 @@ def _agree(matches: list[int], agree: int) -> bool:
 
 
 def _left_over(tried: DataFrame, roots: DataFrame, agree: int) -> DataFrame:
-    """(a, b): the links between classes that crowded cells hold and their hubs don't show."""
-    crowd = tried.where("cell IS NOT NULL").select(F.col("a").alias("e"), F.col("b").alias("hub"), "cell", "g")
+    """(a, b): the links between classes that crowded cells hold and their hubs don't show.
+
+    Images that agree by crowded cells alone share cells with `agree` corners or more. Cells have one order, the least crowded
+    first; the first cell that such images share has at least `agree` corners of either at or after it. So an image
+    only needs to be met in the cells of which that holds: its last and most crowded ones, up to agree - 1 corners, never serve.
+    """
+    crowd = tried.where("cell IS NOT NULL").select(F.col("a").alias("e"), F.col("b").alias("hub"), "cell", "g", "n")
     of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     of_e = roots.select(F.col("node").alias("e"), "root")
-    own = crowd.groupBy("e").agg(F.collect_list(F.struct("cell", "g")).alias("at"), F.count_distinct("g").alias("n")).join(of_e, "e", "left").withColumn("root", F.coalesce("root", "e"))
-    own = common.written(own, "crowded")
-    able = own.where(F.col("n") >= agree).select("e", "root")
-    members = crowd.select("e", "hub", "cell").distinct().join(able, "e").join(of_hub, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    rest = members.where("root <> hub_root").select(F.col("e").alias("f"), F.col("root").alias("f_root"), "cell")
-    met = rest.join(members.select("e", "root", "cell"), "cell").where("root <> f_root").select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+    crowd = crowd.join(of_hub, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    own = crowd.groupBy("e").agg(F.array_sort(F.collect_set(F.struct("n", "cell", "g", "hub_root"))).alias("s"))
+    own = own.join(of_e, "e", "left").withColumn("root", F.coalesce("root", "e"))
+    # at: 32 bits of the cell's hash and the corner's place in one integer each
+    own = own.withColumn("at", F.transform("s", lambda x: F.shiftleft(x["cell"], 32).bitwiseOR(x["g"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    own = own.withColumn("n", F.size(F.array_distinct(F.transform("s", lambda x: x["g"]))))
+
+    def corners_from(x: Column) -> Column:
+        later = F.filter("s", lambda y: F.struct(y["n"], y["cell"]) >= F.struct(x["n"], x["cell"]))
+        return F.size(F.array_distinct(F.transform(later, lambda y: y["g"])))
+
+    serves = F.array_distinct(F.transform(F.filter("s", lambda x: corners_from(x) >= agree), lambda x: F.struct(x["cell"], x["hub_root"])))
+    own = common.written(own.select("e", "root", "at", "n", F.when(F.col("n") >= agree, serves).alias("serves")), "crowded")
+    met = own.select("e", "root", "at", F.explode("serves").alias("c")).select("e", "root", "at", "c.cell", "c.hub_root")
+    x, y = (met.select(*(F.col(k).alias(f"{k}_{t}") for k in ("e", "root", "at", "hub_root")), "cell") for t in "ab")
+    # a member of the hub's class needs no other such member
+    by_cell = x.where("root_a <> hub_root_a").join(y, "cell").where("root_a <> root_b AND (e_a < e_b OR root_b = hub_root_b)")
+    by_cell = by_cell.where(_shared("at_a", "at_b") >= agree).select(F.col("e_a").alias("a"), F.col("e_b").alias("b"), F.array().cast("array<long>").alias("m"), "at_a", "at_b")
     short = tried.where("cell IS NULL AND m IS NOT NULL").select("a", "b", "m")
-    some = met.withColumn("m", F.array().cast("array<long>")).unionByName(short)
-    for x in "ab":
-        some = some.join(own.select(F.col("e").alias(x), F.col("at").alias(f"at_{x}"), F.col("root").alias(f"root_{x}")), x)
+    for t in "ab":
+        side = own.select(F.col("e").alias(t), F.col("at").alias(f"at_{t}"), F.col("root").alias(f"root_{t}"), F.col("n").alias(f"n_{t}"))
+        short = short.join(side, t).where(F.size("m") + F.col(f"n_{t}") >= agree)
+    missing = F.greatest(F.lit(1), agree - F.size("m"))
+    short = short.where((F.col("root_a") != F.col("root_b")) & (_shared("at_a", "at_b") >= missing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for a, b, m, left, right in common.rows_of(batches, "a", "b", "m", "at_a", "at_b"):
+                if a > b:
+                    a, b, left, right = b, a, right, left
                 cells: dict[int, list[int]] = {}
-                for x in left:
-                    cells.setdefault(x["cell"], []).append(x["g"])
-                m = {*m, *((g << 32) | (y["g"] & 0xFFFFFFFF) for y in right for g in cells.get(y["cell"], ()))}
+                for v in left:
+                    cells.setdefault(v >> 32, []).append(v & 0xFFFFFFFF)
+                m = {*m, *(_signed(g << 32 | (v & 0xFFFFFFFF)) for v in right for g in cells.get(v >> 32, ()))}
                 if _agree(sorted(m), agree):
                     yield a, b
 
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 4096)
 
-    return some.where("root_a <> root_b").select("a", "b", "m", "at_a", "at_b").mapInArrow(run, "a long, b long").distinct()
+    return by_cell.unionByName(short.select("a", "b", "m", "at_a", "at_b")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared(left: str, right: str) -> Column:
+    """How many corners of left lie in cells that right has too."""
+    cells = F.transform(right, lambda v: F.shiftright(v, 32))
+    return F.size(F.array_distinct(F.transform(F.filter(left, lambda v: F.array_contains(cells, F.shiftright(v, 32))), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def scene(number: int, size: int = 64) -> np.ndarray:
