@@ -79,16 +79,18 @@ def variants(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 words of documents below 200, laid out twelve to a line."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.posexplode(F.slice(X.words(F.col("text")), 1, 200)).alias("seq", "text"))
+    """Every word of every document, laid out twelve to a line and 200 to a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("i", "text"))
+    d = d.select((F.col("doc_id") * 100_000 + F.floor(F.col("i") / 200)).alias("page"), (F.col("i") % 200).alias("seq"), "text")
     line, at = F.floor(F.col("seq") / 12).cast("int"), F.col("seq") % 12
-    return d.select("doc_id", "seq", "text", line.alias("line"), (F.lit(60.0) * at).alias("x0"), (60.0 * at + 10.0 * F.length("text")).alias("x1"), (40.0 * line).alias("y0"), (40.0 * line + 20).alias("y1"), (0.6 + (F.col("doc_id") + F.col("seq")) % 40 / 100.0).alias("score"))
+    return d.select("page", "seq", "text", line.alias("line"), (F.lit(60.0) * at).alias("x0"), (60.0 * at + 10.0 * F.length("text")).alias("x1"), (40.0 * line).alias("y0"), (40.0 * line + 20).alias("y1"), (0.6 + (F.col("page") + F.col("seq")) % 40 / 100.0).alias("score"))
 
 
 TOKENS = r"""tokens AS (
-    SELECT doc_id, i - 1 AS seq, words[i] AS text, CAST((i - 1) // 12 AS INT) AS line, 60.0 * ((i - 1) % 12) AS x0, 60.0 * ((i - 1) % 12) + 10.0 * length(words[i]) AS x1,
-           40.0 * ((i - 1) // 12) AS y0, 40.0 * ((i - 1) // 12) + 20 AS y1, 0.6 + (doc_id + i - 1) % 40 / 100.0 AS score
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')[1:200] AS words FROM documents WHERE doc_id < 200), unnest(range(1, len(words) + 1)) AS t(i))"""
+    SELECT page, seq, text, CAST(seq // 12 AS INT) AS line, 60.0 * (seq % 12) AS x0, 60.0 * (seq % 12) + 10.0 * length(text) AS x1,
+           40.0 * (seq // 12) AS y0, 40.0 * (seq // 12) + 20 AS y1, 0.6 + (page + seq) % 40 / 100.0 AS score
+    FROM (SELECT doc_id * 100000 + (i - 1) // 200 AS page, (i - 1) % 200 AS seq, words[i] AS text
+          FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '') AS words FROM documents), unnest(range(1, len(words) + 1)) AS t(i)))"""
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ query("eval_by_variant")(lambda s, d: E.overall(_evaluated(s, d), "variant_type"
 query("confusion_matrix")(lambda s, d: E.confusion(_evaluated(s, d)))
 query("tier_prf")(lambda s, d: E.tier_scores(_evaluated(s, d)))
 query("synth_variants", f"WITH {CASES} SELECT cnr || '-' || v AS query_id, v AS variant_type, CASE v WHEN 'clean' THEN petitioner WHEN 'noisy' THEN lower('dr. ' || petitioner || ' & ors. (dead) through lrs.') ELSE '' END AS petitioner FROM cases, unnest(['clean', 'noisy', 'paraphrased']) AS t(v) WHERE doc_id % 10 = 0")(lambda s, d: variants(s, d).select("query_id", "variant_type", "petitioner"))
-query("party_links")(lambda s, d: M.party_links(cases(s, d).where("doc_id % 4 = 0")))
+query("party_links")(lambda s, d: M.party_links(cases(s, d)))
 query("adjacency", f"WITH {CASES}, k AS (SELECT cnr, year, petitioner || '|' || respondent AS name FROM cases) SELECT a.cnr, list_sort(list(DISTINCT b.cnr)) AS related FROM k a JOIN k b ON a.name = b.name AND a.cnr <> b.cnr GROUP BY a.cnr")(lambda s, d: (lambda k: k.alias("a").join(k.alias("b"), "name").where("a.cnr <> b.cnr").groupBy(c("a.cnr").alias("cnr")).agg(F.array_sort(F.collect_set("b.cnr")).alias("related")))(cases(s, d).select("cnr", F.concat_ws("|", "petitioner", "respondent").alias("name"))))
 
 

@@ -29,21 +29,21 @@ query("needs_review_count", f"WITH {_PAGES} SELECT job, count(*) FILTER (status
 query("job_text_export", f"WITH {_PAGES} SELECT job, string_agg('================ PAGE ' || page || ' ================' || CASE WHEN status = 'needs_review' THEN '  [NEEDS REVIEW]' ELSE '' END || chr(10) || CASE WHEN error IS NOT NULL THEN '[ERROR: ' || error || ']' ELSE text END, chr(10) || chr(10) ORDER BY page) AS text FROM pp GROUP BY job")(lambda s, d: R.job_text(_pages(s, d)))
 query("job_json_export")(lambda s, d: R.job_json(_pages(s, d)))
 query("word_counts", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')) AS INT) AS n_words, length(text) AS n_chars FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.words(c("text"))).alias("n_words"), F.length("text").cast("long").alias("n_chars")))
-query("token_bbox", f"WITH {TOKENS} SELECT doc_id, seq, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / length(text) AS char_width FROM tokens")(lambda s, d: O.derived(tokens(s, d)).select("doc_id", c("seq").cast("long").alias("seq"), "cx", "cy", "char_width"))
-query("token_lines", f"WITH {TOKENS} SELECT doc_id, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL")(lambda s, d: tokens(s, d).groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda t: t["text"]), " ").alias("text")))
-query("token_words", rf"""WITH {TOKENS}, m AS (SELECT doc_id, median((x1 - x0) / length(text)) AS m FROM tokens WHERE x1 - x0 > 5 AND length(text) >= 2 GROUP BY doc_id),
-    k AS (SELECT t.*, coalesce(m, 12.0) AS m, (x1 - x0) / length(text) AS cw FROM tokens t LEFT JOIN m USING (doc_id)),
-    f AS (SELECT *, CASE WHEN (x0 - lag(x1) OVER w) / greatest(cw, coalesce(lag(cw) OVER w, 0), m, 4.0) < 0.45 THEN 0 ELSE 1 END AS apart FROM k WINDOW w AS (PARTITION BY doc_id, line ORDER BY x0, seq)),
-    n AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY doc_id, line ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM f) SELECT doc_id, line, word_no, string_agg(text, '' ORDER BY x0, seq) AS word FROM n GROUP BY ALL""")(lambda s, d: O.gap_words(tokens(s, d)))
-query("page_confidence", f"WITH {TOKENS} SELECT doc_id, round(avg(score) * 100, 4) AS confidence, count(*) FILTER (score < 0.75) AS low FROM tokens GROUP BY doc_id")(lambda s, d: tokens(s, d).groupBy("doc_id").agg(F.round(F.avg(c("score").cast("double")) * 100, 4).alias("confidence"), E.count_where(c("score") < 0.75).alias("low")))
-query("paragraph_breaks", f"WITH {TOKENS}, l AS (SELECT doc_id, line, min(y0) AS top, max(y1) AS bottom FROM tokens WHERE seq % 5 > 0 OR line % 4 > 0 GROUP BY ALL) SELECT doc_id, line, top - lag(bottom) OVER (PARTITION BY doc_id ORDER BY line) > 1.8 * 10 AS breaks FROM l")(lambda s, d: tokens(s, d).where("seq % 5 > 0 or line % 4 > 0").groupBy("doc_id", "line").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom")).select("doc_id", "line", (c("top") - F.lag("bottom").over(Window.partitionBy("doc_id").orderBy("line")) > 1.8 * 10).alias("breaks")))
-query("noise_tokens", f"WITH {TOKENS} SELECT doc_id, count(*) FILTER (text = '|') AS noise FROM tokens WHERE regexp_matches(text, '^([\\p{{L}}.,]+|\\|)$') GROUP BY doc_id")(lambda s, d: tokens(s, d).where(c("text").rlike(r"^([\p{L}.,]+|\|)$")).groupBy("doc_id").agg(E.count_where(O.is_noise(c("text"), c("x0"))).alias("noise")))
-query("page_artefacts", f"WITH {TOKENS} SELECT doc_id, count(*) AS n FROM tokens WHERE text = '|' GROUP BY doc_id")(lambda s, d: tokens(s, d).where(c("text") == "|").where(O.page_artefact(c("text"), (c("y0") + c("y1")) / 2).isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("page_text")(lambda s, d: O.pages(tokens(s, d)))
+query("token_bbox", f"WITH {TOKENS} SELECT page, seq, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / length(text) AS char_width FROM tokens")(lambda s, d: O.derived(tokens(s, d)).select("page", c("seq").cast("long").alias("seq"), "cx", "cy", "char_width"))
+query("token_lines", f"WITH {TOKENS} SELECT page, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL")(lambda s, d: tokens(s, d).groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda t: t["text"]), " ").alias("text")))
+query("token_words", rf"""WITH {TOKENS}, m AS (SELECT page, median((x1 - x0) / length(text)) AS m FROM tokens WHERE x1 - x0 > 5 AND length(text) >= 2 GROUP BY page),
+    k AS (SELECT t.*, coalesce(m, 12.0) AS m, (x1 - x0) / length(text) AS cw FROM tokens t LEFT JOIN m USING (page)),
+    f AS (SELECT *, CASE WHEN (x0 - lag(x1) OVER w) / greatest(cw, coalesce(lag(cw) OVER w, 0), m, 4.0) < 0.45 THEN 0 ELSE 1 END AS apart FROM k WINDOW w AS (PARTITION BY page, line ORDER BY x0, seq)),
+    n AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY page, line ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM f) SELECT page, line, word_no, string_agg(text, '' ORDER BY x0, seq) AS word FROM n GROUP BY ALL""")(lambda s, d: O.gap_words(tokens(s, d), page="page"))
+query("page_confidence", f"WITH {TOKENS} SELECT page, round(avg(score) * 100, 4) AS confidence, count(*) FILTER (score < 0.75) AS low FROM tokens GROUP BY page")(lambda s, d: tokens(s, d).groupBy("page").agg(F.round(F.avg(c("score").cast("double")) * 100, 4).alias("confidence"), E.count_where(c("score") < 0.75).alias("low")))
+query("paragraph_breaks", f"WITH {TOKENS}, l AS (SELECT page, line, min(y0) AS top, max(y1) AS bottom FROM tokens WHERE seq % 5 > 0 OR line % 4 > 0 GROUP BY ALL) SELECT page, line, top - lag(bottom) OVER (PARTITION BY page ORDER BY line) > 1.8 * 10 AS breaks FROM l")(lambda s, d: tokens(s, d).where("seq % 5 > 0 or line % 4 > 0").groupBy("page", "line").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom")).select("page", "line", (c("top") - F.lag("bottom").over(Window.partitionBy("page").orderBy("line")) > 1.8 * 10).alias("breaks")))
+query("noise_tokens", f"WITH {TOKENS} SELECT page, count(*) FILTER (text = '|') AS noise FROM tokens WHERE regexp_matches(text, '^([\\p{{L}}.,]+|\\|)$') GROUP BY page")(lambda s, d: tokens(s, d).where(c("text").rlike(r"^([\p{L}.,]+|\|)$")).groupBy("page").agg(E.count_where(O.is_noise(c("text"), c("x0"))).alias("noise")))
+query("page_artefacts", f"WITH {TOKENS} SELECT page, count(*) AS n FROM tokens WHERE text = '|' GROUP BY page")(lambda s, d: tokens(s, d).where(c("text") == "|").where(O.page_artefact(c("text"), (c("y0") + c("y1")) / 2).isNotNull()).groupBy("page").agg(F.count("*").alias("n")))
+query("page_text")(lambda s, d: O.pages(tokens(s, d), page="page"))
 query("ocr_rules", "SELECT doc_id, 'Civil Appeal No. ' || doc_id || ' of 2011 on 10th may' AS line FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", O.normalize_line(F.concat(F.lit("CivilAppealNo."), c("doc_id"), F.lit("of2011 on 1Oth mav"))).alias("line")))
-query("ocr_rules_fired")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(O.fired_rules(F.substring("text", 1, 200))).alias("n_fired")))
+query("ocr_rules_fired")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(O.fired_rules(c("text"))).alias("n_fired")))
 query("ocr_engine_compare", f"WITH {_PAGES} SELECT page, false AS spacing, page % 3 = 0 AS substantive FROM pp")(lambda s, d: _pages(s, d).select("page", O.compared(c("text"), F.when(c("page") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(c("text"))).alias("x")).select("page", "x.*"))
-query("ocr_line_source", f"WITH {TOKENS} SELECT 'page' || doc_id AS name, CAST(seq AS INT) AS seq, text, x0, y1 FROM tokens WHERE seq < 3")(lambda s, d: R.recognised(tokens(s, d).where("seq < 3").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "score", "x0", "y0", "x1", "y1"))).alias("t")).select(F.concat(F.lit("page"), "doc_id", F.lit("\t"), F.to_json(F.transform("t", lambda t: F.struct(t["text"].alias("transcription"), F.array(F.array(t["x0"], t["y0"]), F.array(t["x1"], t["y0"]), F.array(t["x1"], t["y1"]), F.array(t["x0"], t["y1"])).alias("points"), t["score"].cast("double").alias("score"))))).alias("value"))).select("name", "seq", "text", c("x0"), c("y1")))
+query("ocr_line_source", f"WITH {TOKENS} SELECT 'page' || page AS name, CAST(seq AS INT) AS seq, text, x0, y1 FROM tokens")(lambda s, d: R.recognised(tokens(s, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "score", "x0", "y0", "x1", "y1"))).alias("t")).select(F.concat(F.lit("page"), "page", F.lit("\t"), F.to_json(F.transform("t", lambda t: F.struct(t["text"].alias("transcription"), F.array(F.array(t["x0"], t["y0"]), F.array(t["x1"], t["y0"]), F.array(t["x1"], t["y1"]), F.array(t["x0"], t["y1"])).alias("points"), t["score"].cast("double").alias("score"))))).alias("value"))).select("name", "seq", "text", c("x0"), c("y1")))
 
 
 def _bundle(s, d):
