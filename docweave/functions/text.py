@@ -193,3 +193,44 @@ def bench_names(x: Column) -> Column:
     raw = F.regexp_replace(F.regexp_extract(x, r"\[([A-Z][A-Za-z.\s\*]{3,80}?,?\s*JJ?\.?)\]", 1), r"\*", "")
     parts = F.filter(F.split(raw, ",| and | AND "), lambda p: F.trim(p) != "")
     return F.transform(parts, lambda p: F.trim(rules(F.trim(p), (r"\.+$", ""), (r"J+$", ""))))
+
+
+def ingest_fields(text: Column, stem: Column) -> Column:
+    """struct(cnr, display, case_id) of a new file: an INSC citation names it, else an SCR citation, else its CNR, else the file's stem (so too where text is null)."""
+    text = text_or_empty(text)
+    cnr = F.upper(F.regexp_extract(text, r"(?i)\bESCR\d{12}\b", 0))
+    insc = F.regexp_extract(text, r"\b(\d{4})\s*INSC\s*(\d+)\b", 1), F.regexp_extract(text, r"\b(\d{4})\s*INSC\s*(\d+)\b", 2)
+    scr = tuple(F.regexp_extract(text, r"\[(\d{4})\]\s*(\d+)\s*SCR\s*(\d+)", i) for i in (1, 2, 3))
+    display = F.when(insc[0] != "", F.concat_ws(" INSC ", *insc)).when(scr[0] != "", F.concat(F.lit("["), scr[0], F.lit("] "), scr[1], F.lit(" SCR "), scr[2]))
+    case_id = F.when(insc[0] != "", F.concat_ws("INSC", *insc)).when(scr[0] != "", F.concat_ws("_", scr[0], F.lit("SCR"), scr[1], scr[2]))
+    other = F.when(cnr != "", cnr).otherwise(stem)
+    return F.struct(cnr.alias("cnr"), F.coalesce(display, other).alias("display"), F.coalesce(case_id, other).alias("case_id"))
+
+
+def title_parties(text: Column) -> Column:
+    """struct(title, petitioner, respondent): the first of the first 15 lines with text that holds ` V. ` or ` VERSUS `, and its two sides; else the first line alone."""
+    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 15)
+    title = F.get(F.filter(lines, lambda x: F.upper(x).rlike(" (V\\.|VERSUS) ")), F.lit(0))
+    sides = F.split(title, "(?i) (?:V\\.|VERSUS) ", 2)
+    return F.struct(F.coalesce(title, F.get(lines, F.lit(0))).alias("title"), F.trim(F.get(sides, F.lit(0))).alias("petitioner"), F.trim(F.get(sides, F.lit(1))).alias("respondent"))
+
+
+def noised_cnr(cnr: Column, kind: Column) -> Column:
+    """One of three corruptions (kind 0, 1, 2): a dash and the first 0 read as O, lower case, the seventh and eighth digits struck out. Short ids stay."""
+    digits = F.substring(cnr, 5, 1 << 20)
+    return F.when(F.length(cnr) < 12, cnr).when(kind == 0, F.concat(F.substring(cnr, 1, 4), F.lit("-"), F.regexp_replace(digits, "^([^0]*)0", "$1O"))).when(kind == 1, F.lower(cnr)).otherwise(F.concat(F.substring(cnr, 1, 10), F.lit("XX"), F.substring(cnr, 13, 1 << 20)))
+
+
+def ocr_noised_cnr(cnr: Column) -> Column:
+    """As a scan misreads it: a dash after the prefix, O for 0, I for 1, S for 5."""
+    return F.concat(F.substring(cnr, 1, 4), F.lit("-"), F.translate(F.substring(cnr, 5, 1 << 20), "015", "OIS"))
+
+
+def corpus_name(name: Column) -> Column:
+    """struct(number, stage, cnr) of doc_<number>_<stage>_<cnr>.md; null for other names."""
+    part = lambda i: F.regexp_extract(name, r"^doc_(\d+)_(easy|medium|hard)_(\w+)\.md$", i)
+    return F.when(part(1) != "", F.struct(part(1).cast("int").alias("number"), part(2).alias("stage"), part(3).alias("cnr")))
+
+
+def duration(seconds: Column) -> Column:
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("int").cast("string"), F.lit("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIERS = ("exact", "fuzzy", "semantic", "none")
@@ -68,3 +68,42 @@ def mcnemar(b: Column, c: Column) -> Column:
     term = lambda k: F.exp(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.log((n - k + i) / i)).otherwise(F.lit(0.0))) - n * F.log(F.lit(2.0)))
     tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.lit(0.0), lambda s, k: s + term(k))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def by_category(rows: DataFrame, category: str) -> DataFrame:
+    """n, correct, unmatched and accuracy (one decimal) of rows(correct, matched) in each category."""
+    n = F.count("*")
+    return rows.groupBy(category).agg(n.alias("n"), count_where(F.col("correct")).alias("correct"), count_where(~F.col("matched")).alias("unmatched"), F.round(count_where(F.col("correct")) * 100.0 / n, 1).alias("accuracy"))
+
+
+def page_bucket(n_pages: Column) -> Column:
+    return F.when(n_pages <= 15, "1-15").when(n_pages <= 30, "16-30").otherwise(">30")
+
+
+def run_summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Median, least and most of runs' mean latency, and whether all runs are equally accurate. runs(run, correct, route_ms)."""
+    each = runs.groupBy(*by, "run").agg(F.avg("route_ms").alias("ms"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    return each.groupBy(*by).agg(F.round(F.median("ms"), 4).alias("median_ms"), F.round(F.min("ms"), 4).alias("min_ms"), F.round(F.max("ms"), 4).alias("max_ms"), (F.min("accuracy") == F.max("accuracy")).alias("same_accuracy"))
+
+
+def outcome(matched: Column, correct: Column) -> Column:
+    return F.when(~matched, "no_match").when(correct, "correct").otherwise("false_positive")
+
+
+def by_position(rows: DataFrame, key: Column, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """rows with `position` (from 1) in the order of key's digest, and `share`, the label whose part of all positions it falls in.
+
+    Positions are global but no task sees all rows: digests are dealt by their leading digits into buckets, whose counts
+    (at most `buckets` rows) give each bucket its offset.
+    """
+    keyed = rows.withColumn("digest", F.md5(key)).withColumn("bucket", F.conv(F.substring("digest", 1, 6), 16, 10).cast("long") * buckets / (1 << 24))
+    keyed = keyed.withColumn("bucket", F.floor("bucket"))
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"before": F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(Window.partitionBy())})
+    placed = keyed.join(F.broadcast(counts.select("bucket", "before", "total")), "bucket")
+    placed = placed.withColumn("position", F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("digest")))
+    label, upto = F.lit(None).cast("string"), 0.0
+    for name, part in shares.items():
+        upto += part
+        label = F.coalesce(label, F.when(F.col("position") <= F.floor(F.col("total") * F.lit(round(upto, 9))), F.lit(name)))
+    return placed.withColumn("share", F.coalesce(label, F.lit(list(shares)[-1]))).drop("digest", "bucket", "before", "total")

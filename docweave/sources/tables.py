@@ -92,3 +92,18 @@ def custom_cases(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = X.text_or_empty(F.col("petitioner")) != ""
     out = rows.where(ok).withColumns({"petitioner": F.when(named, up("petitioner")).otherwise(F.get(sides, 0)), "respondent": F.when(named, up("respondent")).otherwise(F.coalesce(F.get(sides, 1), F.lit(""))), "cnr": up("cnr"), "case_number": up("case_number"), "title": up("title"), "year": F.coalesce("year", F.lit(2024)), "is_custom": F.lit(True)})
     return out, rows.where(~ok)
+
+
+def latest_results(names: DataFrame, col: str = "name") -> DataFrame:
+    """(arm, name): each arm's last result file arm<n>_<timestamp>.json, by name."""
+    arm = F.regexp_extract(col, r"^arm(\d+)_\w+\.json$", 1)
+    return names.where(arm != "").groupBy(arm.cast("int").alias("arm")).agg(F.max(col).alias("name"))
+
+
+def page_tagged(pages: DataFrame, doc: str, page: str, text: str, least: int = 30) -> DataFrame:
+    """(doc, text, extractable): pages that have text, each under [Page n]; a document of less than `least` characters isn't extractable."""
+    some = pages.where(F.trim(text) != "").select(doc, F.struct(F.col(page).alias("p"), F.col(text).alias("t")).alias("x"))
+    one = some.groupBy(doc).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    size = F.aggregate("x", F.lit(0), lambda a, v: a + F.length(F.trim(v["t"])))
+    tagged = F.transform("x", lambda v: F.concat(F.lit("[Page "), v["p"].cast("string"), F.lit("]\n"), v["t"], F.lit("\n")))
+    return one.select(doc, F.array_join(tagged, "").alias("text"), (size >= least).alias("extractable"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import chunks, similarity
 from docweave.functions import text as X
+from docweave.operators import evaluate as E
 from docweave.operators import ocr
 from docweave.operators import matching as M
 from docweave.streaming import ingest
@@ -100,3 +101,17 @@ def test_tiers_cover_all_queries(spark):
     rows = e.queries()["cascade"](spark, d).collect()
     assert len(rows) == len({r.query_id for r in rows}) > 0
     assert {r.match_tier for r in rows if r.query_id.endswith("clean")} == {"exact"}
+
+
+def test_intake_fields(spark):
+    rows = spark.createDataFrame([("see [1999]  2 SCR 17",), ("2021 INSC 306 and escr010003292021",), ("x",), (None,), ("",)], "t string")
+    got = [r.f.asDict() for r in rows.select(X.ingest_fields(F.col("t"), F.lit("stem")).alias("f")).collect()]
+    assert [g["case_id"] for g in got] == ["1999_SCR_2_17", "2021INSC306", "stem", "stem", "stem"]
+    assert got[1] == {"cnr": "ESCR010003292021", "display": "2021 INSC 306", "case_id": "2021INSC306"}
+
+
+def test_positions_are_one_to_n_and_shares_exact(spark):
+    rows = E.by_position(spark.range(1003), F.col("id").cast("string"), {"a": 0.4, "b": 0.4, "c": 0.2}).collect()
+    assert sorted(r.position for r in rows) == list(range(1, 1004))
+    assert [sum(r.share == x for r in rows) for x in "abc"] == [401, 401, 201]
+    assert E.by_position(spark.range(0), F.col("id").cast("string"), {"a": 1.0}).count() == 0
