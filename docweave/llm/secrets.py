@@ -94,7 +94,7 @@ def train(docs: DataFrame, sample: int = 4_000, text_col: str = "text") -> Model
                 rest = replaced(text, base_spans(text), " ")
                 for v in found:
                     yield 1, v
-                for w in WORD.findall(rest)[:200]:
+                for w in WORD.findall(rest):
                     yield 0, w
 
         return common.in_batches(rows(), pa.schema([("label", pa.int32()), ("s", pa.string())]), 4096)
