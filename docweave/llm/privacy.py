@@ -3,9 +3,10 @@
 The base kinds are fixed patterns; their matches are the protected entities. How much a term tells about an entity is
 their pointwise mutual information, estimated from documents: log2(N c(t, e) / (c(t) c(e))), where c(t, e) counts the
 documents in which the term stands within `window` words of the entity. An entity's information content is
-log2(N / c(e)). A term whose information is at least `threshold` of that content, in `support` different contexts or
-more (the words around the entity; copies of a passage are one context), discloses the entity: wherever the term
-stands it is a span of kind `term`, and sanitise() generalises it.
+log2(N / c(e)). A term whose information is at least `threshold` of that content discloses the entity: wherever the
+term stands it is a span of kind `term`, and sanitise() generalises it. One passage is enough, as most entities stand
+in one only; `support` asks for more contexts (the words around the entity; copies of a passage are one context).
+Terms are words of two letters or more, as names may be short; those under four don't count towards the window.
 
 Three passes, none of which moves a text: entities and the terms around them; the document counts of those terms over
 the whole corpus, summed in each task before they are dealt; and base spans together with the places of the terms that
@@ -38,7 +39,9 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W\d_]{2,}")
+#: Words of fewer letters don't count towards the window.
+COUNTED = 4
 ALL_KINDS = (*KINDS, "term")
 #: Bits of the Bloom filter: 4 MB, whatever the corpus holds.
 BLOOM_BITS = 1 << 25
@@ -98,12 +101,14 @@ def around(text: str, spans: list[Span], window: int) -> set[tuple[str, str]]:
         low = max(0, a - 40 * window)
         while low and text[low - 1].isalpha():
             low -= 1
-        before = list(TERM.finditer(text, low, a))[-window:]
-        after = []
-        for m in TERM.finditer(text, b):
-            if len(after) == window or m.start() > b + 40 * window:
-                break
-            after.append(m)
+        before, after = [], []
+        for side, found in ((before, reversed(list(TERM.finditer(text, low, a)))), (after, TERM.finditer(text, b))):
+            n = 0
+            for m in found:
+                if n == window or m.start() > b + 40 * window:
+                    break
+                side.append(m)
+                n += len(m[0]) >= COUNTED
         for m in (*before, *after):
             if not any(x < m.end() and m.start() < y for _, x, y in spans):
                 out.add((entity(k, text[a:b]), m[0].lower()))
@@ -152,7 +157,7 @@ def disclosing(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: floa
     return told.where((content > 0) & (pmi >= threshold * content)).select("term").distinct()
 
 
-def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     spark = docs.sparkSession
     common.short_batches(spark)
