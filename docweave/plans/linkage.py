@@ -107,7 +107,7 @@ query("hybrid_topk")(lambda s, d: M.top_k(_hybrid(s, d), "score", 5).select("que
 def _cascade(s, d):
     q, pool = variants(s, d), cases(s, d)
     w = M.tf_idf(_tokens(pool, "cnr", "extracted_text_snippet"), F.lit(pool.count()))
-    asked = M.tf_idf(_tokens(q.where("variant_type = 'paraphrased'").select("query_id", "extracted_text_snippet"), "query_id", "extracted_text_snippet"), F.lit(pool.count()))
+    asked = M.tf_idf(_tokens(q.select("query_id", "extracted_text_snippet"), "query_id", "extracted_text_snippet"), F.lit(pool.count()))
     best = M.top_k(M.sparse_scores(asked, w), "sparse", 1).select("query_id", c("id").alias("matched_case_id"), c("sparse").alias("score"))
     return M.cascade(q, pool, best, least=0.5)
 
