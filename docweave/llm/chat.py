@@ -143,4 +143,4 @@ def read_back(formatted: DataFrame, learn_from: str = "assistant") -> DataFrame:
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     dealt = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "segment")
-    return dealt.mapInArrow(run, f"conv_id {id_ddl}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(common.tidy(run), f"conv_id {id_ddl}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

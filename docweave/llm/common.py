@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,24 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once."""
+    """Bounds what a Python worker holds at once. Every operator asks for the same size, so none changes another's; it stays set, as plans run later than they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """This application's folder for written intermediate tables, under spark.checkpoint.dir; it goes when the driver ends.
+
+    A local master may do without that setting and gets a folder on this machine; on a cluster other machines wouldn't see it, so that is a ValueError.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    own = f"{base.rstrip('/')}/docweave-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return own
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow: when a task ends, its worker, which waits for others, gives the memory it freed back to the machine."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/docweave-{uuid.uuid4().hex}/{tag}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docweave_path = path
@@ -85,7 +114,7 @@ def per_row(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], inputs:
         yield from in_batches((f(r) for r in rows_of(batches, *inputs)), schema)
 
     short_batches(df.sparkSession)
-    return df.select(*inputs).mapInArrow(run, ddl)
+    return df.select(*inputs).mapInArrow(tidy(run), ddl)
 
 
 def task_rows() -> Iterator[int]:

@@ -25,7 +25,7 @@ from . import common
 DIM, GRAM = 1024, 3
 SLICE = 1 << 18
 #: n-gram vectors that a Python worker remembers; beyond it the memory starts anew.
-MOST_GRAMS = 60_000
+MOST_GRAMS = 16_000
 
 
 class Space:
@@ -124,7 +124,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> d
 
     rows = docs.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     # components are rounded to 2^-20 and summed as integers, so that the order of tasks doesn't show
-    summed = rows.mapInArrow(run, "label string, i int, x double").groupBy("label", "i").agg(F.sum(F.round(F.col("x") * 1048576).cast("long")).alias("x"))
+    summed = rows.mapInArrow(common.tidy(run), "label string, i int, x double").groupBy("label", "i").agg(F.sum(F.round(F.col("x") * 1048576).cast("long")).alias("x"))
     out: dict[str, np.ndarray] = {}
     for label, i, x in summed.collect():
         out.setdefault(label, np.zeros(DIM))[i] = x
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str]
             own = [batch.column(f"k{i}") for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, np.clip(fit, 0, 1), 0.0))], schema=schema)
 
-    rows = docs.select(*cols).mapInArrow(run, ddl)
+    rows = docs.select(*cols).mapInArrow(common.tidy(run), ddl)
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "fit")
 
 

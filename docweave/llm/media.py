@@ -180,7 +180,7 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
                 given.add(e)
             yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(counts, pa.int32()), pa.array(found, fields.types[3])], schema=fields)
 
-    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(describe, f"doc_id {id_ddl}, same long, n_corners int, corners array<int>")
+    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(common.tidy(describe), f"doc_id {id_ddl}, same long, n_corners int, corners array<int>")
     rows = common.written(rows, "corners")
     # (e, g, cell): a row for each corner and table. The exchange by cell serves the removal of copies, counts, pairs and hubs.
     at = F.sequence(F.lit(0), F.size("corners") - 1, F.lit(4))
@@ -224,7 +224,7 @@ def _tried(matches: DataFrame, agree: int) -> DataFrame:
 
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.list_(pa.int64()))]), 4096)
 
-    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).mapInArrow(run, "a long, b long, m array<long>")
+    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).mapInArrow(common.tidy(run), "a long, b long, m array<long>")
 
 
 def _agree(matches: list[int], agree: int) -> bool:
@@ -283,7 +283,7 @@ def _left_over(tried: DataFrame, roots: DataFrame, agree: int) -> DataFrame:
 
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 4096)
 
-    return by_cell.unionByName(short.select("a", "b", "m", "at_a", "at_b")).mapInArrow(run, "a long, b long").distinct()
+    return by_cell.unionByName(short.select("a", "b", "m", "at_a", "at_b")).mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def _shared(left: str, right: str) -> Column:

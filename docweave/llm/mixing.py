@@ -172,4 +172,4 @@ def _fly(dealt: DataFrame) -> DataFrame:
 
         return common.in_batches(rows(), schema, 4096)
 
-    return dealt.select(*cols).repartition("source", "part").sortWithinPartitions("source", "part", "key", "doc_id", "nth").mapInArrow(run, ddl)
+    return dealt.select(*cols).repartition("source", "part").sortWithinPartitions("source", "part", "key", "doc_id", "nth").mapInArrow(common.tidy(run), ddl)

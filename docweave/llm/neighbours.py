@@ -117,7 +117,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(rows: DataFrame, k: int = 5, every: int = 50, recall: float = 0.97, sample: int = 20_000, calibrate: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    common.short_batches(spark)
     own = common.written(usable(rows, id_col, vector_col), "vectors")
     v_ddl = common.ddl_type(own, "v")
     first = Window.partitionBy("v").orderBy("vec_id")
@@ -132,7 +132,7 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, recall: float = 0.97, s
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(tree.leaves_of(unit(matrix(b.column("v"))))), *b.columns], names=["leaf", *b.schema.names])
 
-    indexed = common.written(classes.mapInArrow(deal, f"leaf long, v {v_ddl}, ids array<long>, class long"), "indexed")
+    indexed = common.written(classes.mapInArrow(common.tidy(deal), f"leaf long, v {v_ddl}, ids array<long>, class long"), "indexed")
     asking = own.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").join(classes.select("v", "class"), "v").select("query_id", "class")
     asking = common.written(asking, "asking")
     queries = asking.select("class").distinct().join(classes.select("class", "v"), "class")
@@ -147,7 +147,7 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, recall: float = 0.97, s
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x, dtype=np.int64) for x in lists])), b.column("class").take(pa.array(at)), b.column("v").take(pa.array(at))], names=["leaf", "class", "v"])
 
-    asked = queries.select("class", "v").mapInArrow(walk, f"leaf long, class long, v {v_ddl}")
+    asked = queries.select("class", "v").mapInArrow(common.tidy(walk), f"leaf long, class long, v {v_ddl}")
     blocks = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     held = indexed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("class"), "blocks").alias("block"), F.lit(0).alias("kind"), "class", "ids", "v")
     to = asked.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "class", F.lit(None).cast("array<long>").alias("ids"), "v")
@@ -186,7 +186,7 @@ def search(rows: DataFrame, k: int = 5, every: int = 50, recall: float = 0.97, s
             who = np.repeat(np.arange(len(top)), [len(t) for t in top])
             yield pa.RecordBatch.from_arrays([some.column("class").take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores[who, at])], names=["class", "ids", "score"])
 
-    near = together.mapInArrow(compare, "class long, ids array<long>, score double")
+    near = together.mapInArrow(common.tidy(compare), "class long, ids array<long>, score double")
     order = Window.partitionBy("class").orderBy(F.desc("score"), F.col("ids")[0])
     near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
@@ -223,7 +223,7 @@ def calibrated(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recal
         yield from common.in_batches(((int(names[i]), -s, c, leaf) for i, x in held.items() for s, c, leaf in x), pa.schema([("q", pa.int64()), ("score", pa.float64()), ("class", pa.int64()), ("leaf", pa.int64())]), 4096)
 
     own = Window.partitionBy("q").orderBy(F.desc("score"), "class")
-    got = indexed.mapInArrow(exact, "q long, score double, class long, leaf long").where("q <> class").withColumn("n", F.row_number().over(own)).where(F.col("n") <= k).select("q", "leaf").collect()
+    got = indexed.mapInArrow(common.tidy(exact), "q long, score double, class long, leaf long").where("q <> class").withColumn("n", F.row_number().over(own)).where(F.col("n") <= k).select("q", "leaf").collect()
     near = unit(v) @ tree.matrix.T
     order = {int(q): {leaf: i + 1 for i, leaf in enumerate(tree.visits(n, len(tree.leaf)))} for q, n in zip(names, near, strict=True)}
     first = {int(q): max(n[x] for x in tree.leaf) for q, n in zip(names, near, strict=True)}

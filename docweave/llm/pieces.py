@@ -112,7 +112,7 @@ def unpack_seqs(blob: bytes) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(lens)[:-1])
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 24_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
     """A row a document: doc_id, ids array<int> (the end id last), decoded string (the library's decode of those ids)."""
     with open(model_path, "rb") as f:
         model = f.read()
@@ -161,10 +161,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if "Exchange" in given._jdf.queryExecution().executedPlan().toString():
-        both = common.written(given.mapInArrow(to_blocks((0, 1)), row_ddl), "blocks")
+        both = common.written(given.mapInArrow(common.tidy(to_blocks((0, 1))), row_ddl), "blocks")
         words, numbered = both.where("kind = 0").select("block", "a"), both.where("kind = 1")
     else:
-        words, numbered = (given.mapInArrow(to_blocks((k,)), row_ddl) for k in (0, 1))
+        words, numbered = (given.mapInArrow(common.tidy(to_blocks((k,))), row_ddl) for k in (0, 1))
     buckets = min(4096, max(16, common.estimated_bytes(docs) >> 24))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +195,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
         return common.in_batches(rows(), row_schema)
 
-    dealt = words.select("block", "a").mapInArrow(deal, "bucket int, block long, at binary, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    asked = dealt.mapInArrow(segment_all, row_ddl)
+    dealt = words.select("block", "a").mapInArrow(common.tidy(deal), "bucket int, block long, at binary, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    asked = dealt.mapInArrow(common.tidy(segment_all), row_ddl)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", id_arrow), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return common.in_batches(rows(), schema, 128)
 
     together = numbered.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
-    return together.mapInArrow(join_up, f"doc_id {id_ddl}, ids array<int>, decoded string")
+    return together.mapInArrow(common.tidy(join_up), f"doc_id {id_ddl}, ids array<int>, decoded string")
 
 
 def by_position(parts: list[tuple[np.ndarray, list[bytes]]], width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -135,7 +135,7 @@ def bloom(terms: DataFrame) -> bytes:
 
     # one row for each 32-bit word that is set: no more than BLOOM_BITS / 32 of them reach the driver
     out = np.zeros(BLOOM_BITS // 32, dtype="<u4")
-    found = terms.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = terms.mapInArrow(common.tidy(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype("<u4")
     return out.tobytes()
 
@@ -180,7 +180,7 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
 
         return common.in_batches(rows(), pa.schema(fields), 4096)
 
-    pairs = own.mapInArrow(first, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = own.mapInArrow(common.tidy(first), "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
     pairs = common.written(pairs.where((F.col("contexts") >= support) | (F.col("term") == "")), "pairs")
     candidates = pairs.where("term <> ''").select("term").distinct()
@@ -202,7 +202,7 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
 
     told = spark.createDataFrame([], "term string")
     if candidates.limit(1).count():
-        counts = own.mapInArrow(count, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
+        counts = own.mapInArrow(common.tidy(count), "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
         told = common.written(disclosing(pairs, counts.join(candidates, "term", "left_semi"), own.count(), threshold), "told")
     telling = spark.sparkContext.broadcast(bloom(told))
 
@@ -227,7 +227,7 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
         return common.in_batches(rows(), pa.schema(fields))
 
     ddl = f"row_id long, doc_id {id_ddl}, term string, places string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string"
-    read = common.written(own.mapInArrow(second, ddl), "read")
+    read = common.written(own.mapInArrow(common.tidy(second), ddl), "read")
     bases, hits = read.where("term is null"), read.where("term is not null")
     more = hits.select("row_id", "term", "places").join(told, "term", "left_semi").groupBy("row_id").agg(F.collect_list("places").alias("more"))
     kinds = [*KINDS, "term"]

@@ -105,7 +105,7 @@ def train(docs: DataFrame, sample: int = 4_000, text_col: str = "text") -> Model
     chosen = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), h.alias("h"))
     edge = chosen.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = chosen.where(F.col("h") <= F.lit(edge if edge is not None else 0)).select("text")
-    got = chosen.mapInArrow(run, "label int, s string").distinct().withColumn("h", F.xxhash64("s")).orderBy(F.desc("label"), "h").limit(40 * sample).select("label", "s").collect()
+    got = chosen.mapInArrow(common.tidy(run), "label int, s string").distinct().withColumn("h", F.xxhash64("s")).orderBy(F.desc("label"), "h").limit(40 * sample).select("label", "s").collect()
     words = [r.s for r in got if r.label == 0]
     rng = random.Random(11)
     long = ["".join(x + rng.choice(("", "_", "-", x[:1].upper())) for x in rng.choices(words, k=rng.randint(2, 6))) for _ in range(len(words))] if words else []

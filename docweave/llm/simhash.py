@@ -155,7 +155,7 @@ def links(fps: DataFrame, radius: int = 2, most_in_tree: int = 20_000) -> DataFr
         return common.in_batches(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 4096)
 
     keys = ["k", "v", "t", "w"]
-    return small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
+    return small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -226,7 +226,7 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
 
         return common.in_batches(rows(), pa.schema(fields))
 
-    staged = common.written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(to_chunks, ddl), "staged")
+    staged = common.written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(to_chunks), ddl), "staged")
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
@@ -247,7 +247,7 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
         return common.in_batches(rows(), schema, 64)
 
     dealt = staged.where("bucket >= 0").select(F.col("bucket").alias("sub"), "names", "lens", "data").repartition(buckets, "sub").sortWithinPartitions("sub")
-    dealt.mapInArrow(unique, "bucket int, names binary, lens binary, data binary").write.option("compression", "none").parquet(f"{path}/chunks")
+    dealt.mapInArrow(common.tidy(unique), "bucket int, names binary, lens binary, data binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
     ordered = staged.where("bucket < 0").select("doc_id", "row_id", "n_tokens", "names", "root").repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     ordered = common.written(ordered, "ordered")
@@ -282,7 +282,7 @@ def part_roots(recipes: DataFrame, root_col: str = "root") -> DataFrame:
 
         return common.in_batches(rows(), pa.schema([("part", pa.int32()), ("root", pa.binary())]))
 
-    return recipes.select("part", "start", root_col).repartition("part").sortWithinPartitions("part", "start").mapInArrow(run, "part int, root binary")
+    return recipes.select("part", "start", root_col).repartition("part").sortWithinPartitions("part", "start").mapInArrow(common.tidy(run), "part int, root binary")
 
 
 def chunk_rows(spark: SparkSession, path: str, width: str) -> DataFrame:
@@ -303,7 +303,7 @@ def chunk_rows(spark: SparkSession, path: str, width: str) -> DataFrame:
 
         return common.in_batches(rows(), pa.schema([("name", pa.binary()), ("n", pa.int64()), ("crc", pa.int64()), ("data", pa.binary())]), 4096)
 
-    return spark.read.parquet(f"{path}/chunks").select("names", "lens", "data").mapInArrow(run, "name binary, n long, crc long, data binary")
+    return spark.read.parquet(f"{path}/chunks").select("names", "lens", "data").mapInArrow(common.tidy(run), "name binary, n long, crc long, data binary")
 
 
 def steps_of(recipes: DataFrame) -> DataFrame:
@@ -388,7 +388,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         return common.in_batches(rows(), schema, 4096)
 
     common.short_batches(spark)
-    return heads.unionByName(steps).repartition("row_id").sortWithinPartitions("row_id", "seq").mapInArrow(run, f"doc_id {id_ddl}, start long, n_tokens long, ids_crc32 long")
+    return heads.unionByName(steps).repartition("row_id").sortWithinPartitions("row_id", "seq").mapInArrow(common.tidy(run), f"doc_id {id_ddl}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -412,7 +412,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
         return common.in_batches(rows(), pa.schema([("doc_id", id_arrow), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))]), 128)
 
-    return steps.repartition("row_id").sortWithinPartitions("row_id", "seq").mapInArrow(run, f"doc_id {id_ddl}, start long, ids array<int>")
+    return steps.repartition("row_id").sortWithinPartitions("row_id", "seq").mapInArrow(common.tidy(run), f"doc_id {id_ddl}, start long, ids array<int>")
 
 
 def verify(spark: SparkSession, path: str) -> int:
@@ -428,4 +428,4 @@ def verify(spark: SparkSession, path: str) -> int:
 
 
 def new_store(spark: SparkSession) -> str:
-    return f"{common.scratch(spark)}/docweave-store-{uuid.uuid4().hex}"
+    return f"{common.scratch(spark)}/store-{uuid.uuid4().hex}"
