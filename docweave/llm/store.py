@@ -6,11 +6,12 @@ distinct chunk is written once. The file format is three Parquet tables under on
 
   chunks/    bucket, names (16 bytes each), lens (ids a chunk, <u4), data (zstd of the ids, <u2 or <u4 as in manifest)
   recipes/   part, doc_id, row_id, n_tokens, start, names (16 bytes each, in order), root (Merkle root over them)
-  manifest/  part, first_start, n_docs, n_tokens, root (Merkle root over the part's recipe roots, in order), width
+  manifest/  part, first_start, n_docs, n_tokens, root (Merkle root over the part's recipes, in order: id, start, size and root), width
 
 Recipes stand in ascending order of doc_id (nulls first; equal ids in the order of their roots), `part` counts the
 pieces of that order. Reading back checks every chunk against its name, every recipe against its Merkle root and every
-part against the manifest; a mismatch raises ValueError in verify().
+part against the manifest (its root, and that starts and sizes follow on each other without a gap); a mismatch raises
+ValueError, in the task that finds it or on the driver.
 
 Null texts count as empty: they hold the end id only. Repeated rows and repeated or null ids are documents of their
 own. Texts of any length are encoded whole. An empty table makes a store without documents. Columns other than the id
@@ -249,7 +250,7 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
     dealt = staged.where("bucket >= 0").select(F.col("bucket").alias("sub"), "names", "lens", "data").repartition(buckets, "sub").sortWithinPartitions("sub")
     dealt.mapInArrow(common.tidy(unique), "bucket int, names binary, lens binary, data binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
-    ordered = staged.where("bucket < 0").select("doc_id", "row_id", "n_tokens", "names", "root").repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    ordered = staged.where("bucket < 0").select("doc_id", "row_id", "n_tokens", "names", "root").repartitionByRange(F.col("doc_id").asc_nulls_first(), "root", "row_id").withColumn("part", F.spark_partition_id())
     ordered = common.written(ordered, "ordered")
     common.drop_written(staged)
     parts = ordered.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -259,30 +260,47 @@ def write_store(docs: DataFrame, spec_path: str, path: str, end_id: int = 2, id_
     starts = F.col("first_start") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))
     ordered.join(parts.select("part", "first_start"), "part").withColumn("start", starts.cast("long")).select("part", "doc_id", "row_id", "n_tokens", "start", "names", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
     common.drop_written(ordered)
-    recipes = spark.read.parquet(f"{path}/recipes")
-    roots = part_roots(recipes)
-    parts_now = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"))
-    parts_now.join(roots, "part").withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
+    parts_now = described_parts(spark.read.parquet(f"{path}/recipes"))
+    parts_now.withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
 
 
-def part_roots(recipes: DataFrame, root_col: str = "root") -> DataFrame:
-    """(part, root): a part's recipes read in their order, one at a time."""
+def described_parts(recipes: DataFrame) -> DataFrame:
+    """(part, first_start, n_docs, n_tokens, root): what the manifest says of each part, from its recipes, read in their order one at a time. ValueError in a task where a recipe doesn't start at the end of the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            part, leaves = None, []
-            for p, root in common.rows_of(batches, "part", root_col):
+            part, leaves, first, at = None, [], 0, 0
+            for p, start, n, doc_id, root in common.rows_of(batches, "part", "start", "n_tokens", "doc_id", "root"):
                 if p != part and leaves:
-                    yield part, merkle(leaves)
-                    leaves = []
-                part = p
-                leaves.append(root)
+                    yield part, first, len(leaves), at - first, merkle(leaves)
+                if p != part:
+                    part, leaves, first, at = p, [], start, start
+                if start != at:
+                    raise ValueError(f"document {doc_id} starts at {start}, the one before it ends at {at}")
+                leaves.append(name_of(f"{doc_id} {start} {n} ".encode() + root))
+                at += n
             if leaves:
-                yield part, merkle(leaves)
-
-        return common.in_batches(rows(), pa.schema([("part", pa.int32()), ("root", pa.binary())]))
-
-    return recipes.select("part", "start", root_col).repartition("part").sortWithinPartitions("part", "start").mapInArrow(common.tidy(run), "part int, root binary")
+                yield part, first, len(leaves), at - first, merkle(leaves)
+
+        return common.in_batches(rows(), pa.schema([("part", pa.int32()), ("first_start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
+
+    own = recipes.select("part", "start", "n_tokens", F.col("doc_id").cast("string").alias("doc_id"), "root")
+    return own.repartition("part").sortWithinPartitions("part", "start").mapInArrow(common.tidy(run), "part int, first_start long, n_docs long, n_tokens long, root binary")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """ValueError unless the manifest says of every part what its recipes say, and the parts follow on each other from 0."""
+    said, now = spark.read.parquet(f"{path}/manifest"), described_parts(spark.read.parquet(f"{path}/recipes"))
+    names = [c for c in now.columns if c != "part"]
+    both = said.join(now.select("part", *(F.col(c).alias(f"{c}_now") for c in names)), "part", "full")
+    # a row for each part: few
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("due", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    wrong = ~F.col("first_start").eqNullSafe(F.col("due"))
+    for c in names:
+        wrong = wrong | ~F.col(c).eqNullSafe(F.col(f"{c}_now"))
+    if bad := both.where(wrong).count():
+        raise ValueError(f"{bad} parts don't match the manifest")
 
 
 def chunk_rows(spark: SparkSession, path: str, width: str) -> DataFrame:
@@ -346,7 +364,8 @@ def crc_joined(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.nda
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Chunk bytes stay where they are read: a document's CRC-32 is put together from its chunks', and its Merkle root from their recomputed names."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. The manifest is checked first. Chunk bytes stay where they are read: a document's CRC-32 is put together from its chunks', and its Merkle root from their recomputed names."""
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     width = next((r[0] for r in spark.read.parquet(f"{path}/manifest").select("width").limit(1).collect()), "<u4")
     found = chunk_rows(spark, path, width).select("name", "n", "crc")
@@ -417,14 +436,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(spark: SparkSession, path: str) -> int:
     """Documents checked; ValueError (or a failed task that says so) where files, recipes and manifest disagree."""
-    n = read_back(spark, path).count()
-    recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest")
-    now = part_roots(recipes).withColumnRenamed("root", "now")
-    bad = manifest.join(now, "part", "full").where(~F.col("root").eqNullSafe(F.col("now"))).count()
-    if bad or n != (manifest.agg(F.sum("n_docs")).first()[0] or 0):
-        raise ValueError(f"{bad} parts don't match the manifest")
-    return n
+    return read_back(spark, path).count()
 
 
 def new_store(spark: SparkSession) -> str:

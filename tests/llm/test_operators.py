@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm import chat, languages, media, mixing, neighbours, pieces, privacy, secrets, simhash, store
@@ -77,6 +78,15 @@ def test_store(spark, docs, none):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    for column, value in (("start", "start + 1"), ("doc_id", "doc_id + 1"), ("n_tokens", "n_tokens")):  # changed, changed, lost rows
+        bent = store.new_store(spark)
+        for t in ("chunks", "recipes", "manifest"):
+            rows = spark.read.parquet(f"{path}/{t}")
+            if t == "recipes":
+                rows = rows.withColumn(column, F.expr(value)).where("doc_id is null or doc_id <> 4" if column == "n_tokens" else "true")
+            rows.write.parquet(f"{bent}/{t}")
+        with pytest.raises(Exception, match="manifest|starts at"):
+            store.read_back(spark, bent)
     empty = store.new_store(spark)
     store.write_store(none, WORDS, empty)
     assert store.read_back(spark, empty).count() == 0
