@@ -1,11 +1,13 @@
 """Media columns: cropped and edited copies of images, found by local descriptors.
 
-Harris corners are taken on several scales; each gets an orientation from its patch's intensity centroid and 96 binary
-intensity tests rotated by it. Three Hamming tables hold two of the descriptors' 32-bit thirds each, so descriptors
-that differ within one third only (all those that differ by one bit) meet in a table; a single third would meet by chance in
-proportion to the table. An image needs `agree` such corners, not all. Images that meet are compared
-by geometric consensus: the similarity transform (turn, scale, shift) that a pair of matched corners sets must carry
-`agree` corners or more onto their matches. Classes are the connected components of what agrees.
+Harris corners are taken on a pyramid of scales, each 0.71 of the one before, as long as sides have LEAST_SIDE pixels; a
+scale has a corner for every AREA pixels, LEAST_CORNERS at least, so corners grow with the image. Each gets an
+orientation from its patch's intensity centroid and 320 binary intensity tests within 8 pixels, turned by it. Two Hamming
+tables hold one half of the descriptors each: descriptors that differ within one half only (all those that differ by
+one bit) meet in a table, and a half of 160 tests is seldom that of another picture's corner. An image needs `agree`
+such corners, not all. Images that meet are compared by geometric consensus: the similarity transform (turn, scale,
+shift) that a pair of matched corners sets must carry `agree` corners or more onto their matches. Classes are the
+connected components of what agrees.
 
 Images with equal bytes are one entry. A table cell that more than `most` different images share (a logo's corner, or
 one picture edited thousands of times) isn't paired out at first: its members are compared with the cell's first image,
@@ -15,8 +17,8 @@ with all matches. Images with fewer than `agree` corners in crowded cells can't
 needn't be met in all their cells (see `_left_over`). So classes are those of all pairs; n_links counts the links that were tried, not those inside settled groups.
 
 Images are binary PGM (P5, 8 bit); other bytes, null and empty ones, and images without corners are classes of their
-own (n_corners 0; equal bytes are still one class). Repeated rows and ids stay, a null id never names a class. An
-empty table gives an empty result. Other columns are ignored.
+own (n_corners 0; equal bytes are still one class). An image is described in memory as a whole. Repeated rows and ids
+stay, a null id never names a class. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCALES, PER_SCALE, PATCH, TURNS = (1.0, 0.71), (12, 6), 8, 32
+PATCH, TURNS, TESTS, TABLES = 8, 32, 320, 2
+AREA, LEAST_CORNERS, LEAST_SIDE = 256, 8, 32
+#: A test asks for a difference of more than this share of the patch's standard deviation, so that noise in flat parts doesn't decide it.
+MARGIN = 0.15
+#: Corners described at once, so that memory doesn't grow with their number.
+SLICE = 4096
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 
 
@@ -49,13 +56,12 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
 
 
 def _pattern() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Test points for each turn (TURNS, 96, 2 points), and the disc of the orientation patch, as (y, x)."""
-    rng = np.random.default_rng(96)
-    base = np.clip(rng.normal(0, PATCH / 2.2, (96, 2, 2)), -PATCH * 0.66, PATCH * 0.66)
-    base[:, 1, 1] = base[:, 0, 1]  # across the orientation: along it, the gradient would settle most tests alike
+    """Test points for each turn (TURNS, TESTS, 2 points), spread evenly over a disc, and the disc of the orientation patch, as (y, x)."""
+    rng = np.random.default_rng(TESTS)
+    angle, far = rng.uniform(0, 2 * np.pi, (TESTS, 2)), PATCH * np.sqrt(rng.uniform(0, 1, (TESTS, 2)))
+    y, x = far * np.sin(angle), far * np.cos(angle)
     turns = 2 * np.pi * np.arange(TURNS) / TURNS
     c, s = np.cos(turns)[:, None, None], np.sin(turns)[:, None, None]
-    y, x = base[None, ..., 0], base[None, ..., 1]
     points = np.stack([s * x + c * y, c * x - s * y], -1).round().astype(np.int64)
     disc = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if y * y + x * x <= 38])
     return points, disc[:, 0], disc[:, 1]
@@ -89,14 +95,23 @@ def resized(x: np.ndarray, scale: float) -> np.ndarray:
     return rows[:, :, j] * (1 - g) + rows[:, :, j1] * g
 
 
-def described(images: np.ndarray) -> list[list[int]]:
-    """For each of the equally large images: place, key, key, key of one corner after the other, as signed 32-bit integers.
+def scales(h: int, w: int) -> Iterator[tuple[float, int]]:
+    """The pyramid's scales for an image of that size, and how many corners each may give."""
+    k = 0
+    while k == 0 or min(h, w) * 0.5 ** (k / 2) >= LEAST_SIDE - 1:
+        scale = 0.5 ** (k / 2)
+        yield scale, max(LEAST_CORNERS, round(h * w * scale * scale / AREA))
+        k += 1
+
+
+def described(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the equally large images: its corners' places, and their descriptors (packed bits, a row a corner).
 
     A place packs x and y in the image as given (16 bits each; in units of more pixels where a side is longer than that).
     """
-    out: list[list[int]] = [[] for _ in images]
+    places, bits = [[np.zeros(0, dtype=np.int32)] for _ in images], [[np.zeros((0, TESTS // 8), dtype=np.uint8)] for _ in images]
     unit = 1 + max(images.shape[1:]) // (1 << 16)
-    for scale, k in zip(SCALES, PER_SCALE, strict=True):
+    for scale, k in scales(*images.shape[1:]):
         x = images.astype(np.float32) if scale == 1 else resized(images.astype(np.float32), scale)
         h, w = x.shape[1:]
         if min(h, w) <= 2 * PATCH + 2:
@@ -112,26 +127,41 @@ def described(images: np.ndarray) -> list[list[int]]:
         flat = np.where(peak, r, 0).reshape(len(x), -1)
         k = min(k, flat.shape[1])
         top = np.argpartition(-flat, k - 1, axis=1)[:, :k]
-        good = np.take_along_axis(flat, top, 1) > 0
-        cy, cx = top // r.shape[2] + PATCH, top % r.shape[2] + PATCH
-        n = np.arange(len(x))[:, None, None]
-        patch = smooth[n, cy[..., None] + _DY, cx[..., None] + _DX]
-        turn = np.arctan2((patch * _DY).sum(-1), (patch * _DX).sum(-1)) % (2 * np.pi)
-        points = _POINTS[(turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS]
-        y, z = cy[..., None, None] + points[..., 0], cx[..., None, None] + points[..., 1]
-        tests = smooth[n[..., None], y, z]
-        keys = np.packbits(tests[..., 0] < tests[..., 1], axis=-1).reshape(len(x), k, 12).copy().view(">i4").astype(np.int64)
-        ox, oy = ((cx + 0.5) / scale - 0.5).round().astype(np.int64), ((cy + 0.5) / scale - 0.5).round().astype(np.int64)
-        place = (ox // unit << 16 | oy // unit).astype(np.uint32).view(np.int32)
-        for i, j in zip(*np.nonzero(good), strict=True):
-            out[i] += (int(place[i, j]), *keys[i, j].tolist())
-    return out
-
-
-def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0) -> int:
-    """The most corners (4 pixels apart or more) that one similarity transform carries onto their matches; left and right are places."""
+        of, at = np.nonzero(np.take_along_axis(flat, top, 1) > 0)
+        top = top[of, at]
+        for lo in range(0, len(of), SLICE):
+            n = of[lo : lo + SLICE]
+            cy, cx = top[lo : lo + SLICE] // r.shape[2] + PATCH, top[lo : lo + SLICE] % r.shape[2] + PATCH
+            patch = smooth[n[:, None], cy[:, None] + _DY, cx[:, None] + _DX]
+            turn = np.arctan2((patch * _DY).sum(-1), (patch * _DX).sum(-1)) % (2 * np.pi)
+            points = _POINTS[(turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS]
+            tests = smooth[n[:, None, None], cy[:, None, None] + points[..., 0], cx[:, None, None] + points[..., 1]]
+            keys = np.packbits(tests[..., 1] - tests[..., 0] > MARGIN * patch.std(-1)[:, None], axis=-1)
+            ox, oy = ((cx + 0.5) / scale - 0.5).round().astype(np.int64), ((cy + 0.5) / scale - 0.5).round().astype(np.int64)
+            place = (ox // unit << 16 | oy // unit).astype(np.uint32).view(np.int32)
+            edges = np.searchsorted(n, np.arange(len(images) + 1))
+            for i in np.unique(n).tolist():
+                places[i].append(place[edges[i] : edges[i + 1]])
+                bits[i].append(keys[edges[i] : edges[i + 1]])
+    return [(np.concatenate(p), np.concatenate(b)) for p, b in zip(places, bits, strict=True)]
+
+
+def cells(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit cell for each corner and table (corners, TABLES), from the table's part of the descriptor."""
+    parts = np.ascontiguousarray(keys).view("<u4").reshape(len(keys), TABLES, TESTS // 32 // TABLES).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(parts.shape[2]):
+        out = (out ^ parts[..., i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0, enough: int | None = None) -> int:
+    """The most corners (4 pixels apart or more) that one similarity transform carries onto their matches, or `enough` of them; left and right are places."""
     a, b = ((p >> 16) + 1j * (p & 0xFFFF) for p in (left, right))
-    cells = [(p >> 18 << 16 | (p & 0xFFFF) >> 2) for p in (left, right)]
+    squares = [(p >> 18 << 16 | (p & 0xFFFF) >> 2) for p in (left, right)]
     i, j = np.triu_indices(len(a), 1)
     far = (np.abs(a[i] - a[j]) >= 6) & (np.abs(b[i] - b[j]) >= 6)
     i, j, best = i[far], j[far], 0
@@ -144,7 +174,9 @@ def consensus(left: np.ndarray, right: np.ndarray, off: float = 3.0) -> int:
         for t in np.argsort(-count, kind="stable"):
             if count[t] <= best:
                 break
-            best = max(best, min(len(np.unique(c[fits[t]])) for c in cells))
+            best = max(best, min(len(np.unique(c[fits[t]])) for c in squares))
+        if enough is not None and best >= enough:
+            break
     return best
 
 
@@ -153,7 +185,7 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
     spark = images.sparkSession
     common.short_batches(spark)
     id_arrow, id_ddl = common.arrow_type(images, id_col), common.ddl_type(images, id_col)
-    fields = pa.schema([("doc_id", id_arrow), ("same", pa.int64()), ("n_corners", pa.int32()), ("corners", pa.list_(pa.int32()))])
+    fields = pa.schema([("doc_id", id_arrow), ("same", pa.int64()), ("n_corners", pa.int32()), ("places", pa.list_(pa.int32())), ("cells", pa.list_(pa.int64()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -161,7 +193,8 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
         given: set[int] = set()  # a task gives the corners of equal bytes once
         for batch in batches:
             ids, data = batch.column("doc_id"), batch.column("image").to_pylist()
-            found: list[list] = [[] for _ in data]
+            none = np.zeros(0, dtype=np.int32), np.zeros((0, TESTS // 8), dtype=np.uint8)
+            found = [none for _ in data]
             shapes: dict[tuple, list[int]] = {}
             pixels = [decode_pgm(x) for x in data]
             for i, p in enumerate(pixels):
@@ -173,22 +206,20 @@ def copies(images: DataFrame, id_col: str, image_col: str, agree: int = 4, most:
                     for i, c in zip(at[lo : lo + step], described(np.stack([pixels[i] for i in at[lo : lo + step]])), strict=True):
                         found[i] = c
             same = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in data]
-            counts = [len(c) // 4 for c in found]
+            counts = [len(p) for p, _ in found]
             for i, e in enumerate(same):
                 if e in given:
-                    found[i] = []
+                    found[i] = none
                 given.add(e)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(counts, pa.int32()), pa.array(found, fields.types[3])], schema=fields)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), pa.array(counts, pa.int32()), pa.array([p for p, _ in found], fields.types[3]), pa.array([cells(k).ravel() for _, k in found], fields.types[4])], schema=fields)
 
-    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(common.tidy(describe), f"doc_id {id_ddl}, same long, n_corners int, corners array<int>")
+    rows = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).mapInArrow(common.tidy(describe), f"doc_id {id_ddl}, same long, n_corners int, places array<int>, cells array<long>")
     rows = common.written(rows, "corners")
     # (e, g, cell): a row for each corner and table. The exchange by cell serves the removal of copies, counts, pairs and hubs.
-    at = F.sequence(F.lit(0), F.size("corners") - 1, F.lit(4))
-    one = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get("corners", i).alias("g"), F.xxhash64(F.lit(t), F.get("corners", i + 1 + t), F.get("corners", i + 1 + (t + 1) % 3)).alias("cell")) for t in range(3)))))
-    cells = rows.where(F.size("corners") > 0).select(F.col("same").alias("e"), F.explode(one).alias("c")).select("e", "c.g", "c.cell")
-    cells = cells.repartition("cell").dropDuplicates(["cell", "e", "g"])
+    one = rows.where(F.size("places") > 0).select(F.col("same").alias("e"), "places", F.posexplode("cells").alias("at", "cell"))
+    dealt = one.select("e", F.get("places", F.floor(F.col("at") / TABLES).cast("int")).alias("g"), "cell").repartition("cell").dropDuplicates(["cell", "e", "g"])
     w = Window.partitionBy("cell")
-    met = cells.withColumns({"n": F.count("*").over(w), "hub": F.min(F.struct("e", "g")).over(w)}).where("n > 1")
+    met = dealt.withColumns({"n": F.count("*").over(w), "hub": F.min(F.struct("e", "g")).over(w)}).where("n > 1")
     few = met.where(F.col("n") <= most).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("e", "g"))).alias("m"))
     after = F.transform("m", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("m"), i + 2, F.size("m")).alias("ys")))
     pairs = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.ys").alias("y")).where("x.e <> y.e")
@@ -231,7 +262,7 @@ def _agree(matches: list[int], agree: int) -> bool:
     if len(matches) < agree:
         return False
     both = np.array(matches, dtype=np.int64)
-    return consensus(both >> 32 & 0xFFFFFFFF, both & 0xFFFFFFFF) >= agree
+    return consensus(both >> 32 & 0xFFFFFFFF, both & 0xFFFFFFFF, enough=agree) >= agree
 
 
 def _left_over(tried: DataFrame, roots: DataFrame, agree: int) -> DataFrame:
@@ -306,14 +337,21 @@ def scene(number: int, size: int = 64) -> np.ndarray:
 
 
 def fixture(number: int) -> bytes:
-    """The picture of row `number`: of every four, the first is a scene, the second a crop of it, the third brighter with less contrast and a label put in, the fourth a scene of its own."""
+    """The picture of row `number`: of every four, the first is a scene, the second a crop of it, the third an edit, the fourth a scene of its own.
+
+    Crops take off up to a quarter of a side; every fourth is turned by 90 degrees, every fourth is smaller (0.71) as
+    well. Edits are brighter with less contrast and a label put in; every second has noise besides.
+    """
     kind, own = number % 4, number - number % 4
-    x = scene(own if kind < 3 else number)
+    x, how = scene(own if kind < 3 else number), number // 4 % 4
     if kind == 1:
-        x = x[6:60, 4:62]
+        x = (x[6:60, 4:62], x[6:60, 4:62], x[4:52, 10:60], x)[how]
+        x = np.rot90(x) if how == 1 else resized(x[None], 0.5**0.5)[0] if how == 3 else x
     if kind == 2:
         x = x * 0.8 + 30
         x[50:60, 3:24] = 235
+        if how % 2:
+            x = x + np.random.Generator(np.random.PCG64(number)).normal(0, 1.5, x.shape)
     return encode_pgm(np.clip(x, 0, 255))
 
 
