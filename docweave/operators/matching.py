@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,153 +14,306 @@ from ..functions import text as X
 
 
 def last_wins(pool: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """One pool row a key, the last; rows without the key go."""
+    """One pool row a key, the last; rows without the key go. Give it the columns that are wanted only: the others needn't be computed."""
     return pool.where(F.col(key) != "").groupBy(key).agg(F.max_by(F.struct(*pool.columns), ordinal).alias("_hit"))
 
 
+def case_number(df: DataFrame) -> Column:
+    """The normalised case number, or that of the display number where there is none."""
+    return X.normalize_case_number(F.coalesce(F.nullif(X.text_or_empty(F.col("case_number")), F.lit("")), F.col("nc_display")))
+
+
+def _keyed(df: DataFrame, key: Column, *more: str) -> DataFrame:
+    return df.select(key.alias("k"), *more).where("k <> ''")
+
+
 def exact_cnr(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """query_id, matched_case_id: equal record numbers, normalised and not empty."""
-    q = queries.select("query_id", X.normalize_cnr(F.col("cnr")).alias("k")).where("k <> ''")
-    p = last_wins(pool.withColumn("k", X.normalize_cnr(F.col("cnr"))), "k")
-    return q.join(p, "k").select("query_id", F.col("_hit.cnr").alias("matched_case_id"))
+    key = X.normalize_cnr(F.col("cnr"))
+    p = last_wins(_keyed(pool, key, "cnr", "ordinal"), "k")
+    return _keyed(queries, key, "query_id").join(p, "k").select("query_id", F.col("_hit.cnr").alias("matched_case_id"))
+
+
+def court_and_year(df: DataFrame) -> tuple[Column, Column]:
+    return F.lower(F.trim(X.text_or_empty(F.col("court_name")))), F.trim(X.text_or_empty(F.col("year")))
 
 
 def composite_key(df: DataFrame) -> Column:
-    number, court, year = X.normalize_case_number(F.col("case_number")), F.lower(F.trim(X.text_or_empty(F.col("court_name")))), X.text_or_empty(F.col("year"))
+    number, (court, year) = case_number(df), court_and_year(df)
     return F.when((number != "") & (court != "") & (year != ""), F.concat_ws("|", number, court, year)).otherwise("")
 
 
 def exact_composite(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    q = queries.withColumn("k", composite_key(queries)).where("k <> ''").select("query_id", "k")
-    p = last_wins(pool.withColumn("k", composite_key(pool)), "k")
-    return q.join(p, "k").select("query_id", F.col("_hit.cnr").alias("matched_case_id"))
+    p = last_wins(_keyed(pool, composite_key(pool), "cnr", "ordinal"), "k")
+    return _keyed(queries, composite_key(queries), "query_id").join(p, "k").select("query_id", F.col("_hit.cnr").alias("matched_case_id"))
 
 
-def year_band(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs within a year of each other as an equi-join on an exploded year; queries without a year meet all years that the pool has."""
-    years = pool.select(F.col("year").alias("band")).where("band is not null").distinct()
-    dated = queries.where("year is not null").withColumn("band", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
-    undated = queries.where("year is null").join(years, F.lit(True))
-    q = dated.unionByName(undated)
-    return q.select("band", *(F.col(c).alias(f"q_{c}") for c in queries.columns)).join(pool.select(F.col("year").alias("band"), *(F.col(c).alias(f"c_{c}") for c in pool.columns)), "band")
+def exact_pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """query_id, cnr, matched_on of every pair that agrees by record number, or else by case number, court and year; here an empty court agrees with an empty court, an empty year with an empty year."""
 
+    def side(df: DataFrame, own: str) -> DataFrame:
+        court, year = court_and_year(df)
+        return df.select(F.col(own), X.normalize_cnr(F.col("cnr")).alias("by_cnr"), case_number(df).alias("number"), court.alias("court"), year.alias("year"))
 
-def with_names(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pet": X.normalize_party(F.col("petitioner")), "res": X.normalize_party(F.col("respondent")), "num": X.normalize_case_number(X.case_number_of(F.col("nc_display"), F.col("case_number")))})
+    q, p = side(queries, "query_id"), side(pool.withColumn("case", F.col("cnr")), "case")
+    by_cnr = q.where("by_cnr <> ''").join(p, "by_cnr").select("query_id", F.col("case").alias("cnr"), F.lit("cnr").alias("matched_on"))
+    keys = ["number", "court", "year"]
+    by_number = q.where("number <> ''").join(p.withColumnRenamed("by_cnr", "p_cnr"), keys).where("by_cnr = '' or p_cnr = '' or by_cnr <> p_cnr")
+    return by_cnr.unionByName(by_number.select("query_id", F.col("case").alias("cnr"), F.lit("case_number").alias("matched_on")))
+
+
+#: The band of queries without a year, which the whole pool is in.
+ALL_YEARS = -1
+
+
+def year_band(queries: DataFrame, pool: DataFrame, also: Column | None = None, salts: int = 1) -> DataFrame:
+    """Pairs q_*, c_* within a year of each other as an equi-join on an exploded year; a query without a year meets the whole pool, rows without a year too. `also`: a further condition on the pair, applied inside the join. The pool's rows of a year are dealt to `salts` tasks, to each of which its queries go."""
+    around = F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)
+    bands = F.when(F.col("year").isNull(), F.array(F.lit(ALL_YEARS))).otherwise(around)
+    q = queries.select(F.explode(bands).alias("band"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
+    q = q.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    p = pool.select(F.explode(F.array_compact(F.array(F.col("year"), F.lit(ALL_YEARS)))).alias("band"), *(F.col(c).alias(f"c_{c}") for c in pool.columns))
+    p = p.withColumn("salt", F.pmod(F.xxhash64(*(f"c_{c}" for c in pool.columns)), F.lit(salts)).cast("int"))
+    same = (q.band == p.band) & (q.salt == p.salt)
+    return q.join(p, same if also is None else same & also).select(*(c for c in (*q.columns, *p.columns) if c not in ("band", "salt")))
+
+
+def named(df: DataFrame) -> Column:
+    """Whether there is a party or a number to compare by."""
+    return F.concat(*(X.text_or_empty(F.col(c)) for c in ("petitioner", "respondent", "case_number", "nc_display"))) != ""
 
 
-def fuzzy_candidates(queries: DataFrame, pool: DataFrame, number_least: float = 90.0, party_least: float = 85.0) -> DataFrame:
-    """Scored pairs that pass: q_query_id, c_cnr, c_ordinal, score, matched_on. Exact bounds go before the string work."""
-    gate = queries.where((X.text_or_empty(F.col("petitioner")) != "") | (X.text_or_empty(F.col("respondent")) != "") | (X.text_or_empty(F.col("case_number")) != "") | (X.text_or_empty(F.col("nc_display")) != ""))
-    pairs = year_band(with_names(gate), with_names(pool))
-    number = F.when((F.col("q_num") != "") & (F.col("c_num") != ""), S.indel_ratio_udf("q_num", "c_num")).otherwise(F.lit(0.0))
-    party = S.party_score(F.col("q_pet"), F.col("q_res"), F.col("c_pet"), F.col("c_res"), F.col("q_year"), F.col("c_year"))
-    scored = pairs.withColumn("number_score", number).withColumn("party", party)
-    by_number = F.col("number_score") >= number_least
-    out = scored.withColumn("score", F.when(by_number, F.col("number_score")).otherwise(F.col("party.score"))).withColumn("matched_on", F.when(by_number, F.lit("case_number")).otherwise(F.lit("party_names")))
-    return out.where(by_number | (F.col("party.score") >= party_least))
+def with_names(df: DataFrame) -> DataFrame:
+    """df with normalised parties and number, its numbers for the litigation family, and its parent case."""
+    norm = {"pet": X.normalize_party(F.col("petitioner")), "res": X.normalize_party(F.col("respondent")), "num": case_number(df)}
+    parent = X.normalize_case_number(F.coalesce(*(X.parent_case(F.col(c)) for c in ("nc_display", "case_number", "petitioner", "respondent"))))
+    has_parent = F.coalesce(*(X.parent_case(F.col(c)) for c in ("nc_display", "case_number", "petitioner", "respondent"))).isNotNull()
+    numbers = F.filter(F.array(F.col("case_number"), F.col("nc_display")), lambda x: X.text_or_empty(x) != "")
+    return df.withColumns(norm | {"parent": F.when(has_parent, parent), "numbers": F.transform(numbers, X.normalize_case_number)})
+
+
+class Pool:
+    """The rows of one block of a year's pool, as names and numbers."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.keys = [r[:2] for r in rows]
+        self.years = np.array([np.nan if r[2] is None else r[2] for r in rows], dtype=np.float64)
+        self.pet, self.res, self.num = ([r[k] for r in rows] for k in (3, 4, 5))
+        self.pets, self.ress, self.nums = (S.Names(x) for x in (self.pet, self.res, self.num))
+
+    def passing(self, query: tuple, number_least: float, party_least: float) -> Iterator[tuple]:
+        """(key, score, matched_on, alignment) of the rows that match query = (year, pet, res, num). Bits rule most rows out, shared tokens most of the others."""
+        year, pet, res, num = query
+        pets, ress, nums = (S.Names([x]) for x in (pet, res, num))
+        apart = np.where(np.isnan(self.years) | (year is None), False, self.years != (np.nan if year is None else year))
+        factor = np.where(apart, S.LATE, 1.0)
+        whole = (pet != "") & (res != "") & (self.pets.sizes > 0) & (self.ress.sizes > 0)
+        side = lambda a, b: np.where(whole, (a + b) / 2, np.maximum(a, b))
+        bounds = [own.bound(of, 0) for own, of in ((self.pets, pets), (self.ress, ress), (self.ress, pets), (self.pets, ress))]
+        by_name = np.maximum(side(*bounds[:2]), side(*bounds[2:])) * factor >= party_least - 1e-6
+        by_number = (self.nums.sizes > 0) & (self.nums.by_characters(nums, 0) >= number_least - 1e-6) & (num != "")
+        for i in np.flatnonzero(by_name | by_number).tolist():
+            if by_number[i] and (score := S.indel_ratio(num, self.num[i])) >= number_least:
+                yield self.keys[i], score, "case_number", None
+                continue
+            if not by_name[i] or not self._near(i, pets, ress, bool(whole[i]), party_least / factor[i]):
+                continue
+            straight, swapped = S.party_sides(pet, res, self.pet[i], self.res[i])
+            score = float(max(straight, swapped) * factor[i])
+            if score >= party_least:
+                yield self.keys[i], score, "party_names", "flipped" if swapped > straight else "direct"
+
+    def _near(self, i: int, pets: S.Names, ress: S.Names, whole: bool, least: float) -> bool:
+        """The bounds again for one row, with tokens that are truly shared."""
+
+        def bound(own: S.Names, of: S.Names) -> float:
+            if not own.tokens[i] or not of.tokens[0]:
+                return 0.0
+            if not own.tokens[i].isdisjoint(of.tokens[0]):
+                return 100.0
+            common = np.bitwise_count(own.levels[:, i] & of.levels[:, 0]).sum() + min(own.beyond[i], of.beyond[0])
+            return 200.0 * common / (own.sizes[i] + of.sizes[0])
+
+        for a, b in ((self.pets, self.ress), (self.ress, self.pets)):
+            x, y = bound(a, pets), bound(b, ress)
+            if ((x + y) / 2 if whole else max(x, y)) >= least - 1e-6:
+                return True
+        return False
+
+
+def banded(queries: DataFrame, pool: DataFrame, salts: int) -> DataFrame:
+    """Both sides' rows together, dealt by band (a year's pool, to which queries of the years around go) and salt; in a task's order, a band's pool comes before its queries. Rows keep their columns; the other side's are null."""
+    around = F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)
+    bands = F.when(F.col("year").isNull(), F.array(F.lit(ALL_YEARS))).otherwise(around)
+    q = queries.withColumns({"band": F.explode(bands), "kind": F.lit(1)}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    p = pool.withColumns({"band": F.explode(F.array_compact(F.array(F.col("year"), F.lit(ALL_YEARS)))), "kind": F.lit(0), "salt": F.pmod(F.xxhash64(*pool.columns), F.lit(salts)).cast("int")})
+    both = p.unionByName(q, allowMissingColumns=True)
+    return both.repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
+
+
+def enough_salts(pool: DataFrame, block: int = 5_000, least: int = 4) -> int:
+    """So many that no task holds many more than `block` rows of a year."""
+    most = pool.groupBy("year").count().agg(F.max("count")).first()[0] or 0
+    return max(least, -(-most // block))
+
+
+def fuzzy_candidates(queries: DataFrame, pool: DataFrame, number_least: float = 90.0, party_least: float = 85.0, salts: int | None = None) -> DataFrame:
+    """Scored pairs that pass: q_query_id, c_cnr, c_ordinal, score, matched_on, alignment, and of both sides (q_, c_) parent, numbers and decision_date.
+
+    A task holds a block of a year's pool and the queries of the years around stream past it, so no pair is written out
+    but those that pass; bounds from bits of names and numbers (similarity.Names) leave few to be scored.
+    """
+    own, others = with_names(queries.where(named(queries))), with_names(pool)
+    salts = salts or enough_salts(pool)
+    names = ["year", "pet", "res", "num"]
+    together = banded(own.select("query_id", *names), others.select("cnr", "ordinal", *names), salts)
+    cols = ["band", "salt", "kind", "query_id", "cnr", "ordinal", *names]
+    q_kind, c_kind, o_kind = own.schema["query_id"].dataType.simpleString(), pool.schema["cnr"].dataType.simpleString(), pool.schema["ordinal"].dataType.simpleString()
+    out = ["q_query_id", "c_cnr", "c_ordinal", "score", "matched_on", "alignment"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held = None, [], None
+        for b in batches:
+            found: list[tuple] = []
+            for band, salt, kind, query, cnr, ordinal, *data in zip(*(b.column(c).to_pylist() for c in cols), strict=True):
+                if (band, salt) != now:
+                    now, rows, held = (band, salt), [], None
+                if kind == 0:
+                    rows.append((cnr, ordinal, *data))
+                elif rows:
+                    held = held or Pool(rows)
+                    found += [(query, *key, *rest) for key, *rest in held.passing(tuple(data), number_least, party_least)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) if n in ("matched_on", "alignment") else pa.array(x) for n, x in zip(out, zip(*found, strict=True), strict=True)], names=out)
+
+    pairs = together.select(*cols).mapInArrow(run, f"q_query_id {q_kind}, c_cnr {c_kind}, c_ordinal {o_kind}, score double, matched_on string, alignment string")
+    more = ["parent", "numbers", "decision_date"]
+    q = own.select(F.col("query_id").alias("q_query_id"), *(F.col(c).alias(f"q_{c}") for c in more))
+    c = others.select(F.col("cnr").alias("c_cnr"), F.col("ordinal").alias("c_ordinal"), *(F.col(c).alias(f"c_{c}") for c in more))
+    return pairs.join(q, "q_query_id").join(c, ["c_cnr", "c_ordinal"])
+
+
+def same_family() -> Column:
+    """Of a pair q_*, c_*: both name one parent case, or one names the other's number as its parent."""
+    equal = F.coalesce(F.col("q_parent") == F.col("c_parent"), F.lit(False))
+    of_query, of_other = (F.coalesce(F.array_contains(F.col(f"{a}_numbers"), F.col(f"{b}_parent")), F.lit(False)) for a, b in ("cq", "qc"))
+    return equal | of_query | of_other
+
+
+def first_best(scored: DataFrame) -> DataFrame:
+    """The pair of the highest score of each query, the earliest in the pool if several: query_id, matched_case_id, score, matched_on."""
+    best = F.max_by(F.struct("c_cnr", "score", "matched_on"), F.struct("score", -F.col("c_ordinal")))
+    return scored.groupBy(F.col("q_query_id").alias("query_id")).agg(best.alias("b")).select("query_id", F.col("b.c_cnr").alias("matched_case_id"), "b.score", "b.matched_on")
 
 
 def best_fuzzy(scored: DataFrame, tie_window: float = 0.0, sure: float = 98.0) -> DataFrame:
-    """One candidate a query: among the best (within tie_window) those by name at `sure` or more are told apart by litigation family, then by the nearest decision date, then by pool order; else the first of the best."""
+    """One candidate a query: among the best (within tie_window) those by name at `sure` or more are told apart by litigation family, then by the nearest decision date, then by pool order; else the first of the best. litigation_family_match says so of whichever is chosen, parent_case_ref is then the query's parent."""
     w = Window.partitionBy("q_query_id")
     top = scored.withColumn("most", F.max("score").over(w)).where(F.col("score") >= F.col("most") - tie_window)
     named = (F.col("matched_on") == "party_names") & (F.col("score") >= sure)
-    qp, cp = (F.coalesce(*(X.parent_case(F.col(f"{s}_{c}")) for c in ("nc_display", "case_number", "petitioner", "respondent"))) for s in "qc")
-    family = F.coalesce(X.normalize_case_number(qp) == X.normalize_case_number(cp), F.lit(False)) | F.coalesce(X.normalize_case_number(qp) == F.col("c_num"), F.lit(False)) | F.coalesce(X.normalize_case_number(cp) == F.col("q_num"), F.lit(False))
     days = F.abs(F.datediff(X.decision_date(F.col("q_decision_date")), X.decision_date(F.col("c_decision_date"))))
-    top = top.withColumns({"named": named, "family": named & family})
-    top = top.withColumns({"n_named": F.sum(F.col("named").cast("int")).over(w), "n_family": F.sum(F.col("family").cast("int")).over(w)})
-    top = top.withColumn("days", F.when(F.col("named") & (F.col("n_named") > 1), days))
-    order = w.orderBy(F.desc("named"), F.when((F.col("n_named") > 1) & (F.col("n_family") == 1), F.col("family").cast("int")).otherwise(F.lit(0)).desc(), F.col("days").asc_nulls_last(), F.col("c_ordinal"))
+    top = top.withColumns({"named": named, "family": same_family()})
+    top = top.withColumns({"n_named": F.sum(F.col("named").cast("int")).over(w), "n_family": F.sum((F.col("named") & F.col("family")).cast("int")).over(w)})
+    several = F.col("n_named") > 1
+    top = top.withColumn("days", F.when(F.col("named") & several & (F.col("n_family") != 1), days))
+    by_family = F.when(several & (F.col("n_family") == 1), F.col("family").cast("int")).otherwise(F.lit(0))
+    by_score = F.when(F.col("n_named") == 0, F.col("score")).otherwise(F.lit(0.0))
+    order = w.orderBy(F.desc("named"), by_family.desc(), F.col("days").asc_nulls_last(), by_score.desc(), F.col("c_ordinal"))
     first = top.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    unsure = (F.col("n_named") > 1) & (F.col("n_family") != 1) & F.col("days").isNull()
-    return first.select(F.col("q_query_id").alias("query_id"), F.col("c_cnr").alias("matched_case_id"), "score", "matched_on", unsure.alias("ambiguous"), F.col("family").alias("litigation_family_match"))
+    unsure = several & (F.col("n_family") != 1) & F.col("days").isNull()
+    return first.select(F.col("q_query_id").alias("query_id"), F.col("c_cnr").alias("matched_case_id"), "score", "matched_on", "alignment", unsure.alias("ambiguous"), F.col("family").alias("litigation_family_match"), F.when(F.col("family"), F.col("q_parent")).alias("parent_case_ref"))
 
 
-def tf_idf(tokens: DataFrame, n_docs: Column) -> DataFrame:
-    """(id, term, w) from tokens(id, term): 1 + ln tf, times ln((1 + n) / (1 + df)) + 1, to unit length."""
+def idf_of(tokens: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, idf) fitted on tokens(id, term): ln((1 + n) / (1 + df)) + 1."""
+    df = tokens.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighted(tokens: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, term, w) of tokens under a fitted idf: 1 + ln tf, times idf, to unit length; terms that the fit hasn't seen go."""
     tf = tokens.groupBy("id", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = tf.join(df, "term").select("id", "term", (F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def tf_idf(tokens: DataFrame, n_docs: Column) -> DataFrame:
+    """(id, term, w) of the tokens that the idf is fitted on."""
+    return weighted(tokens, idf_of(tokens, n_docs))
+
+
 def sparse_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, id, sparse): cosines above zero as an inverted-index join; stop words are out of both sides, so lists stay short."""
     q = queries.select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
     return q.join(postings, "term").where("query_id <> id").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("sparse")).where("sparse > 0")
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, block: int = 10_000) -> DataFrame:
-    """(query_id, id, dense): inner products of a stated query set, in blocks of bounded size, with all vectors."""
-    import numpy as np
-    import pandas as pd
-
-    n, out = queries.count(), None
-    parts = max(1, -(-n // block))
-    for k in range(parts):
-        some = (queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)).select("id", "v").toPandas()
-        if not len(some):
-            continue
-        ids, m = some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64)
-
-        def run(frames, ids=ids, m=m):
-            for f in frames:
-                if len(f):
-                    s = m @ np.stack(f["v"].to_numpy()).astype(np.float64).T
-                    yield pd.DataFrame({"query_id": np.repeat(ids, len(f)), "id": np.tile(f["id"].to_numpy(), len(ids)), "dense": s.ravel()})
-
-        found = vectors.select("id", "v").mapInPandas(run, "query_id long, id long, dense double").where("query_id <> id")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, id long, dense double")
-
-
 def top_k(scored: DataFrame, score: str, k: int, by: str = "query_id", tie: str = "id") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(score), F.col(tie))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid(dense: DataFrame, sparse: DataFrame, k: int, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
-    """Candidates of both sides (k * 5 each), scored by both: query_id, id, dense, sparse, score."""
-    found = top_k(dense, "dense", 5 * k).select("query_id", "id").union(top_k(sparse, "sparse", 5 * k).select("query_id", "id")).distinct()
-    both = found.join(dense.select("query_id", "id", "dense"), ["query_id", "id"], "left").join(sparse.select("query_id", "id", "sparse"), ["query_id", "id"], "left").na.fill(0.0, ["dense", "sparse"])
-    return both.withColumn("score", weights[0] * F.col("dense") + weights[1] * F.col("sparse"))
-
-
-def cascade(queries: DataFrame, pool: DataFrame, semantic: DataFrame, least: float = 0.75) -> DataFrame:
-    """query_id, match_tier, matched_on, matched_case_id, confidence: each tier sees what the one before left. semantic(query_id, matched_case_id, score): the best hit of each query, if any."""
+def cascade(queries: DataFrame, pool: DataFrame, semantic: Callable[[DataFrame], DataFrame], least: float = 0.75) -> DataFrame:
+    """query_id, match_tier, matched_on, matched_case_id, confidence, ambiguous, litigation_family_match, tiers_tried: each tier sees what the one before left. semantic(queries) gives query_id, matched_case_id, score: the best hit of each query, if any."""
     first = exact_cnr(queries, pool).withColumn("matched_on", F.lit("cnr"))
     second = exact_composite(queries, pool).withColumn("matched_on", F.lit("case_number_court_year")).join(first, "query_id", "left_anti")
-    exact = first.unionByName(second).withColumns({"match_tier": F.lit("exact"), "confidence": F.lit(1.0)})
+    no = F.lit(False)
+    exact = first.unionByName(second).withColumns({"match_tier": F.lit("exact"), "confidence": F.lit(1.0), "ambiguous": no, "litigation_family_match": no})
     rest = queries.join(exact, "query_id", "left_anti")
-    fuzzy = best_fuzzy(fuzzy_candidates(rest, pool)).select("query_id", "matched_case_id", "matched_on", F.lit("fuzzy").alias("match_tier"), F.round(F.col("score") / 100, 4).alias("confidence"))
+    hits = best_fuzzy(fuzzy_candidates(rest, pool))
+    fuzzy = hits.select("query_id", "matched_case_id", "matched_on", F.lit("fuzzy").alias("match_tier"), F.round(F.col("score") / 100, 4).alias("confidence"), "ambiguous", "litigation_family_match")
     rest = rest.join(fuzzy, "query_id", "left_anti")
-    near = rest.select("query_id").join(semantic.where(F.col("score") >= least), "query_id").select("query_id", "matched_case_id", F.lit("hybrid_similarity").alias("matched_on"), F.lit("semantic").alias("match_tier"), F.round("score", 4).alias("confidence"))
-    none = rest.join(near, "query_id", "left_anti").select("query_id", F.lit(None).cast("string").alias("matched_case_id"), F.lit(None).cast("string").alias("matched_on"), F.lit("none").alias("match_tier"), F.lit(0.0).alias("confidence"))
-    return exact.unionByName(fuzzy).unionByName(near).unionByName(none)
+    found = rest.select("query_id").join(semantic(rest).where(F.col("score") >= least), "query_id", "left")
+    hit = F.col("matched_case_id").isNotNull()
+    last = found.select("query_id", "matched_case_id", F.when(hit, F.lit("hybrid_similarity")).alias("matched_on"), F.when(hit, F.lit("semantic")).otherwise(F.lit("none")).alias("match_tier"), F.coalesce(F.round("score", 4), F.lit(0.0)).alias("confidence"), no.alias("ambiguous"), no.alias("litigation_family_match"))
+    tried = F.when(F.col("match_tier") == "exact", F.array(F.lit("exact"))).when(F.col("match_tier") == "fuzzy", F.array(F.lit("exact"), F.lit("fuzzy"))).otherwise(F.array(*map(F.lit, ("exact", "fuzzy", "semantic"))))
+    return exact.unionByName(fuzzy).unionByName(last).withColumn("tiers_tried", tried)
 
 
 def party_links(cases: DataFrame, least: float = 92.0) -> DataFrame:
-    """(cnr, related): neighbours by name within a year, sorted; both directions. Distinct name strings are scored once."""
+    """(cnr, related): neighbours by name within a year, sorted; both directions. Distinct names of a year are compared once, in blocks, and scored only where bounds leave them a chance."""
     own = cases.select("cnr", "year", F.concat(X.normalize_party(F.col("petitioner")), F.lit(" || "), X.normalize_party(F.col("respondent"))).alias("name"))
-    names = own.select("year", "name").distinct()
-    pairs = names.withColumn("band", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))).select("band", F.col("name").alias("a")).distinct()
-    pairs = pairs.join(names.select(F.col("year").alias("band"), F.col("name").alias("b")), "band").where("a <= b").select("a", "b").distinct()
-    close = pairs.where(F.col("a") == F.col("b")).unionByName(pairs.where("a < b").where(S.token_set_ratio_udf("a", "b") >= least))
-    close = close.unionByName(close.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    names = own.where("year is not null").select("year", "name").distinct()
+    together = banded(names.withColumnRenamed("name", "asked"), names, enough_salts(names)).select("band", "salt", "kind", "asked", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for b in batches:
+            left, right = [], []
+            for band, salt, kind, asked, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, salt) != now:
+                    now, held, block = (band, salt), [], None
+                if kind == 0:
+                    held.append(name)
+                elif held:
+                    # every name holds the separator, so it isn't what two names share
+                    block = block or S.Names([n.replace("||", " ") for n in held])
+                    bare = S.Names([asked.replace("||", " ")])
+                    slack = 200.0 * 3 / np.maximum(block.sizes + bare.sizes[0], 1)
+                    for i in np.flatnonzero(block.bound(bare, 0) + slack >= least - 1e-6).tolist():
+                        if asked < held[i] and S.token_set_ratio(asked, held[i]) >= least:
+                            left.append(asked)
+                            right.append(held[i])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
+
+    close = together.mapInArrow(run, "a string, b string").distinct()
+    close = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct())
     left, right = (own.select(F.col("cnr").alias(f"cnr_{s}"), F.col("year").alias(f"year_{s}"), F.col("name").alias(s)) for s in "ab")
     linked = left.join(close, "a").join(right, "b").where("cnr_a <> cnr_b and abs(year_a - year_b) <= 1")
     return linked.groupBy(F.col("cnr_a").alias("cnr")).agg(F.array_sort(F.collect_set("cnr_b")).alias("related"))
 
 
 def rerank(candidates: DataFrame, links: DataFrame, weights: tuple[float, float, float] = (0.70, 0.15, 0.15), boost: float = 0.05, strong: float = 0.70, least: float = 0.75) -> DataFrame:
-    """The best of each query's candidates(query_id, id, sem, bench, has_bench, year_near) by weighted signals, with a boost for those linked to a strong fellow candidate, and the gate: filed or needs_review with its reasons."""
+    """The best of each query's candidates(query_id, id, sem, bench, has_bench, year_near) by weighted signals, with a boost for those linked to a strong fellow candidate, and the gate: filed or needs_review with its reasons (the column `clash` of the candidate, if there is one)."""
     fellows = candidates.select("query_id", F.col("id").alias("linked_id")).where(F.col("sem") > strong)
-    coherent = candidates.select("query_id", "id").join(links.select(F.col("cnr").alias("id"), F.explode("related").alias("linked_id")), "id").join(fellows, ["query_id", "linked_id"]).select("query_id", "id").distinct().withColumn("boost", F.lit(boost))
-    scored = candidates.join(coherent, ["query_id", "id"], "left").withColumn("final", F.least(F.lit(1.0), weights[0] * F.col("sem") + weights[1] * F.col("bench") + weights[2] * F.col("year_near") + F.coalesce("boost", F.lit(0.0))))
-    best = top_k(scored, "final", 1)
+    linked = candidates.select("query_id", "id").join(links.select(F.col("cnr").alias("id"), F.explode("related").alias("linked_id")), "id").where("id <> linked_id")
+    coherent = linked.join(fellows, ["query_id", "linked_id"]).select("query_id", "id").distinct().withColumn("boost", F.lit(boost))
+    scored = candidates.join(coherent, ["query_id", "id"], "left")
+    signals = weights[0] * F.col("sem") + weights[1] * F.col("bench") + weights[2] * F.col("year_near") + F.coalesce("boost", F.lit(0.0))
+    best = top_k(scored.withColumn("final", F.least(F.lit(1.0), F.round(signals, 8))), "final", 1)
     clash = F.col("has_bench") & (F.col("bench") < 0.3)
-    reasons = F.array_compact(F.array(F.when(clash, F.lit("bench mismatch"))))
-    return best.select("query_id", F.col("id").alias("matter_id"), F.round("final", 4).alias("confidence"), reasons.alias("reasons"), F.when(clash | (F.col("final") < least), F.lit("needs_review")).otherwise(F.lit("filed")).alias("status"))
+    said = F.col("clash") if "clash" in candidates.columns else F.lit("bench mismatch")
+    status = F.when(clash | (F.col("final") < least), F.lit("needs_review")).otherwise(F.lit("filed"))
+    return best.select("query_id", F.col("id").alias("matter_id"), F.round("final", 4).alias("confidence"), F.array_compact(F.array(F.when(clash, said))).alias("reasons"), status.alias("status"))

@@ -30,4 +30,4 @@ def oracles() -> dict[str, str]:
     return _oracles
 
 
-from . import linkage, pages, reports  # noqa: E402, F401  they register their queries
+from . import cascade, linkage, pages, reports  # noqa: E402, F401  they register their queries

@@ -53,9 +53,9 @@ CASES = r"""cases AS (
     FROM documents)"""
 
 
-def variants(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    """Three queries for every tenth case: as it is, with noise, and by its paraphrased text alone."""
-    c = cases(spark, sf_dir).where(F.col("doc_id") % every == 0)
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries for every case: as it is, with noise, and by its paraphrased text alone."""
+    c = cases(spark, sf_dir)
     v = F.explode(F.array(*(F.struct(F.lit(a).alias("variant_type"), F.lit(b).alias("expected_tier")) for a, b in (("clean", "exact"), ("noisy", "fuzzy"), ("paraphrased", "semantic")))))
     kind = F.col("v.variant_type")
     noisy = kind == "noisy"
@@ -78,6 +78,29 @@ def variants(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
     )
 
 
+#: Words that weigh nothing in TF-IDF.
+STOP = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "de", "la", "le", "der", "die", "und", "el", "los", "que", "en", "on")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of answers of every tier, right and wrong and none, by arithmetic: what the measures are taken over."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("v"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    kind, tier = ("clean", "noisy", "paraphrased"), ("exact", "fuzzy", "semantic")
+    mixed = (F.col("doc_id") * 5 + F.col("v") * 11) % 29
+    actual = F.when(mixed == 0, "none").when(mixed < 4, pick(tier, (F.col("v") + mixed) % 3)).otherwise(pick(tier, F.col("v")))
+    out = d.select("doc_id", pick(kind, F.col("v")).alias("variant_type"), pick(tier, F.col("v")).alias("expected_tier"), actual.alias("actual_tier"), mixed.alias("m"))
+    matched = F.col("actual_tier") != "none"
+    return out.select("doc_id", "variant_type", "expected_tier", "actual_tier", matched.alias("matched"), (matched & (F.col("m") % 7 != 3)).alias("correct"))
+
+
+ANSWERS = """answers AS (
+    SELECT *, actual_tier <> 'none' AS matched, actual_tier <> 'none' AND m % 7 <> 3 AS correct
+    FROM (SELECT *, ['exact', 'fuzzy', 'semantic'][v + 1] AS expected_tier, ['clean', 'noisy', 'paraphrased'][v + 1] AS variant_type,
+                 CASE WHEN m = 0 THEN 'none' WHEN m < 4 THEN ['exact', 'fuzzy', 'semantic'][(v + m) % 3 + 1] ELSE ['exact', 'fuzzy', 'semantic'][v + 1] END AS actual_tier
+          FROM (SELECT doc_id, v, (doc_id * 5 + v * 11) % 29 AS m FROM documents, unnest([0, 1, 2]) AS t(v))))"""
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document, laid out twelve to a line and 200 to a page."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.words(F.col("text"))).alias("i", "text"))

@@ -68,7 +68,6 @@ def test_ratios():
         assert similarity.common_length(a, b) == plain_lcs(a, b)
         s = similarity.token_set_ratio(a, b)
         assert 0 <= s <= 100 and s == similarity.token_set_ratio(b, a)
-        assert s < 85 or similarity.may_reach(a, b, 85)
     assert round(similarity.indel_ratio("2021INSC306", "2021INSC307"), 1) == 90.9
     assert similarity.token_set_ratio("a b", "b a c") == 100 and similarity.token_set_ratio("", "a") == 0
 
