@@ -30,6 +30,16 @@ PARAPHRASES = (
     ("dismissed", "rejected for lack of merit"),
     ("allowed", "granted in favor of appellant"),
 )
+PARENT_CASE = r"(?i)\b(?:M\.?A\.?|Misc\.?\s*Appl\.?)\s*(?:No\.?\s*\d+\s*(?:of|/)\s*\d+)?\s*\bin\b\s*(.*)"
+RELATED = r"\[([\w\-]+)\]\(/matters/[\w\-]+\.md\)"
+BENCH = r"\[([A-Z][A-Za-z.\s\*]{3,80}?,?\s*JJ?\.?)\]"
+STRICT_CNR = r"\bESCR\d{12}\b"
+CITATION = r"\b(\d{4})\s*INSC\s*(\d+)\b"
+LOOSE_YEAR = r"\b(20[12]\d)\b"
+SCANNED_CNR = r"(?i)\b(?:ESCR|[A-Z]{4,7})\d{10,12}\b"
+REPORT = r"\[(\d{4})\]\s*(\d+)\s*SCR\s*(\d+)"
+OTHERS = (r"\b(and\s+)?(others|another|ors|anr)\b\.?", "")
+BOILERPLATE = ((r"\bgovt\.?\s+of\b", "government of"), (r"\bstate\s+of\b", "state"), (r"\bunion\s+of\s+india\b", "union of india"))
 PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "•": "*", " ": " "}
 
 
@@ -61,9 +71,9 @@ def normalize_case_number(x: Column) -> Column:
 
 def normalize_party(x: Column, boilerplate: bool = True) -> Column:
     low = F.lower(text_or_empty(x))
-    steps = [(r"\s*&\s*", " and "), (rf"\b({HONORIFICS})\b\.?", ""), *((p, "") for p in PROCEDURAL), (r"\b(and\s+)?(others|another|ors|anr)\b\.?", "")]
+    steps = [(r"\s*&\s*", " and "), (rf"\b({HONORIFICS})\b\.?", ""), *((p, "") for p in PROCEDURAL), OTHERS]
     if boilerplate:
-        steps += [(r"\bgovt\.?\s+of\b", "government of"), (r"\bstate\s+of\b", "state"), (r"\bunion\s+of\s+india\b", "union of india")]
+        steps += BOILERPLATE
     plain = ((r"[^a-z0-9\s]", " "), (r"\s+", " "))
     found = F.trim(rules(strip(low), *steps, *plain))
     return F.when(found == "", F.trim(rules(low, *plain))).otherwise(found)
@@ -90,16 +100,16 @@ def text_mismatch(text: Column, *ids: Column) -> Column:
 
 def ids_strict(text: Column) -> Column:
     """struct(cnr, year, case_number): case-sensitive record number, citation, and a year of either or of the text."""
-    cnr = F.regexp_extract(text, r"\bESCR\d{12}\b", 0)
-    cite_year, cite_no = (F.regexp_extract(text, r"\b(\d{4})\s*INSC\s*(\d+)\b", i) for i in (1, 2))
-    loose = F.regexp_extract(text, r"\b(20[12]\d)\b", 1)
+    cnr = F.regexp_extract(text, STRICT_CNR, 0)
+    cite_year, cite_no = (F.regexp_extract(text, CITATION, i) for i in (1, 2))
+    loose = F.regexp_extract(text, LOOSE_YEAR, 1)
     year = F.coalesce(*(F.nullif(y, F.lit("")) for y in (F.substring(cnr, -4, 4), cite_year, loose)))
     return F.struct(cnr.alias("cnr"), F.try_to_number(year, F.lit("9999")).cast("int").alias("year"), F.when(cite_no != "", F.concat(cite_year, F.lit("INSC"), cite_no)).otherwise("").alias("case_number"))
 
 
 def cnr_ocr(text: Column) -> Column:
     """The broader record number that text recognition leaves, as found."""
-    return F.regexp_extract(text, r"(?i)\b(?:ESCR|[A-Z]{4,7})\d{10,12}\b", 0)
+    return F.regexp_extract(text, SCANNED_CNR, 0)
 
 
 def repair_id(token: Column) -> Column:
@@ -118,7 +128,7 @@ def ocr_safe_cnr(text: Column) -> Column:
 
 
 def parent_case(x: Column) -> Column:
-    found = strip(F.regexp_extract(text_or_empty(x), r"(?i)\b(?:M\.?A\.?|Misc\.?\s*Appl\.?)\s*(?:No\.?\s*\d+\s*(?:of|/)\s*\d+)?\s*\bin\b\s*(.*)", 1))
+    found = strip(F.regexp_extract(text_or_empty(x), PARENT_CASE, 1))
     return F.nullif(F.upper(rules(found, (r"^[(\[{\s\"'`]+", ""), (r"[)\]}\s\"'`]+$", ""))), F.lit(""))
 
 
@@ -186,11 +196,11 @@ def parseable(x: Column) -> Column:
 
 
 def related_ids(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"\[([\w\-]+)\]\(/matters/[\w\-]+\.md\)"), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(RELATED), F.lit(1))
 
 
 def bench_names(x: Column) -> Column:
-    raw = F.regexp_replace(F.regexp_extract(x, r"\[([A-Z][A-Za-z.\s\*]{3,80}?,?\s*JJ?\.?)\]", 1), r"\*", "")
+    raw = F.regexp_replace(F.regexp_extract(x, BENCH, 1), r"\*", "")
     parts = F.filter(F.split(raw, ",| and | AND "), lambda p: F.trim(p) != "")
     return F.transform(parts, lambda p: F.trim(rules(F.trim(p), (r"\.+$", ""), (r"J+$", ""))))
 
@@ -198,9 +208,9 @@ def bench_names(x: Column) -> Column:
 def ingest_fields(text: Column, stem: Column) -> Column:
     """struct(cnr, display, case_id) of a new file: an INSC citation names it, else an SCR citation, else its CNR, else the file's stem (so too where text is null)."""
     text = text_or_empty(text)
-    cnr = F.upper(F.regexp_extract(text, r"(?i)\bESCR\d{12}\b", 0))
-    insc = F.regexp_extract(text, r"\b(\d{4})\s*INSC\s*(\d+)\b", 1), F.regexp_extract(text, r"\b(\d{4})\s*INSC\s*(\d+)\b", 2)
-    scr = tuple(F.regexp_extract(text, r"\[(\d{4})\]\s*(\d+)\s*SCR\s*(\d+)", i) for i in (1, 2, 3))
+    cnr = F.upper(F.regexp_extract(text, f"(?i){STRICT_CNR}", 0))
+    insc = F.regexp_extract(text, CITATION, 1), F.regexp_extract(text, CITATION, 2)
+    scr = tuple(F.regexp_extract(text, REPORT, i) for i in (1, 2, 3))
     display = F.when(insc[0] != "", F.concat_ws(" INSC ", *insc)).when(scr[0] != "", F.concat(F.lit("["), scr[0], F.lit("] "), scr[1], F.lit(" SCR "), scr[2]))
     case_id = F.when(insc[0] != "", F.concat_ws("INSC", *insc)).when(scr[0] != "", F.concat_ws("_", scr[0], F.lit("SCR"), scr[1], scr[2]))
     other = F.when(cnr != "", cnr).otherwise(stem)

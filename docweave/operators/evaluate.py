@@ -16,6 +16,13 @@ def percent(a: Column, b: Column) -> Column:
     return F.when(b > 0, 100.0 * a / b).otherwise(F.lit(0.0))
 
 
+def quality_summary(flags: DataFrame) -> DataFrame:
+    """total, and of each boolean column its count and percentage."""
+    n = F.count("*")
+    each = [x for c in flags.columns for x in (count_where(F.col(c)).alias(c), F.round(percent(count_where(F.col(c)), n), 4).alias(f"{c}_pct"))]
+    return flags.agg(n.alias("total"), *each)
+
+
 def overall(rows: DataFrame, *by: str) -> DataFrame:
     """total, correct, false_positive, no_match of rows(matched, correct), in all or by columns."""
     out = rows.groupBy(*by).agg(F.count("*").alias("total"), count_where(F.col("correct")).alias("correct"), count_where(F.col("matched") & ~F.col("correct")).alias("false_positive"), count_where(~F.col("matched")).alias("no_match"))
@@ -45,10 +52,13 @@ def routing(rows: DataFrame) -> DataFrame:
     return rows.groupingSets([[], [F.col("stage")]], F.col("stage")).agg(*aggs)
 
 
-def order_statistic(x: Column, share: float) -> Column:
-    """The value at floor(share * n) in ascending order, not interpolated."""
-    held = F.array_sort(F.collect_list(x))
-    return F.get(held, F.floor(F.size(held) * F.lit(share)).cast("int"))
+def order_statistics(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, and for each name the value at floor(share * n) in ascending order, not interpolated. Equal values are counted first, so that a group costs its distinct values; the order is a window over those."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(by)
+    placed = counts.withColumns({"upto": F.sum("n").over(own.orderBy(value)), "all": F.sum("n").over(own)})
+    at = {k: F.min(F.when(F.col("upto") > F.floor(F.col("all") * F.lit(share)), F.col(value))) for k, share in shares.items()}
+    return placed.groupBy(by).agg(*(x.alias(k) for k, x in at.items()))
 
 
 def calibration(rows: DataFrame) -> DataFrame:

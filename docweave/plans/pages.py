@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,7 +27,6 @@ query("page_status", f"WITH {_PAGES} SELECT page, CASE WHEN confidence >= 80 THE
 query("doc_method", f"WITH {_PAGES} SELECT job, CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'hybrid' END AS method FROM pp GROUP BY job")(lambda s, d: _pages(s, d).groupBy("job").agg(O.document_method(c("method")).alias("method")))
 query("needs_review_count", f"WITH {_PAGES} SELECT job, count(*) FILTER (status = 'needs_review') AS n FROM pp GROUP BY job")(lambda s, d: _pages(s, d).groupBy("job").agg(E.count_where(c("status") == "needs_review").alias("n")))
 query("job_text_export", f"WITH {_PAGES} SELECT job, string_agg('================ PAGE ' || page || ' ================' || CASE WHEN status = 'needs_review' THEN '  [NEEDS REVIEW]' ELSE '' END || chr(10) || CASE WHEN error IS NOT NULL THEN '[ERROR: ' || error || ']' ELSE text END, chr(10) || chr(10) ORDER BY page) AS text FROM pp GROUP BY job")(lambda s, d: R.job_text(_pages(s, d)))
-query("job_json_export")(lambda s, d: R.job_json(_pages(s, d)))
 query("word_counts", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')) AS INT) AS n_words, length(text) AS n_chars FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.words(c("text"))).alias("n_words"), F.length("text").cast("long").alias("n_chars")))
 query("token_bbox", f"WITH {TOKENS} SELECT page, seq, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / length(text) AS char_width FROM tokens")(lambda s, d: O.derived(tokens(s, d)).select("page", c("seq").cast("long").alias("seq"), "cx", "cy", "char_width"))
 query("token_lines", f"WITH {TOKENS} SELECT page, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL")(lambda s, d: tokens(s, d).groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda t: t["text"]), " ").alias("text")))
@@ -36,13 +35,6 @@ query("token_words", rf"""WITH {TOKENS}, m AS (SELECT page, median((x1 - x0) / l
     f AS (SELECT *, CASE WHEN (x0 - lag(x1) OVER w) / greatest(cw, coalesce(lag(cw) OVER w, 0), m, 4.0) < 0.45 THEN 0 ELSE 1 END AS apart FROM k WINDOW w AS (PARTITION BY page, line ORDER BY x0, seq)),
     n AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY page, line ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM f) SELECT page, line, word_no, string_agg(text, '' ORDER BY x0, seq) AS word FROM n GROUP BY ALL""")(lambda s, d: O.gap_words(tokens(s, d), page="page"))
 query("page_confidence", f"WITH {TOKENS} SELECT page, round(avg(score) * 100, 4) AS confidence, count(*) FILTER (score < 0.75) AS low FROM tokens GROUP BY page")(lambda s, d: tokens(s, d).groupBy("page").agg(F.round(F.avg(c("score").cast("double")) * 100, 4).alias("confidence"), E.count_where(c("score") < 0.75).alias("low")))
-query("paragraph_breaks", f"WITH {TOKENS}, l AS (SELECT page, line, min(y0) AS top, max(y1) AS bottom FROM tokens WHERE seq % 5 > 0 OR line % 4 > 0 GROUP BY ALL) SELECT page, line, top - lag(bottom) OVER (PARTITION BY page ORDER BY line) > 1.8 * 10 AS breaks FROM l")(lambda s, d: tokens(s, d).where("seq % 5 > 0 or line % 4 > 0").groupBy("page", "line").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom")).select("page", "line", (c("top") - F.lag("bottom").over(Window.partitionBy("page").orderBy("line")) > 1.8 * 10).alias("breaks")))
-query("noise_tokens", f"WITH {TOKENS} SELECT page, count(*) FILTER (text = '|') AS noise FROM tokens WHERE regexp_matches(text, '^([\\p{{L}}.,]+|\\|)$') GROUP BY page")(lambda s, d: tokens(s, d).where(c("text").rlike(r"^([\p{L}.,]+|\|)$")).groupBy("page").agg(E.count_where(O.is_noise(c("text"), c("x0"))).alias("noise")))
-query("page_artefacts", f"WITH {TOKENS} SELECT page, count(*) AS n FROM tokens WHERE text = '|' GROUP BY page")(lambda s, d: tokens(s, d).where(c("text") == "|").where(O.page_artefact(c("text"), (c("y0") + c("y1")) / 2).isNotNull()).groupBy("page").agg(F.count("*").alias("n")))
-query("page_text")(lambda s, d: O.pages(tokens(s, d), page="page"))
-query("ocr_rules", "SELECT doc_id, 'Civil Appeal No. ' || doc_id || ' of 2011 on 10th may' AS line FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", O.normalize_line(F.concat(F.lit("CivilAppealNo."), c("doc_id"), F.lit("of2011 on 1Oth mav"))).alias("line")))
-query("ocr_rules_fired")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(O.fired_rules(c("text"))).alias("n_fired")))
-query("ocr_engine_compare", f"WITH {_PAGES} SELECT page, false AS spacing, page % 3 = 0 AS substantive FROM pp")(lambda s, d: _pages(s, d).select("page", O.compared(c("text"), F.when(c("page") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(c("text"))).alias("x")).select("page", "x.*"))
 query("ocr_line_source", f"WITH {TOKENS} SELECT 'page' || page AS name, CAST(seq AS INT) AS seq, text, x0, y1 FROM tokens")(lambda s, d: R.recognised(tokens(s, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "score", "x0", "y0", "x1", "y1"))).alias("t")).select(F.concat(F.lit("page"), "page", F.lit("\t"), F.to_json(F.transform("t", lambda t: F.struct(t["text"].alias("transcription"), F.array(F.array(t["x0"], t["y0"]), F.array(t["x1"], t["y0"]), F.array(t["x1"], t["y1"]), F.array(t["x0"], t["y1"])).alias("points"), t["score"].cast("double").alias("score"))))).alias("value"))).select("name", "seq", "text", c("x0"), c("y1")))
 
 
@@ -53,10 +45,205 @@ def _bundle(s, d):
     return k.select("doc_id", F.concat(head, F.lit("\n"), R.body(c("chunk_opening"), c("chunk_body"), c("chunk_holding"), rel)).alias("doc"), "chunk_opening", "chunk_holding")
 
 
-query("bundle_render", f"""WITH {CASES} SELECT doc_id, '---' || chr(10) || 'cnr: "' || cnr || '"' AS head, doc_id % 3 = 0 AS linked FROM cases""")(lambda s, d: _bundle(s, d).select("doc_id", F.substring("doc", 1, 27).alias("head"), F.contains("doc", F.lit("- [A1](/matters/A1.md)\n- [B2](/matters/B2.md)")).alias("linked")))
 query("bundle_parse", f"WITH {CASES} SELECT doc_id, cnr, CAST(year AS VARCHAR) AS year, nullif(petitioner, '') AS petitioner, true AS same, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS n_related FROM cases")(lambda s, d: _bundle(s, d).select("doc_id", R.parse_field(c("doc"), "cnr").alias("cnr"), R.parse_field(c("doc"), "year").alias("year"), R.parse_field(c("doc"), "petitioner").alias("petitioner"), ((R.parse_chunk(c("doc"), "Opening") == X.strip(c("chunk_opening"))) & (R.parse_chunk(c("doc"), "Holding") == X.strip(c("chunk_holding")))).alias("same"), F.size(X.related_ids(c("doc"))).alias("n_related")))
 query("bundle_stats", "SELECT count(*) AS written, count(*) FILTER (doc_id % 3 = 0) AS links, count(*) FILTER (doc_id % 3 <> 0) AS unlinked FROM documents")(lambda s, d: _bundle(s, d).agg(F.count("*").alias("written"), F.floor(F.sum(F.size(X.related_ids(c("doc")))) / 2).alias("links"), E.count_where(F.size(X.related_ids(c("doc"))) == 0).alias("unlinked")))
-query("bench_names", "SELECT doc_id, ['A. NAME', 'B. OTHER', ''] AS names FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", X.bench_names(F.concat(F.lit("[A. NAME* and B. OTHER, JJ.] "), "text")).alias("names")))
-query("custom_case_validate", "SELECT doc_id, 'LEFT' AS petitioner, 'RIGHT' AS respondent FROM documents WHERE doc_id % 4 > 0")(lambda s, d: R.custom_cases(table(s, d, "documents").select("doc_id", F.lit("Left V. Right").alias("title"), F.when(c("doc_id") % 4 > 0, "x1").otherwise("").alias("cnr"), F.lit("").alias("case_number"), F.lit("").alias("petitioner"), F.lit(None).cast("string").alias("respondent"), F.lit(None).cast("int").alias("year")))[0].select("doc_id", "petitioner", "respondent"))
-query("custom_case_rejects", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0")(lambda s, d: R.custom_cases(table(s, d, "documents").select("doc_id", F.lit("Left V. Right").alias("title"), F.when(c("doc_id") % 4 > 0, "x1").otherwise("").alias("cnr"), F.lit("").alias("case_number"), F.lit("").alias("petitioner"), F.lit(None).cast("string").alias("respondent"), F.lit(None).cast("int").alias("year")))[1].select("doc_id"))
 query("json_round_trip", f"WITH {CASES} SELECT doc_id, petitioner AS p, respondent AS r FROM cases")(lambda s, d: cases(s, d).select("doc_id", F.from_json(F.to_json(F.array("petitioner", "respondent")), "array<string>").alias("a")).select("doc_id", c("a")[0].alias("p"), c("a")[1].alias("r")))
+
+
+# --- exports
+@query(
+    "job_json_export",
+    f"""WITH {_PAGES} SELECT job, '{{"job":' || job || ',"n_pages":' || count(*) || ',"pages":[' ||
+    string_agg('{{"page":' || page || ',"status":"' || status || '","text":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY page) || ']}}' AS json FROM pp GROUP BY job""",
+)
+def job_json_export(s: SparkSession, d: str) -> DataFrame:
+    return R.job_json(_pages(s, d))
+
+
+@query(
+    "bundle_render",
+    rf"""WITH {CASES}, k AS (SELECT *, length(t) AS n, greatest(1500, length(t) // 4) AS a FROM (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM cases)),
+    p AS (SELECT *, n < 3400 AS short FROM k)
+    SELECT doc_id, md5('---' || chr(10) || 'cnr: "' || cnr || '"' || chr(10) || CASE WHEN petitioner <> '' THEN 'petitioner: "' || replace(replace(petitioner, '\', '\\'), '"', '\"') || '"' || chr(10) ELSE '' END || 'year: "' || year || '"' || chr(10) || '---' || chr(10)
+        || CASE WHEN t = '' THEN '' ELSE '# Chunk: Opening' || chr(10) || chr(10) || CASE WHEN short THEN t ELSE substr(t, 1, 1500) END || chr(10) || chr(10)
+        || '# Chunk: Body' || chr(10) || chr(10) || CASE WHEN short THEN t ELSE substr(t, a + 1, least(a + 1500, n - 400) - a) END || chr(10) || chr(10)
+        || '# Chunk: Holding' || chr(10) || chr(10) || CASE WHEN short THEN t ELSE right(t, 400) END || chr(10) || chr(10) END
+        || '# Related Matters' || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '- [A1](/matters/A1.md)' || chr(10) || '- [B2](/matters/B2.md)' ELSE 'No related matters found.' END || chr(10)) AS digest FROM p""",
+)
+def bundle_render(s: SparkSession, d: str) -> DataFrame:
+    return _bundle(s, d).select("doc_id", F.md5("doc").alias("digest"))
+
+
+NAMES = ("A. NAME", "B. C. OTHER", "D THIRD")
+
+
+@query(
+    "bench_names",
+    f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] WHEN doc_id % 2 = 0 THEN [{list(NAMES)}[doc_id % 3 + 1], {list(NAMES)}[(doc_id + 1) % 3 + 1], '']
+    ELSE [{list(NAMES)}[doc_id % 3 + 1], ''] END AS names FROM documents""",
+)
+def bench_names(s: SparkSession, d: str) -> DataFrame:
+    pick = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), ((c("doc_id") + n) % 3 + 1).cast("int"))
+    two = F.concat(F.lit("["), pick(0), F.lit("* and "), pick(1), F.lit(", JJ.] "))
+    line = F.when(c("doc_id") % 5 == 0, "no bench here ").when(c("doc_id") % 2 == 0, two).otherwise(F.concat(F.lit("["), pick(0), F.lit(", J.] ")))
+    return table(s, d, "documents").select("doc_id", X.bench_names(F.concat(line, F.regexp_replace("text", r"[\[\]]", " "))).alias("names"))
+
+
+def _custom(s: SparkSession, d: str) -> DataFrame:
+    """New cases of which some lack a title or any number, some name their parties, some give them in the title."""
+    n, word = c("doc_id"), F.regexp_extract("text", "[A-Za-z]+", 0)
+    title = F.when(n % 7 == 0, "").when(n % 3 == 0, F.concat(word, F.lit(" V. Other"), n)).otherwise(F.concat(word, F.lit(" alone")))
+    cols = {"title": title, "cnr": F.when(n % 4 > 1, F.concat(F.lit(" x"), n)).otherwise(""), "case_number": F.when(n % 4 == 1, F.concat(F.lit("n"), n)).otherwise("")}
+    return table(s, d, "documents").select("doc_id", *(x.alias(k) for k, x in cols.items()), F.when(n % 5 == 0, "given").otherwise("").alias("petitioner"), F.when(n % 5 == 0, "sides").alias("respondent"), F.when(n % 2 == 0, 2019).cast("int").alias("year"))
+
+
+CUSTOM = """k AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS word FROM documents),
+    n AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN word || ' V. Other' || doc_id ELSE word || ' alone' END AS title, doc_id % 7 > 0 AND doc_id % 4 > 0 AS ok FROM k)"""
+
+
+@query(
+    "custom_case_validate",
+    f"""WITH {CUSTOM} SELECT doc_id, trim(upper(title)) AS title, CASE WHEN doc_id % 5 = 0 THEN 'GIVEN' ELSE split_part(upper(title), ' V. ', 1) END AS petitioner,
+    CASE WHEN doc_id % 5 = 0 THEN 'SIDES' ELSE split_part(upper(title), ' V. ', 2) END AS respondent, CASE WHEN doc_id % 4 > 1 THEN 'X' || doc_id ELSE '' END AS cnr,
+    CASE WHEN doc_id % 4 = 1 THEN 'N' || doc_id ELSE '' END AS case_number, CAST(CASE WHEN doc_id % 2 = 0 THEN 2019 ELSE 2024 END AS INT) AS year FROM n WHERE ok""",
+)
+def custom_case_validate(s: SparkSession, d: str) -> DataFrame:
+    return R.custom_cases(_custom(s, d))[0].select("doc_id", "title", "petitioner", "respondent", "cnr", "case_number", "year")
+
+
+@query("custom_case_rejects", f"WITH {CUSTOM} SELECT doc_id, title FROM n WHERE NOT ok")
+def custom_case_rejects(s: SparkSession, d: str) -> DataFrame:
+    return R.custom_cases(_custom(s, d))[1].select("doc_id", "title")
+
+
+# --- recognised pages
+ODD = ("TFP", "B", "|", "§ 3", "~~", "$", "12", "Page 7", "Supreme Court Reports", "No.", ";;", "x", "€€", "s.", "(", "上")
+
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    """The tokens with noise of every kind put in the place of some, by arithmetic, some at the page's edges."""
+    odd = F.element_at(F.array(*map(F.lit, ODD)), (c("seq") % len(ODD) + 1).cast("int"))
+    n = c("page") + c("seq")
+    edge = F.when(n % 31 == 0, 20.0).when(n % 31 == 1, 3950.0).otherwise(c("y0"))
+    return tokens(s, d).withColumns({"text": F.when(n % 13 == 0, odd).otherwise(c("text")), "x0": F.when(n % 7 == 0, 2500.0).otherwise(c("x0")), "y0": edge, "y1": F.when(n % 31 < 2, edge + 20).otherwise(c("y1"))})
+
+
+MARKED = f"""{TOKENS}, marked AS (
+    SELECT page, seq, CASE WHEN (page + seq) % 13 = 0 THEN {list(ODD)}[seq % {len(ODD)} + 1] ELSE text END AS text, CASE WHEN (page + seq) % 7 = 0 THEN 2500.0 ELSE x0 END AS x0,
+           CASE (page + seq) % 31 WHEN 0 THEN 20.0 WHEN 1 THEN 3950.0 ELSE y0 END AS y0, CASE (page + seq) % 31 WHEN 0 THEN 40.0 WHEN 1 THEN 3970.0 ELSE y1 END AS y1, line, score FROM tokens)"""
+_ALNUM = r"[\p{L}\p{N}]"
+GONE = rf"""t IN ('TFP', '上', 'DB') OR (length(t) = 1 AND NOT regexp_matches(t, '{_ALNUM}|[.,:;()\[\]/%$-]'))"""
+HEAD, FOOT = "r < 0.04 AND regexp_matches(upper(t), 'SUPREME COURT|REPORTS')", r"r > 0.96 AND regexp_matches(t, '(?i)^(Page\s*\d+|\d+)$')"
+
+
+@query(
+    "noise_tokens",
+    rf"""WITH {MARKED}, t AS (SELECT page, trim(text) AS t, x0 FROM marked)
+    SELECT page, count(*) FILTER (t = '' OR (NOT regexp_matches(t, '§|¶|©|®|No\.|s\.|Art\.|Cl\.') AND (t IN ('TFP', '上', 'DB') OR (regexp_matches(t, '^[A-H]$') AND x0 > 2400)
+        OR (length(t) = 1 AND NOT regexp_matches(t, '{_ALNUM}') AND NOT contains('.,:;!?-()[]{{}}''"/\$€£%=', t))
+        OR (length(t) <= 3 AND NOT regexp_matches(t, '{_ALNUM}') AND length(translate(t, '.,:;!?-()[]{{}}''"', '')) > 0)))) AS noise FROM t GROUP BY page""",
+)
+def noise_tokens(s: SparkSession, d: str) -> DataFrame:
+    return _marked(s, d).groupBy("page").agg(E.count_where(O.is_noise(c("text"), c("x0"))).alias("noise"))
+
+
+@query(
+    "page_artefacts",
+    rf"""WITH {MARKED}, t AS (SELECT page, trim(text) AS t, (y0 + y1) / 2 / 4000.0 AS r FROM marked),
+    w AS (SELECT page, CASE WHEN {GONE} THEN 'Garbage/isolated symbol artifact' WHEN {HEAD} THEN 'Page top header pattern' WHEN {FOOT} THEN 'Page bottom footer page number' END AS reason FROM t)
+    SELECT page, reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def page_artefacts(s: SparkSession, d: str) -> DataFrame:
+    why = O.page_artefact(c("text"), (c("y0") + c("y1")) / 2)
+    return _marked(s, d).withColumn("reason", why).where("reason is not null").groupBy("page", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "paragraph_breaks",
+    f"""WITH {TOKENS}, t AS (SELECT page, line, y0 + 40 * (line // 3) AS y0, y1 + 40 * (line // 3) AS y1 FROM tokens),
+    h AS (SELECT page, median(y1 - y0) AS h FROM t GROUP BY page), l AS (SELECT page, line, min(y0) AS top, max(y1) AS bottom FROM t GROUP BY ALL)
+    SELECT page, line, top - lag(bottom) OVER (PARTITION BY page ORDER BY line) > 1.8 * h AS breaks FROM l JOIN h USING (page)""",
+)
+def paragraph_breaks(s: SparkSession, d: str) -> DataFrame:
+    """Every third line stands further from the one before."""
+    gap = F.floor(c("line") / 3) * 40
+    return O.paragraph_breaks(tokens(s, d).withColumns({"y0": c("y0") + gap, "y1": c("y1") + gap}), "page")
+
+
+@query("page_text")
+def page_text(s: SparkSession, d: str) -> DataFrame:
+    read = tokens(s, d)
+    return O.pages(read, O.vocabulary_of(read), "page")
+
+
+@query(
+    "page_layout",
+    f"""WITH {MARKED}, l AS (SELECT page, y0, string_agg(text, ' ' ORDER BY x0, seq) AS t FROM marked WHERE trim(text) <> '' GROUP BY ALL)
+    SELECT page, md5(string_agg(t, chr(10) ORDER BY y0)) AS digest FROM l GROUP BY page""",
+)
+def page_layout(s: SparkSession, d: str) -> DataFrame:
+    """Lines stand 40 apart, or at the edges, so in SQL a line is a height."""
+    spread = _marked(s, d).withColumns({"y0": c("y0") * 10, "y1": c("y0") * 10 + 20})
+    return O.layout(spread, "page").select("page", F.md5("text").alias("digest"))
+
+
+@query("page_processed")
+def page_processed(s: SparkSession, d: str) -> DataFrame:
+    done = O.processed(_marked(s, d), "page")
+    return done.select("page", *(F.md5(k).alias(k) for k in ("text", "raw_text", "geometry_text")), F.size("low_confidence").alias("n_low"), F.size("artefacts").alias("n_artefacts"), "n_fired")
+
+
+@query(
+    "page_processed_facts",
+    rf"""WITH {MARKED}, t AS (SELECT page, seq, text, trim(text) AS t, score, (y0 + y1) / 2 / 4000.0 AS r FROM marked)
+    SELECT page, md5(string_agg(text, chr(10) ORDER BY seq) FILTER (t <> '')) AS raw_text, CAST(count(*) FILTER (CAST(score AS DOUBLE) * 100 < 75) AS INT) AS n_low,
+           CAST(count(*) FILTER (t <> '' AND (({GONE}) OR ({HEAD}) OR ({FOOT}))) AS INT) AS n_artefacts FROM t GROUP BY page""",
+)
+def page_processed_facts(s: SparkSession, d: str) -> DataFrame:
+    return page_processed(s, d).select("page", "raw_text", "n_low", "n_artefacts")
+
+
+LINES = ("CivilAppealNo.%sof2011", "on 1Oth mav, 2oo5", "State ofHimachal Pradesh v. X", "1oo MwW and Section 9 ofthe Arbitration Act", "[2019] 3 SCC 45", "nothing at all")
+FIXED_LINES = ("Civil Appeal No. %s of 2011", "on 10th may, 2005", "State of Himachal Pradesh v. X", "100 MW and Section 9 of the Arbitration Act", "[2019] 3 SCC 45", "nothing at all")
+
+
+def _line() -> Column:
+    made = F.element_at(F.array(*map(F.lit, LINES)), (c("doc_id") % len(LINES) + 1).cast("int"))
+    return F.replace(made, F.lit("%s"), c("doc_id").cast("string"))
+
+
+@query("ocr_rules", f"SELECT doc_id, replace({list(FIXED_LINES)}[doc_id % {len(LINES)} + 1], '%s', CAST(doc_id AS VARCHAR)) AS line FROM documents")
+def ocr_rules(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", O.normalize_line(_line()).alias("line"))
+
+
+@query("ocr_rules_fired", f"SELECT doc_id, [[8, 9], [0, 5, 7], [12], [6, 10, 11], [], []][doc_id % {len(LINES)} + 1] AS fired FROM documents")
+def ocr_rules_fired(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", O.fired_rules(_line()).alias("fired"))
+
+
+def _two_engines(s: SparkSession, d: str) -> DataFrame:
+    """Readings of each page by two engines: the second's in pieces, longer, or the same."""
+    other = F.when(c("page") % 3 == 0, F.concat("text", F.lit(" more"))).when(c("page") % 3 == 1, F.concat("text", F.lit(" a b c d"))).otherwise(c("text"))
+    return _pages(s, d).withColumn("other", other)
+
+
+@query("ocr_engine_compare", f"WITH {_PAGES} SELECT page, page % 3 = 1 AS spacing, page % 3 < 2 AS substantive FROM pp")
+def ocr_engine_compare(s: SparkSession, d: str) -> DataFrame:
+    return _two_engines(s, d).select("page", O.compared(c("text"), c("other")).alias("x")).select("page", "x.*")
+
+
+@query(
+    "ocr_comparison_summary",
+    rf"""WITH {_PAGES}, r AS (SELECT job, page, 'first' AS engine, page % 7 / 4.0 AS seconds, confidence, text FROM pp
+        UNION ALL SELECT job, page, 'second', page % 5 / 4.0, CASE WHEN page % 2 = 0 THEN confidence END, CASE page % 3 WHEN 0 THEN text || ' more' WHEN 1 THEN text || ' a b c d' ELSE text END FROM pp)
+    SELECT job, engine, count(*) AS n_pages, CAST(round(sum(seconds), 3) AS DOUBLE) AS total_seconds, round(avg(seconds), 3) AS mean_seconds, round(avg(confidence), 2) AS mean_confidence,
+        CAST(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(page % 9) AS BIGINT) AS n_regions,
+        list_sort(list(page) FILTER (page % 3 = 1)) AS spacing_pages, list_sort(list(page) FILTER (page % 3 < 2)) AS substantive_pages FROM r GROUP BY job, engine""",
+)
+def ocr_comparison_summary(s: SparkSession, d: str) -> DataFrame:
+    p = _two_engines(s, d).withColumn("n_tokens", c("page") % 9)
+    first = p.select("job", "page", F.lit("first").alias("engine"), (c("page") % 7 / F.lit(4.0)).alias("seconds"), "confidence", "text", "n_tokens")
+    second = p.select("job", "page", F.lit("second").alias("engine"), (c("page") % 5 / F.lit(4.0)).alias("seconds"), F.when(c("page") % 2 == 0, c("confidence")).alias("confidence"), c("other").alias("text"), "n_tokens")
+    apart = p.select("job", "page", O.compared(c("text"), c("other")).alias("x")).select("job", "page", "x.*")
+    return O.comparison_summary(first.unionByName(second), apart, "job")

@@ -94,6 +94,45 @@ def custom_cases(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, rows.where(~ok)
 
 
+def append_custom(rows: DataFrame, path: str) -> tuple[int, int]:
+    """Appends the accepted new cases to the table at `path`: (accepted, rejected). Rows aren't compared with what is there; with_custom() does that."""
+    good, bad = custom_cases(rows)
+    counts = good.count(), bad.count()
+    if counts[0]:
+        good.write.mode("append").parquet(path)
+    return counts
+
+
+def with_custom(pool: DataFrame, custom: DataFrame) -> DataFrame:
+    """The pool and those custom cases whose record number it lacks, the first of each; columns that only one side has are null. What is built over the result (keys, TF-IDF, links) is derived anew, as plans are."""
+    known = pool.select(F.col("cnr").alias("_cnr")).where("_cnr <> ''").distinct()
+    fresh = custom.join(known, F.col("cnr") == F.col("_cnr"), "left_anti")
+    order = F.struct(*(c for c in ("case_number", "title", "petitioner", "respondent") if c in custom.columns))
+    one = fresh.where("cnr <> ''").groupBy("cnr").agg(F.min_by(F.struct(*(c for c in fresh.columns if c != "cnr")), order).alias("x")).select("cnr", "x.*")
+    named = one.unionByName(fresh.where("coalesce(cnr, '') = ''"))
+    return pool.unionByName(named.select(*(c for c in named.columns)), allowMissingColumns=True)
+
+
+def truncate_json(df: DataFrame, path: str) -> None:
+    """A run's results, in place of the last run's; append_json() adds to them."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def quads(rows: DataFrame, col: str = "value") -> DataFrame:
+    """Tokens of name, value: array<struct<quad:array<array<double>>,text:string,score:double>>, as an engine returns them; items without four points or text go, a missing score is 0."""
+    each = rows.select("name", F.posexplode(col).alias("seq", "t")).where("size(t.quad) >= 4 and t.text is not null")
+    xs, ys = F.transform("t.quad", lambda p: p[0]), F.transform("t.quad", lambda p: p[1])
+    return each.select("name", "seq", F.col("t.text").alias("text"), F.coalesce("t.score", F.lit(0.0)).alias("score"), F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def longer_text(first: Column, second: Column, least: int = 100) -> Column:
+    """struct(text, engine, is_scanned): the first engine's text, or where that is short and the second's longer, the second's; what is short even so is a scan."""
+    a, b = X.text_or_empty(first), X.text_or_empty(second)
+    use = (F.length(a) < least) & (F.length(b) > F.length(a))
+    text = F.when(use, b).otherwise(a)
+    return F.struct(text.alias("text"), F.when(text == "", "none").when(use, "second").otherwise("first").alias("engine"), (F.length(text) < least).alias("is_scanned"))
+
+
 def latest_results(names: DataFrame, col: str = "name") -> DataFrame:
     """(arm, name): each arm's last result file arm<n>_<timestamp>.json, by name."""
     arm = F.regexp_extract(col, r"^arm(\d+)_\w+\.json$", 1)

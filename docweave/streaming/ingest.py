@@ -54,6 +54,35 @@ def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 days") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Counts and sums by overlapping windows and type."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 days") -> DataFrame:
+    """Each user's runs of events that are less than `gap` apart: start, end (the last event and the gap), n."""
+    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def live_search(source: DataFrame, custom_path: str, pool: DataFrame, answer, out_path: str, checkpoint: str):
+    """A stream of queries against the pool and the custom cases that are there when a batch begins: answer(queries, pool) is appended to out_path."""
+    from ..sources.tables import exists, with_custom
+
+    def batch(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
+        now = with_custom(pool, spark.read.parquet(custom_path)) if exists(spark, custom_path) else pool
+        answer(df, now).write.mode("append").parquet(out_path)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def job_stream(events: DataFrame, out_path: str, checkpoint: str):
+    """The states of jobs from a stream of events(job, status, page), every change appended to out_path."""
+    kind = "job string, status string, n_pages long"
+    states = events.groupBy("job").applyInPandasWithState(job_states, kind, "status string, n_pages long", "append", "NoTimeout")
+    return states.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def job_states(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """For applyInPandasWithState over events(job, status, page): the job's furthest status and how many pages it has."""
     rank = {"queued": 0, "processing": 1, "done": 2, "failed": 2}

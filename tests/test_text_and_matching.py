@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import builders as B
 from docweave.functions import chunks, similarity
 from docweave.functions import text as X
 from docweave.operators import evaluate as E
-from docweave.operators import ocr
+from docweave.operators import ocr, summarise
 from docweave.operators import matching as M
+from docweave.sources import boundary, tables
 from docweave.streaming import ingest
 
 GOLDEN = [
@@ -35,21 +37,53 @@ def test_columns(spark, f, given, wanted):
     assert spark.range(1).select(f(F.lit(given).cast("string"))).first()[0] == wanted
 
 
-@pytest.mark.parametrize("given,wanted", [("co ns tr uct i on", "construction"), ("re fer a ble", "referable"), ("pr inc i pal", "principal"), ("the Court", "the Court"), ("Section 34", "Section 34")])
+#: A vocabulary of the words that the golden pairs are about, the most frequent first.
+KNOWN = ocr.Vocabulary("the to of and a in court state section clause agreement into power company ltd himachal pradesh implementation construction referable prescribed completely disputes restoring principal arbitral argument required compound disposing exceeded held applicant judgment appellant tribunal".split())
+
+
+@pytest.mark.parametrize("given,wanted", [("co ns tr uct i on", "construction"), ("re fer a ble", "referable"), ("pr inc i pal", "principal"), ("ar bi tr al", "arbitral"), ("ju dg me nt", "judgment"), ("Tr ib un al,", "Tribunal,"), ("the Court", "the Court"), ("UHL Power Company Ltd.", "UHL Power Company Ltd."), ("Section 34", "Section 34"), ("Clause 2.2", "Clause 2.2")])
 def test_fragments(given, wanted):
-    assert ocr.join_fragments(given) == wanted
+    assert ocr.join_fragments(given, KNOWN) == wanted
 
 
-@pytest.mark.parametrize("given,wanted", [("ImplementationAgreement", "Implementation Agreement"), ("intothe", "into the"), ("StateofHimachalPradesh", "State of Himachal Pradesh"), ("Clause4", "Clause 4"), ("Agreement .", "Agreement."), ("Section 34 (2)(b)(ii)", "Section 34 (2)(b)(ii)")])
+@pytest.mark.parametrize("given,wanted", [("ImplementationAgreement", "Implementation Agreement"), ("intothe", "into the"), ("StateofHimachalPradesh", "State of Himachal Pradesh"), ("Clause4", "Clause 4"), ("Agreement .", "Agreement."), ("Company ,", "Company,"), ("Section 34 (2)(b)(ii)", "Section 34 (2)(b)(ii)"), ("applicant", "applicant"), ("THEAPPELLANT", "THE APPELLANT"), ("", ""), (None, "")])
 def test_refine(given, wanted):
-    assert ocr.refine(given) == wanted
+    assert ocr.refine(given, KNOWN) == wanted
+
+
+def test_segments_are_the_cheapest():
+    words = ocr.Vocabulary(["ab", "abc", "cd", "d", "bcd", "a"])
+
+    def cost(parts):
+        return sum(words.cost[p] if p in words else words.unknown[len(p)] + 100 * (len(p) == 1 and p not in ("a", "i")) for p in parts)
+
+    def every(block):
+        return [[]] if not block else [[block[:k], *rest] for k in range(1, len(block) + 1) for rest in every(block[k:])]
+
+    for block in ("abcd", "dabcab", "xaby", "aabbcc"):
+        assert cost(words.segment(block)) == pytest.approx(min(map(cost, every(block)))) and "".join(words.segment(block)) == block
+    assert words.segment("abc") == ["abc"] and words.segment("") == []
 
 
 def test_page_text():
     box = lambda t, x, y=0: {"text": t, "x0": x, "x1": x + 10 * len(t), "y0": y, "y1": y + 20}
-    assert ocr.page_text([box("comp", 0), box("letely", 42)]) == "completely"
-    assert ocr.page_text([box("the", 0), box("Court", 50), box("held", 0, 100)]) == "the Court\n\nheld"
-    assert ocr.page_text([]) == ""
+    assert ocr.page_text([box("comp", 0), box("letely", 42)], KNOWN) == "completely"
+    assert ocr.page_text([box("the", 0), box("Court", 50), box("held", 0, 100)], KNOWN) == "the Court\n\nheld"
+    assert ocr.page_text([], KNOWN) == ""
+
+
+def test_pages_of_noise_and_vocabularies(spark, tmp_path):
+    rows = [(1, 0, "TFP", 0.0, 0.0, 30.0, 20.0, 0.9), (1, 1, " ", 0.0, 0.0, 1.0, 1.0, 0.9), (1, 2, None, 0.0, 0.0, 1.0, 1.0, 0.9), (2, 0, "comp", 0.0, 0.0, 40.0, 20.0, 0.5), (2, 1, "letely", 42.0, 0.0, 102.0, 20.0, 90.0), (2, 2, "|", 200.0, 0.0, 210.0, 20.0, 0.9)]
+    df = spark.createDataFrame(rows, "page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, score double")
+    assert {r.page: r.text for r in ocr.pages(df, KNOWN, "page").collect()} == {1: "", 2: "completely"}
+    assert {r.page: r.text for r in ocr.layout(df, "page", noise_goes=True).collect()} == {1: "", 2: "comp letely"}
+    got = {r.page: r for r in ocr.processed(df, "page").collect()}
+    assert got[1].text == "" and got[1].raw_text == "TFP" and got[2].raw_text == "comp\nletely\n|" and got[2].geometry_text == "comp letely"
+    assert list(got[2].low_confidence) == [0] and [(a.seq, a.reason) for a in got[2].artefacts] == [(2, "Garbage/isolated symbol artifact")]
+    assert ocr.pages(df.limit(0), KNOWN, "page").count() == 0
+    (tmp_path / "words").write_text("beta\nalpha\n")
+    assert list(ocr.vocabulary_file(spark, str(tmp_path / "words")).cost) == ["beta", "alpha"]
+    assert list(ocr.vocabulary_of(spark.createDataFrame([("b a bb bb",), ("aa Bb",), (None,)], "text string")).cost) == ["bb", "aa"]
 
 
 def plain_lcs(a, b):
@@ -114,3 +148,105 @@ def test_positions_are_one_to_n_and_shares_exact(spark):
     assert sorted(r.position for r in rows) == list(range(1, 1004))
     assert [sum(r.share == x for r in rows) for x in "abc"] == [401, 401, 201]
     assert E.by_position(spark.range(0), F.col("id").cast("string"), {"a": 1.0}).count() == 0
+
+
+def test_order_statistics(spark):
+    rows = [("a", v) for v in (5, 1, 1, 9, 3)] + [("b", 2), ("c", None)]
+    got = {r.k: (r.p50, r.p90) for r in E.order_statistics(spark.createDataFrame(rows, "k string, v int"), "k", "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    assert got == {"a": (3, 9), "b": (2, 2)}
+
+
+def test_builders(spark):
+    one = lambda x: spark.range(1).select(x).first()[0]
+    rng = random.Random(2)
+    for width in (7, 20):
+        text = "\n\n".join(" ".join("x" * rng.randint(1, 6) for _ in range(12)) for _ in range(3)) + "\n\n \n\n"
+        import textwrap
+
+        assert one(B.wrapped(F.lit(text), width)) == "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n") if p.strip())
+    assert one(B.wrapped(F.lit("abcdefghij kl"), 4)) == "abcd\nefgh\nij\nkl"
+    sentences = [f"Sentence {i}." for i in range(9)]
+    mixed = one(B.shuffled_sentences(F.lit(" ".join(sentences)), F.lit(1)))
+    parts = mixed.split(". ")
+    assert mixed != " ".join(sentences) and sorted(p.strip(".") for p in parts) == sorted(s.strip(".") for s in sentences) and mixed.startswith("Sentence 0. Sentence 1. ") and mixed.endswith("Sentence 7. Sentence 8.")
+    assert one(B.shuffled_sentences(F.lit("One. Two."), F.lit(1))) == "One. Two."
+    assert one(B.synonyms(F.lit("The Petitioner won; FIR"), hard=True)) == "The the aggrieved party won; first information report"
+    assert one(B.fill("{a} {b} {a} {c}", a=F.lit("x"), b=F.lit(None).cast("string"))) == "x  x {c}"
+    assert one(B.prompt("{index}/{total} p{pages}: {text}", F.lit("t"), F.lit(1), F.lit(2), F.lit(3), F.lit(3))) == "1/2 p3: t"
+    record = {k: F.lit(v) for k, v in {"cnr": "C1", "case_number": "", "chunk_opening": "o" * 500, "chunk_body": "body"}.items()}
+    made = one(B.summary(record, F.lit("raw")))
+    assert "- **Case Name:** Supreme Court Judgment" in made and "C1 (N/A)" in made and "\n" + "o" * 400 + "\n" in made and "\nbody\n" in made
+    assert [one(B.noised_party(F.lit("A B c"), F.lit(k))) for k in range(6)] == ["A B c", "A B C", "a b c", "Shri A B c", "A B c & Ors.", "A B"]
+
+
+def test_summaries_and_two_passes(spark):
+    class Counts:
+        def summarise(self, prompt, most_tokens):
+            return f"{most_tokens}:{len(prompt.splitlines())}"
+
+    docs = spark.createDataFrame([(1, "short"), (2, "\n\n".join(["p" * 50] * 5)), (3, " "), (4, None)], "doc_id int, text string")
+    got = {r.doc_id: (r.n_chunks, r.summary) for r in summarise.summaries(docs, Counts(), size=120, overlap=10).collect()}
+    assert set(got) == {1, 2} and got[1] == (1, "1500:2") and got[2][0] == 3 and got[2][1].startswith("1500:")
+    pages = spark.createDataFrame([("d", 1, "usable text " * 10), ("d", 2, "x"), ("d", 3, ""), ("d", 4, None)], "doc string, page int, text string")
+    read = spark.createDataFrame([("d", 2, "read", 95.0, None), ("d", 3, None, None, "failed")], "doc string, page int, text string, confidence double, error string")
+    rows = {r.page: (r.method, r.status, r.text) for r in summarise.two_pass(pages, read).collect()}
+    assert rows[1][:2] == ("direct_parse", "passed") and rows[2] == ("ocr", "passed", "read") and rows[3] == ("ocr", "needs_review", "") and rows[4] == ("ocr", "needs_review", "")
+
+
+def test_custom_cases_are_appended_and_seen(spark, tmp_path):
+    kind = "title string, cnr string, case_number string, petitioner string, respondent string, year int"
+    path = f"{tmp_path}/custom"
+    assert tables.append_custom(spark.createDataFrame([("A V. B", "n1", "", "", None, None), ("", "n2", "", "", None, None)], kind), path) == (1, 1)
+    assert tables.append_custom(spark.createDataFrame([("A V. B", "n1", "", "", None, None), ("C V. D", "old", "", "", None, None)], kind), path) == (2, 0)
+    pool = spark.createDataFrame([("OLD", 1)], "cnr string, ordinal int")
+    both = tables.with_custom(pool, spark.read.parquet(path))
+    assert sorted((r.cnr, r.is_custom) for r in both.collect()) == [("N1", True), ("OLD", None)]
+    asked = spark.createDataFrame([("OLD",), ("N1",), ("ZZ",)], "cnr string")
+    asked.write.parquet(f"{tmp_path}/asked")
+    stream = spark.readStream.schema(asked.schema).parquet(f"{tmp_path}/asked")
+    answer = lambda q, p: q.join(p.select("cnr"), "cnr", "left_semi")
+    ingest.live_search(stream, path, pool, answer, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
+    assert sorted(r.cnr for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["N1", "OLD"]
+
+
+def test_streams_run(spark, tmp_path):
+    kind = "cnr string, case_number string, year int, ordinal int"
+    for k, rows in enumerate(([("a", "1", 2020, 0), ("a", "2", 2020, 1)], [("b", "1", 2021, 2), ("c", "3", 2021, 3)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        ingest.ingest_stream(stream, f"{tmp_path}/master", f"{tmp_path}/ck").awaitTermination(60)
+    assert sorted(r.ordinal for r in spark.read.parquet(f"{tmp_path}/master").collect()) == [0, 3]
+    events = spark.createDataFrame([("j", "queued", None), ("j", "processing", None), ("j", "processing", 1), ("j", "done", 2), ("k", "queued", None)], "job string, status string, page int")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events")
+    ingest.job_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"), f"{tmp_path}/jobs", f"{tmp_path}/ck2").awaitTermination(60)
+    assert {(r.job, r.status, r.n_pages) for r in spark.read.parquet(f"{tmp_path}/jobs").collect()} == {("j", "done", 2), ("k", "queued", 0)}
+
+
+def test_tables(spark, tmp_path):
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{tmp_path}/2001/metadata.parquet")
+    spark.createDataFrame([(2, "x")], "a int, b string").write.parquet(f"{tmp_path}/2003/metadata.parquet")
+    assert sorted((r.a, r.b, r.year) for r in tables.yearly(spark, str(tmp_path), 2000, 2004).collect()) == [(1, None, 2001), (2, "x", 2003)]
+    with pytest.raises(FileNotFoundError):
+        tables.yearly(spark, str(tmp_path), 1990, 1991)
+    path = f"{tmp_path}/t"
+    tables.overwrite(spark.range(3), path)
+    tables.overwrite(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    tables.truncate_json(spark.range(5), f"{tmp_path}/j")
+    tables.truncate_json(spark.range(2), f"{tmp_path}/j")
+    tables.append_json(spark.range(1), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 3
+    quads = spark.createDataFrame([("p", [([[0.0, 1.0], [9.0, 1.0], [9.0, 4.0], [0.0, 4.0]], "t", None), ([[0.0, 1.0]], "u", 0.5), ([[0.0, 1.0]] * 4, None, 0.5)])], "name string, value array<struct<quad:array<array<double>>,text:string,score:double>>")
+    assert [(r.text, r.score, r.x1, r.y1) for r in tables.quads(quads).collect()] == [("t", 0.0, 9.0, 4.0)]
+    texts = spark.createDataFrame([("a" * 200, "b" * 300), ("a", "b" * 300), ("", None)], "a string, b string")
+    assert [(r.x.engine, r.x.is_scanned) for r in texts.select(tables.longer_text(texts.a, texts.b).alias("x")).collect()] == [("first", False), ("second", False), ("none", True)]
+
+
+def test_small_functions(spark):
+    one = lambda x: spark.range(1).select(x).first()[0]
+    assert one(X.is_generic_govt(F.lit(" "))) and not one(X.is_generic_govt(F.lit("State of X"))) and one(X.is_generic_govt(F.lit("State of X"), strict_reference=False))
+    assert one(X.margin_letters(F.lit("a\n B \nb\n\n\n\nc"))) == "a\n\nb\n\nc"
+    assert one(X.after_rule(F.lit("x\n---\n y \n---\nz"))) == "y \n---\nz" and one(X.after_rule(F.lit("x"))) == "x"
+    similarity.register(spark)
+    assert spark.sql("SELECT token_set_ratio('a b', 'b a c') AS s, indel_ratio('ab', 'ab') AS r").first() == (100.0, 100.0)
+    assert boundary.HashedWords(8).embed(["a a", ""])[1] == [0.0] * 8 and boundary.PlainPdf().pages(b"a\x0cb") == ["a", "b"]
