@@ -1,4 +1,4 @@
-"""SimHash near-dedup with BK-trees.
+"""SimHash near-dedup with BK-trees, one for each shard; shards are dealt to tasks together with their queries, not broadcast.
 
 Fingerprints: A-Z in lower case, words are runs of other bytes than space and 0x09-0x0D, shingles of `words` words with
 their repeats, XXH64 (UTF-8, seed 42); a bit is 1 if set in over half the hashes. Texts with fewer words have one

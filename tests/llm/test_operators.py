@@ -220,19 +220,3 @@ def test_media_crowded_cells(spark):
     rows = spark.createDataFrame([(i, bytearray(x)) for i, x in images.items()], "doc_id long, image binary")
     for most in (1, 3):
         assert {r.doc_id: r.class_id for r in media.copies(rows, "doc_id", "image", most=most).collect()} == root
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    kept = p.language_id(spark, docs, d)
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
-    f = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    ids = {r.doc_id for r in p.near_dedup(spark, kept, d).collect()}
-    assert all(any((f[i] ^ f[j]).bit_count() <= 2 for j in texts if j < i) for i in set(texts) - ids)
-    assert all((f[i] ^ f[j]).bit_count() > 2 for i in ids for j in ids if i < j)
-    out = p.run(spark, d)
-    assert out.count() > 0 and {"doc_id", "n_tokens"} <= set(out.columns)
