@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -157,8 +158,13 @@ def disclosing(pairs: DataFrame, counts: DataFrame, n_docs: int, threshold: floa
     return told.where((content > 0) & (pmi >= threshold * content)).select("term").distinct()
 
 
-def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+def text_key(text: str | None) -> str:
+    """What tells texts apart: 128 bits of XXH3; null counts as empty."""
+    return xxhash.xxh3_128_hexdigest(text or "")
+
+
+def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """A row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with `keys`, text_key too."""
     spark = docs.sparkSession
     common.short_batches(spark)
     id_arrow, id_ddl = common.arrow_type(docs, id_col), common.ddl_type(docs, id_col)
@@ -204,10 +210,11 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
     if candidates.limit(1).count():
         counts = own.mapInArrow(common.tidy(count), "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
         told = common.written(disclosing(pairs, counts.join(candidates, "term", "left_semi"), own.count(), threshold), "told")
+    shared.unpersist()
     telling = spark.sparkContext.broadcast(bloom(told))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("row_id", pa.int64()), ("doc_id", id_arrow), ("term", pa.string()), ("places", pa.string())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string())]
+        fields = [("row_id", pa.int64()), ("doc_id", id_arrow), ("term", pa.string()), ("places", pa.string())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("text_key", pa.string())]
 
         def rows() -> Iterator[tuple]:
             numbers, bits, known = common.task_rows(), np.frombuffer(telling.value, dtype=np.uint8), {}
@@ -215,19 +222,20 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
             for doc_id, text in common.rows_of(batches, "doc_id", "text"):
                 text = text or ""
                 row_id, spans = next(numbers), base_spans(text)
-                yield row_id, doc_id, None, joined(spans, KINDS), *(sum(s[0] == k for s in spans) for k in KINDS), digest(spans, KINDS)
+                yield row_id, doc_id, None, joined(spans, KINDS), *(sum(s[0] == k for s in spans) for k in KINDS), digest(spans, KINDS), text_key(text) if keys else None
                 if some and any(passed(bits, known, t) for t in {m.lower() for m in TERM.findall(text)}):
                     places: dict[str, list[str]] = {}
                     for m in TERM.finditer(text):
                         if passed(bits, known, m[0].lower()):
                             places.setdefault(m[0].lower(), []).append(f"term:{m.start()}:{m.end()}")
                     for term, found in places.items():
-                        yield row_id, doc_id, term, ",".join(found), *(0,) * len(KINDS), ""
+                        yield row_id, doc_id, term, ",".join(found), *(0,) * len(KINDS), "", None
 
         return common.in_batches(rows(), pa.schema(fields))
 
-    ddl = f"row_id long, doc_id {id_ddl}, term string, places string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string"
+    ddl = f"row_id long, doc_id {id_ddl}, term string, places string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, text_key string"
     read = common.written(own.mapInArrow(common.tidy(second), ddl), "read")
+    telling.unpersist()
     bases, hits = read.where("term is null"), read.where("term is not null")
     more = hits.select("row_id", "term", "places").join(told, "term", "left_semi").groupBy("row_id").agg(F.collect_list("places").alias("more"))
     kinds = [*KINDS, "term"]
@@ -239,18 +247,22 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int
     base_list = F.filter(F.split("places", ","), lambda x: x != "")
     spans = F.array_join(F.transform(F.array_sort(F.transform(F.concat(base_list, F.filter(F.split(F.array_join("more", ","), ","), lambda x: x != "")), order)), lambda x: x["s"]), ",")
     out = bases.join(more, "row_id", "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.size("more") == 0, F.col("places")).otherwise(spans).alias("spans"))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", *["text_key"] * keys, F.when(F.size("more") == 0, F.col("places")).otherwise(spans).alias("spans"))
+
 
+def sanitise(docs: DataFrame, window: int = 5, threshold: float = 0.9, support: int = 1, text_col: str = "text") -> DataFrame:
+    """docs with every span of find() generalised to <KIND> in the text. Rows are matched to their spans by their texts, so ids play no part; null texts stay null, other columns as they are."""
+    names = list(docs.columns)
 
-def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of find() generalised to <KIND> in the text; ids must be unique here. Documents that `found` lacks stay as they are."""
-    spans = found.select(F.col("doc_id").alias("_found_id"), F.col("spans").alias("_found_spans"))
+    @F.pandas_udf("string")
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(text_key)
 
-    @F.udf("string")
-    def clean(text: str | None, marks: str | None) -> str | None:
-        if not text or not marks:
-            return text
-        return replaced(text, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in marks.split(","))])
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([t if not t or not m else replaced(t, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in m.split(","))]) for t, m in zip(texts, marks, strict=True)], dtype=object)
 
-    joined_up = docs.join(spans, F.col(id_col) == F.col("_found_id"), "left")
-    return joined_up.withColumn(text_col, clean(F.col(text_col), F.col("_found_spans"))).select(*docs.columns)
+    told = find(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), window, threshold, support, keys=True)
+    told = told.where("spans <> ''").select(F.col("text_key").alias("_told_key"), F.col("spans").alias("_told_spans")).distinct()
+    both = docs.withColumn("_own_key", key(F.col(text_col))).join(told, F.col("_own_key") == F.col("_told_key"), "left")
+    return both.withColumn(text_col, clean(F.col(text_col), F.col("_told_spans"))).select(*(F.col(f"`{n}`") for n in names))

@@ -41,6 +41,10 @@ def test_chat(spark):
     assert got[1].n_turns == 3 and got[1].loss_sha256 == sha(hard[1] * 2) and got[1].loss_chars == 2 * len(hard[1])
     assert got[1].turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns[:3]))
     assert got[2].turns_sha256 == sha("\n\n") and got[2].loss_chars == 0 and got[None].loss_chars == 1
+    many = spark.createDataFrame([(7, i, "assistant", "<|im_end|>" * (i % 3), "clash", "y") for i in range(5_000)] + [(8, 0, "assistant", "w" * 500_000, "clash", "y")], "conv_id long, turn long, role string, text string, segment string, n_turns string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(many)).collect()}
+    assert got[7].n_turns == 5_000 and got[7].loss_sha256 == sha("".join("<|im_end|>" * (i % 3) for i in range(5_000))) and got[8].loss_chars == 500_000
+    assert chat.read_back(chat.format_chats(many.limit(0))).count() == 0
 
 
 def test_languages(spark, docs, none):
@@ -102,6 +106,10 @@ def test_crc_joined():
 def test_simhash(spark, docs, none):
     f = {i: simhash.fingerprint(t) for i, t in enumerate(TEXTS)}
     assert f[0] == f[1] == f[2] == 0 and f[5] == f[6]
+    for t in (*TEXTS, "A b C d É É e", "a b", "one", "x y z x y z x y z"):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
+        assert simhash.fingerprint(t) == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes) > 0)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got[0] == got[2] == 0 and got[5] == got[6] == 5
     assert simhash.near_duplicates(none).count() == 0
@@ -138,7 +146,7 @@ def test_privacy(spark, docs, none):
     found = privacy.find(df, support=2)
     got = {r.doc_id: r for r in found.collect()}
     assert got[0].n_email == 1 and "term:6:13" in got[0].spans and got[60].spans == "term:5:12" and got[10].spans == ""
-    assert {r.doc_id: r.text for r in privacy.sanitise(df, found).collect()}[60] == "only <TERM> here"
+    assert {r.doc_id: r.text for r in privacy.sanitise(df, support=2).collect()}[60] == "only <TERM> here"
     assert privacy.find(docs).count() == docs.count() and privacy.find(none).count() == 0
 
 
