@@ -191,6 +191,36 @@ def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
     return M.top_k(hits, "score", 5).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(
+    "target_rank",
+    """WITH h AS (SELECT q.vec_id AS query_id, e.vec_id // 3 AS case_no, round(0.7 * max(round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)), 8) AS s
+        FROM embeddings q, embeddings e WHERE q.vec_id % 25 = 0 GROUP BY ALL),
+    t AS (SELECT query_id, case_no, s FROM h WHERE case_no = (query_id // 3 + 7) % 100)
+    SELECT t.query_id, t.case_no AS target, round(t.s, 4) AS score, count(h.query_id) + 1 AS rank
+    FROM t LEFT JOIN h ON h.query_id = t.query_id AND (h.s > t.s OR (h.s = t.s AND h.case_no < t.case_no)) GROUP BY ALL""",
+)
+def target_rank(s: SparkSession, d: str) -> DataFrame:
+    """Where another case, chosen by arithmetic, stands for each query vector among all cases of three chunks."""
+    none = {"terms": F.array().cast("array<long>"), "ws": F.array().cast("array<double>")}
+    chunks = vectors(s, d).withColumns(none | {"case": F.floor(c("id") / 3)})
+    queries = vectors(s, d).where("id % 25 = 0").select(c("id").alias("query_id"), "v", ((F.floor(c("id") / 3) + 7) % 100).alias("target")).withColumns(none)
+    return search.target_ranks(queries, chunks).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "guided_rerank",
+    f"""WITH {DENSE}, k AS (SELECT query_id, id, s AS sem FROM dense WHERE rank <= 5),
+    j AS (SELECT *, [query_id % 3, query_id % 5, query_id % 7] AS a, [id % 3, id % 5, id % 7] AS b FROM k)
+    SELECT query_id, id, round(0.55 * sem + 0.20 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + CASE WHEN query_id % 4 = id % 4 THEN 0.15 ELSE 0 END + CASE WHEN abs(query_id - id) <= 100 THEN 0.10 ELSE 0 END, 4) AS score FROM j""",
+)
+def guided_rerank(s: SparkSession, d: str) -> DataFrame:
+    v = vectors(s, d)
+    k = search.dense_neighbours(v.where("id % 25 = 0"), v, 5)
+    rests = lambda x: F.array(*(c(x) % m for m in (3, 5, 7)))
+    score = S.guided_score(c("dense"), rests("query_id"), rests("id"), c("query_id") % 4 == c("id") % 4, c("query_id") - c("id"), 100)
+    return k.select("query_id", "id", F.round(score, 4).alias("score"))
+
+
 # --- the whole cascade
 def semantic(queries: DataFrame, pool: DataFrame, k: int = 1, weights: tuple[float, float] | None = (0.7, 0.3)) -> DataFrame:
     """The k best cases of each query by hybrid score over the pool's chunks, from the 5k best chunks of either score: query_id, matched_case_id, score, chunk_type."""

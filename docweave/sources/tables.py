@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +152,50 @@ def page_tagged(pages: DataFrame, doc: str, page: str, text: str, least: int = 3
     size = F.aggregate("x", F.lit(0), lambda a, v: a + F.length(F.trim(v["t"])))
     tagged = F.transform("x", lambda v: F.concat(F.lit("[Page "), v["p"].cast("string"), F.lit("]\n"), v["t"], F.lit("\n")))
     return one.select(doc, F.array_join(tagged, "").alias("text"), (size >= least).alias("extractable"))
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, data) of every file in the tar archives that `path` (a file, folder or glob) names; a broken archive gives the members before the break. An archive is read by one task, its members one at a time."""
+    kind = pa.schema([("archive", pa.string()), ("member", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for archive, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        for m in tar:
+                            if m.isfile():
+                                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([m.name]), pa.array([tar.extractfile(m).read()], pa.binary())], schema=kind)
+                except (tarfile.TarError, EOFError, OSError):
+                    continue
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, data binary")
+
+
+def case_texts(records: DataFrame, members: DataFrame, first, second, most_pages: int | None = None, least: int = 100) -> DataFrame:
+    """records(cnr, path) with text, engine and is_scanned: the member of the record's name, read by one engine and, where that gives little, by another (sources.boundary.PdfText); a record without a member has no text. most_pages: pages read, all if None."""
+
+    def reader(engine):
+        @F.pandas_udf("string")
+        def read(data: pd.Series) -> pd.Series:
+            def one(x: bytes | None) -> str | None:
+                try:
+                    return None if x is None else "\n".join(engine.pages(bytes(x))[:most_pages]).strip()
+                except Exception:  # an engine may fail on a file in any way; the file then has no text
+                    return ""
+
+            return data.map(one)
+
+        return read
+
+    named = records.withColumn("_member", X.pdf_member(F.col("path")))
+    found = named.join(members.select(F.col("member").alias("_member"), F.col("data").alias("_data")), "_member", "left")
+    best = longer_text(reader(first)(F.col("_data")), reader(second)(F.col("_data")), least)
+    return found.withColumn("x", best).select(*records.columns, "x.text", "x.engine", "x.is_scanned")
+
+
+def markdown(df: DataFrame, most: int = 1_000) -> str:
+    """A small result (at most `most` rows) as a table in markdown."""
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *(map(cell, r) for r in df.limit(most).collect())]
+    return "\n".join(f"| {' | '.join(x)} |" for x in lines) + "\n"

@@ -13,6 +13,9 @@ def new_only(batch: DataFrame, master: DataFrame) -> DataFrame:
     """Rows of batch(cnr, case_number, year, ordinal) whose non-empty cnr and case_number neither the master has nor a row kept before has (in order of ordinal, within their year): a dropped row blocks none."""
     keys = [master.select(F.col(k).alias(f"_{k}")).where(F.col(k) != "").distinct() for k in ("cnr", "case_number")]
     fresh = batch.join(keys[0], F.col("cnr") == F.col("_cnr"), "left_anti").join(keys[1], F.col("case_number") == F.col("_case_number"), "left_anti")
+    # of rows with the same two keys only the first can stay: what drops it drops the others, and if it stays it drops them
+    first = Window.partitionBy("year", "cnr", "case_number").orderBy("ordinal")
+    fresh = fresh.withColumn("_nth", F.when((F.col("cnr") != "") | (F.col("case_number") != ""), F.row_number().over(first)).otherwise(F.lit(1))).where("_nth = 1").drop("_nth")
     # only rows that share a key with another need the ordered pass
     for k in ("cnr", "case_number"):
         fresh = fresh.withColumn(f"_n_{k}", F.when(F.col(k) != "", F.count("*").over(Window.partitionBy("year", k))).otherwise(F.lit(1)))

@@ -250,3 +250,34 @@ def test_small_functions(spark):
     similarity.register(spark)
     assert spark.sql("SELECT token_set_ratio('a b', 'b a c') AS s, indel_ratio('ab', 'ab') AS r").first() == (100.0, 100.0)
     assert boundary.HashedWords(8).embed(["a a", ""])[1] == [0.0] * 8 and boundary.PlainPdf().pages(b"a\x0cb") == ["a", "b"]
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    for name, members in (("a.tar", {"X1_EN.pdf": b"one\x0ctwo", "deep/X2.pdf": b"y" * 300}), ("b.tar", {"X3_EN.pdf": b"\xff"})):
+        with tarfile.open(tmp_path / name, "w") as tar:
+            for m, data in members.items():
+                info = tarfile.TarInfo(m)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    (tmp_path / "c.tar").write_bytes(b"not an archive")
+    members = tables.archive_members(spark, f"{tmp_path}/*.tar")
+    assert sorted(r.member for r in members.collect()) == ["X1_EN.pdf", "X3_EN.pdf", "deep/X2.pdf"]
+
+    class Fails:
+        def pages(self, data):
+            raise ValueError
+
+    records = spark.createDataFrame([("1", "X1"), ("2", "deep/X2.pdf"), ("3", "gone")], "cnr string, path string")
+    got = {r.cnr: (r.text, r.engine, r.is_scanned) for r in tables.case_texts(records, members, Fails(), boundary.PlainPdf()).collect()}
+    assert got == {"1": ("one\ntwo", "second", True), "2": ("y" * 300, "second", False), "3": ("", "none", True)}
+    assert tables.case_texts(records, members, boundary.PlainPdf(), Fails(), most_pages=1).where("cnr = '1'").first().text == "one"
+    assert tables.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string")) == "| n | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n"
+
+
+def test_dedup_of_repeated_pairs(spark):
+    rows = [("a", "1", 2020, i) for i in range(50)] + [("a", "2", 2020, 60), ("", "7", 2020, 61), ("", "7", 2020, 62), ("", "", 2020, 63), ("", "", 2020, 64)]
+    batch = spark.createDataFrame(rows, "cnr string, case_number string, year int, ordinal int")
+    assert sorted(r.ordinal for r in ingest.new_only(batch, batch.limit(0).select("cnr", "case_number")).collect()) == [0, 61, 63, 64]
