@@ -10,6 +10,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import evaluate as E
 from ..operators import matching as M
+from ..operators import routing as R
 from ..operators import search
 from ..sources.boundary import HashedWords
 from .catalogue import query
@@ -133,7 +134,7 @@ def searched(s: SparkSession, d: str, every: int, fetch: int, dense: bool = True
         own = docs.withColumn("v", F.array().cast("array<float>"))
     both = search.with_terms(own.withColumn("v", F.coalesce("v", F.array().cast("array<float>"))), w, "id")
     asked = both.where(c("id") % every == 0).withColumnRenamed("id", "query_id")
-    return search.both_scores(asked, both, fetch)
+    return search.both_scores(asked, both, fetch, search.enough_blocks(own.count()))
 
 
 @query(
@@ -227,11 +228,12 @@ def semantic(queries: DataFrame, pool: DataFrame, k: int = 1, weights: tuple[flo
     pieces = C.chunk_rows(pool).select(F.concat_ws("|", "cnr", "chunk_type").alias("id"), "text")
     said = queries.select("query_id", C.input_text(c("petitioner"), c("respondent"), F.lit(""), c("extracted_text_snippet")).alias("text")).where(X.strip(c("text")) != "")
     told = tokens_of(pieces, "id", "text")
-    idf = M.idf_of(told, F.lit(pieces.count()))
+    n = pieces.count()
+    idf = M.idf_of(told, F.lit(n))
     model = HashedWords(256)
     held = search.with_terms(search.embedded(pieces, "text", model), M.weighted(told, idf), "id")
     asked = search.with_terms(search.embedded(said, "text", model), M.weighted(tokens_of(said, "query_id", "text"), idf), "query_id")
-    hits = search.both_scores(asked.select("query_id", "v", "terms", "ws"), held.select("id", "v", "terms", "ws"), 5 * k)
+    hits = search.both_scores(asked.select("query_id", "v", "terms", "ws"), held.select("id", "v", "terms", "ws"), 5 * k, search.enough_blocks(n))
     best = search.best_cases(hits, F.substring_index("id", "|", 1), k, weights=weights)
     return best.select("query_id", c("case").alias("matched_case_id"), "score", F.substring_index("id", "|", -1).alias("chunk_type"), "rank")
 
@@ -371,3 +373,68 @@ def rerank_multisignal(s: SparkSession, d: str) -> DataFrame:
 )
 def contradiction_gate(s: SparkSession, d: str) -> DataFrame:
     return reranked(s, d).select("query_id", "matter_id", F.size("reasons").alias("n_reasons"), "status")
+
+
+# --- routers, recognised texts and benchmark queries
+JUDGES = ("A. NAME", "B. C. OTHER", "D THIRD")
+
+
+def benched(s: SparkSession, d: str) -> DataFrame:
+    """The pool with a bench for each case."""
+    pick = F.element_at(F.array(*map(F.lit, JUDGES)), (c("doc_id") % len(JUDGES) + 1).cast("int"))
+    return cases(s, d).withColumn("bench", pick)
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """Every variant with a raw text that names a bench: its case's own, or for every fifth another."""
+    n = F.when(c("doc_id") % 5 == 0, c("doc_id") + 1).otherwise(c("doc_id"))
+    name = F.element_at(F.array(*map(F.lit, JUDGES)), (n % len(JUDGES) + 1).cast("int"))
+    return variants(s, d).withColumn("raw_text", F.concat(F.lit("["), name, F.lit(", J.] "), c("extracted_text_snippet")))
+
+
+@query("arm1_route")
+def arm1_route(s: SparkSession, d: str) -> DataFrame:
+    return R.routed(whole_cascade(s, d))
+
+
+@query("arm3_route")
+def arm3_route(s: SparkSession, d: str) -> DataFrame:
+    pool = benched(s, d)
+    return R.multi_signal(asked(s, d), pool, adjacency(s, d), lambda rest: semantic(rest, pool, k=5))
+
+
+@query("benchmark_run")
+def benchmark_run(s: SparkSession, d: str) -> DataFrame:
+    """Both routers over the same variants, measured: filed, for review and right by router and variant."""
+    pool, queries = benched(s, d), asked(s, d)
+    routers = {"1": lambda q: R.routed(M.cascade(q, pool, lambda rest: semantic(rest, pool))), "3": lambda q: R.multi_signal(q, pool, adjacency(s, d), lambda rest: semantic(rest, pool, k=5))}
+    run = R.benchmark(queries, routers).join(queries.select("query_id", "original_case_id", "variant_type"), "query_id")
+    right = F.coalesce(c("matter_id") == c("original_case_id"), F.lit(False))
+    return run.groupBy("arm", "variant_type").agg(F.count("*").alias("n"), E.count_where(right).alias("correct"), E.count_where(c("status") == "filed").alias("filed"))
+
+
+@query(
+    "recognised_texts",
+    f"""WITH {CASES} SELECT doc_id AS query_id, cnr AS matched_case_id, 'exact' AS match_tier, doc_id % 3 > 0 AND regexp_matches(substr(cnr, 5), '[015]') AS ocr_corrected FROM cases""",
+)
+def recognised_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts as a scan gives them, their record numbers misread but for every third: records made of them, through the cascade."""
+    pool = cases(s, d)
+    cnr = F.when(c("doc_id") % 3 == 0, c("cnr")).otherwise(X.ocr_noised_cnr(c("cnr")))
+    texts = pool.select("doc_id", F.concat(F.lit("No. "), cnr, F.lit("\n"), c("extracted_text_snippet")).alias("text"))
+    records = R.records_of(texts, "doc_id", "text")
+    found = M.cascade(records, pool, lambda rest: semantic(rest, pool))
+    return found.join(records.select("query_id", "ocr_corrected"), "query_id").select("query_id", "matched_case_id", "match_tier", "ocr_corrected")
+
+
+@query(
+    "benchmark_queries",
+    f"""WITH {CASES} SELECT doc_id, ['exact_cnr', 'ocr_noised_cnr', 'fuzzy_parties', 'semantic_headnote'][doc_id % 4 + 1] AS test_type,
+    CASE doc_id % 4 WHEN 0 THEN cnr WHEN 1 THEN substr(cnr, 1, 4) || '-' || translate(substr(cnr, 5), '015', 'OIS') WHEN 2 THEN petitioner || ' v. ' || respondent ELSE substr(extracted_text_snippet, 1, 300) END AS query_text FROM cases""",
+)
+def benchmark_queries(s: SparkSession, d: str) -> DataFrame:
+    """A query of one of four kinds for each case."""
+    kinds = {"exact_cnr": c("cnr"), "ocr_noised_cnr": X.ocr_noised_cnr(c("cnr")), "fuzzy_parties": F.concat("petitioner", F.lit(" v. "), "respondent"), "semantic_headnote": F.substring("extracted_text_snippet", 1, 300)}
+    n = c("doc_id") % len(kinds)
+    pick = lambda xs: F.coalesce(*(F.when(n == i, x) for i, x in enumerate(xs)))
+    return cases(s, d).select("doc_id", pick(map(F.lit, kinds)).alias("test_type"), pick(kinds.values()).alias("query_text"))
