@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
-# Ordered rewritings as pattern and replacement, and the wording of the summary without a model.
+# Ordered rewritings as pattern and replacement, and the wording of documents and of the summary without a model.
 SYNONYMS = (
     (r"\bSpecial Leave Petition\b", "SLP"),
     (r"\bCivil Appeal\b", "appeal in this matter"),
@@ -34,6 +34,9 @@ HARD_SYNONYMS = (
     (r"(?i)\bHon'ble\b", "presiding"),
     (r"(?i)\bthis Court\b", "the forum"),
 )
+EASY = "## Case Summary\n\n**Case:** {number}\n**CNR:** {cnr}\n**Court:** {court}\n**Parties:** {pet} v. {res}\n**Decision Date:** {date}\n**Outcome:** {outcome}\n\n---\n\n### Facts and Findings\n\n{text}"
+MEDIUM = "## Case Note\n\n**Parties:** {pet} versus {res}\n**Court:** {court}\n**Year:** {year}\n**Date of Decision:** {date}\n**Result:** {outcome}\n\n---\n\n### Summary of Proceedings\n\n{text}"
+HARD = "## Legal Matter Summary\n\n*Year of decision: {year}*\n\n---\n\n### Overview\n\n{text}\n\n---\n\n*Note: This is a paraphrased summary for research purposes. No case identifiers are included.*"
 SUMMARY = """### Case Information
 - **Case Name:** {title}
 - **Court:** Supreme Court of India
@@ -127,22 +130,19 @@ def easy_document(record: dict[str, Column]) -> Column:
     """A case summary that names the case in full. record: columns by name, as in the pool."""
     title = lambda k: F.initcap(X.text_or_empty(record[k]))
     number = F.coalesce(F.nullif(record["nc_display"], F.lit("")), record["case_number"])
-    head = "## Case Summary\n\n**Case:** {number}\n**CNR:** {cnr}\n**Court:** {court}\n**Parties:** {pet} v. {res}\n**Decision Date:** {date}\n**Outcome:** {outcome}\n\n---\n\n### Facts and Findings\n\n{text}"
-    return X.strip(fill(head, number=number, cnr=record["cnr"], court=record["court_name"], pet=title("petitioner"), res=title("respondent"), date=record["decision_date"], outcome=record["disposal_nature"], text=wrapped(_text(record, 1400, "chunk_body"))))
+    return X.strip(fill(EASY, number=number, cnr=record["cnr"], court=record["court_name"], pet=title("petitioner"), res=title("respondent"), date=record["decision_date"], outcome=record["disposal_nature"], text=wrapped(_text(record, 1400, "chunk_body"))))
 
 
 def medium_document(record: dict[str, Column], kind: Column) -> Column:
     """A case note without numbers, its parties noised, its text in other words."""
-    head = "## Case Note\n\n**Parties:** {pet} versus {res}\n**Court:** {court}\n**Year:** {year}\n**Date of Decision:** {date}\n**Result:** {outcome}\n\n---\n\n### Summary of Proceedings\n\n{text}"
     parties = {k: noised_party(X.text_or_empty(record[c]), kind + i) for i, (k, c) in enumerate((("pet", "petitioner"), ("res", "respondent")))}
-    return X.strip(fill(head, **parties, court=record["court_name"], year=record["year"], date=record["decision_date"], outcome=record["disposal_nature"], text=wrapped(synonyms(_text(record, 1400, "chunk_body")))))
+    return X.strip(fill(MEDIUM, **parties, court=record["court_name"], year=record["year"], date=record["decision_date"], outcome=record["disposal_nature"], text=wrapped(synonyms(_text(record, 1400, "chunk_body")))))
 
 
 def hard_document(record: dict[str, Column], seed: Column) -> Column:
     """An overview without parties or numbers: other words, sentences in another order."""
     said = shuffled_sentences(synonyms(_text(record, 1600, "chunk_body", "chunk_holding"), hard=True), seed)
-    note = "*Note: This is a paraphrased summary for research purposes. No case identifiers are included.*"
-    return X.strip(fill("## Legal Matter Summary\n\n*Year of decision: {year}*\n\n---\n\n### Overview\n\n{text}\n\n---\n\n" + note, year=record["year"], text=wrapped(said)))
+    return X.strip(fill(HARD, year=record["year"], text=wrapped(said)))
 
 
 def summary(record: dict[str, Column], raw_text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import builders as B
@@ -17,7 +17,6 @@ from .catalogue import query
 from .fixtures import ARMS, CASES, arms, cases, table
 
 
-
 def projected(name, sql, **cols):
     """A query that computes columns of cases beside doc_id."""
     query(name, f"WITH {CASES} SELECT doc_id, {sql} FROM cases")(lambda s, d: cases(s, d).select("doc_id", *(c().alias(k) for k, c in cols.items())))
@@ -32,7 +31,20 @@ projected("norm_party", f"CASE WHEN {_party_sql} = '' THEN trim(regexp_replace(r
 projected("clean_party", r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Mr ' || regexp_replace(respondent, '[^A-Za-z ]', '', 'g') || ' & Ors.', '(?i)\b(Shri|Smt|Dr|Mr|Mrs|Ms|Prof|Justice|Er)\b', '', 'g'), '\s*&\s*', ' AND ', 'g'), '(?i)\bORS\b\.?', 'OTHERS', 'g'), '\s+', ' ', 'g')) AS party", party=lambda: X.clean_party(F.concat(F.lit("Mr "), F.regexp_replace("respondent", "[^A-Za-z ]", ""), F.lit(" & Ors."))))
 _head = lambda: F.when(c("doc_id") % 2 == 0, c("extracted_text_snippet")).otherwise(F.concat(F.lit("see "), F.lower("cnr"), F.lit(" "), "extracted_text_snippet"))
 projected("quality_flags", "doc_id % 7 = 0 AS no_cnr, petitioner = '' OR respondent = '' AS no_parties, doc_id % 2 = 0 AND length(extracted_text_snippet) > 100 AS mismatch", no_cnr=lambda: X.missing_cnr(F.when(c("doc_id") % 7 == 0, " None ").otherwise(c("cnr"))), no_parties=lambda: (c("petitioner") == "") | (c("respondent") == ""), mismatch=lambda: X.text_mismatch(_head(), c("cnr"), c("nc_display")))
-query("quality_summary", f"WITH {CASES} SELECT count(*) AS total, count(*) FILTER (doc_id % 7 = 0) AS no_cnr, round(100.0 * count(*) FILTER (doc_id % 7 = 0) / count(*), 4) AS no_cnr_pct, count(*) FILTER (petitioner = '' OR respondent = '') AS no_parties FROM cases")(lambda s, d: E.quality_summary(cases(s, d).select(X.missing_cnr(F.when(c("doc_id") % 7 == 0, "nan").otherwise(c("cnr"))).alias("no_cnr"), ((c("petitioner") == "") | (c("respondent") == "")).alias("no_parties"))).select("total", "no_cnr", "no_cnr_pct", "no_parties"))
+
+
+@query(
+    "quality_summary",
+    f"""WITH {CASES} SELECT count(*) AS total, count(*) FILTER (doc_id % 7 = 0) AS no_cnr, round(100.0 * count(*) FILTER (doc_id % 7 = 0) / count(*), 4) AS no_cnr_pct, count(*) FILTER (petitioner = '' OR respondent = '') AS no_parties
+        FROM cases""",
+)
+def quality_summary(s: SparkSession, d: str) -> DataFrame:
+    return (
+        E.quality_summary(cases(s, d).select(X.missing_cnr(F.when(c("doc_id") % 7 == 0, "nan").otherwise(c("cnr"))).alias("no_cnr"), ((c("petitioner") == "") | (c("respondent") == "")).alias("no_parties")))
+        .select("total", "no_cnr", "no_cnr_pct", "no_parties")
+    )
+
+
 projected("case_number_of", "CASE WHEN doc_id % 3 = 0 THEN cnr ELSE nc_display END AS number", number=lambda: X.case_number_of(F.when(c("doc_id") % 3 == 0, "").otherwise(c("nc_display")), c("cnr")))
 _doc = lambda: F.concat(F.lit("In re ESCR"), F.lpad((c("doc_id") * 7919).cast("string"), 8, "0"), c("year"), F.lit(" see "), c("nc_display"))
 projected("id_extract_strict", "'ESCR' || lpad(CAST(doc_id * 7919 AS VARCHAR), 8, '0') || year AS cnr, year, case_number", cnr=lambda: X.ids_strict(_doc())["cnr"], year=lambda: X.ids_strict(_doc())["year"], case_number=lambda: X.ids_strict(_doc())["case_number"])
@@ -49,19 +61,122 @@ projected("decision_date", "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(strptim
 projected("preview", "CASE WHEN length(extracted_text_snippet) > 300 THEN substr(extracted_text_snippet, 1, 300) || '...' ELSE extracted_text_snippet END AS preview", preview=lambda: X.preview(c("extracted_text_snippet")))
 projected("pdf_member", "CASE WHEN doc_id % 2 = 0 THEN cnr || '.pdf' ELSE cnr || '_EN.pdf' END AS member", member=lambda: X.pdf_member(F.when(c("doc_id") % 2 == 0, F.concat("cnr", F.lit(".pdf"))).otherwise(c("cnr"))))
 projected("labels_of_numbers", "CASE WHEN doc_id * 977 < 1024 THEN (doc_id * 977) || ' B' WHEN doc_id * 977 < 1048576 THEN printf('%.1f KB', doc_id * 977 / 1024.0) ELSE printf('%.2f MB', doc_id * 977 / 1048576.0) END AS size_label, printf('%.1f%%', doc_id * 0.125) AS confidence_label", size_label=lambda: X.file_size(c("doc_id") * 977), confidence_label=lambda: X.confidence_label(c("doc_id") * 0.125))
-query("text_clean", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('peti-' || chr(10) || 'tioner  ' || text, '(\b\w+)-\n(\w+\b)', '\1\2', 'g'), '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS cleaned FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", X.clean_extracted(F.concat(F.lit("peti-\ntioner  "), "text")).alias("cleaned")))
-query("latin_and_margins", r"""SELECT doc_id, regexp_replace(translate(text || '“x” – ok', '‘’“”–—•', '''''""--*'), '[^\x{00}-\x{FF}]', '?', 'g') AS latin FROM documents""")(lambda s, d: table(s, d, "documents").select("doc_id", X.sanitise_latin(F.concat("text", F.lit("“x” – ok"))).alias("latin")))
-query("three_chunks", """SELECT doc_id, n < 3400 AS fallback, CAST(n AS INT) AS full_text_len, CASE WHEN n < 3400 THEN t ELSE substr(t, 1, 1500) END AS opening,
+
+
+@query(
+    "text_clean",
+    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('peti-' || chr(10) || 'tioner  ' || text, '(\b\w+)-\n(\w+\b)', '\1\2', 'g'), '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS cleaned
+        FROM documents""",
+)
+def text_clean(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", X.clean_extracted(F.concat(F.lit("peti-\ntioner  "), "text")).alias("cleaned"))
+
+
+@query(
+    "latin_and_margins",
+    r"""SELECT doc_id, regexp_replace(translate(text || '“x” – ok', '‘’“”–—•', '''''""--*'), '[^\x{00}-\x{FF}]', '?', 'g') AS latin
+        FROM documents""",
+)
+def latin_and_margins(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", X.sanitise_latin(F.concat("text", F.lit("“x” – ok"))).alias("latin"))
+
+
+@query(
+    "three_chunks",
+    """SELECT doc_id, n < 3400 AS fallback, CAST(n AS INT) AS full_text_len, CASE WHEN n < 3400 THEN t ELSE substr(t, 1, 1500) END AS opening,
     CASE WHEN n < 3400 THEN t ELSE substr(t, greatest(1500, n // 4) + 1, least(greatest(1500, n // 4) + 1500, n - 400) - greatest(1500, n // 4)) END AS body, CASE WHEN n < 3400 THEN t ELSE right(t, 400) END AS holding
-    FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS n FROM documents)""")(lambda s, d: table(s, d, "documents").select("doc_id", C.three_chunks(c("text")).alias("c")).select("doc_id", "c.*"))
-query("incremental_chunks", "SELECT doc_id, substr(text, 1, 500) AS opening, substr(text, 1, 1000) AS body, right(text, 500) AS holding, substr(text, 1, 600) AS snippet, '01-01-' || (2010 + doc_id % 16) AS day FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.substring("text", 1, 500).alias("opening"), F.substring("text", 1, 1000).alias("body"), F.right("text", F.lit(500)).alias("holding"), F.substring("text", 1, 600).alias("snippet"), F.concat(F.lit("01-01-"), F.lit(2010) + c("doc_id") % 16).alias("day")))
-query("chunk_rows", f"""WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents), n AS (SELECT *, length(t) AS n, greatest(1500, length(t) // 4) AS a FROM k)
+    FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS n FROM documents)""",
+)
+def three_chunks(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", C.three_chunks(c("text")).alias("c")).select("doc_id", "c.*")
+
+
+@query(
+    "incremental_chunks",
+    """SELECT doc_id, substr(text, 1, 500) AS opening, substr(text, 1, 1000) AS body, right(text, 500) AS holding, substr(text, 1, 600) AS snippet, '01-01-' || (2010 + doc_id % 16) AS day
+        FROM documents""",
+)
+def incremental_chunks(s: SparkSession, d: str) -> DataFrame:
+    return (
+        table(s, d, "documents")
+        .select(
+            "doc_id",
+            F.substring("text", 1, 500).alias("opening"),
+            F.substring("text", 1, 1000).alias("body"),
+            F.right("text", F.lit(500)).alias("holding"),
+            F.substring("text", 1, 600).alias("snippet"),
+            F.concat(F.lit("01-01-"), F.lit(2010) + c("doc_id") % 16).alias("day"),
+        )
+    )
+
+
+@query(
+    "chunk_rows",
+    f"""WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents), n AS (SELECT *, length(t) AS n, greatest(1500, length(t) // 4) AS a FROM k)
     SELECT doc_id, x AS chunk_type, md5(substr(CASE WHEN n < 3400 THEN t WHEN x = 'opening' THEN substr(t, 1, 1500) WHEN x = 'body' THEN substr(t, a + 1, least(a + 1500, n - 400) - a) ELSE right(t, 400) END, 1, 1500)) AS digest
-    FROM n, unnest(['opening', 'body', 'holding']) AS u(x) WHERE t <> ''""")(lambda s, d: C.chunk_rows(cases(s, d)).join(cases(s, d).select("cnr", "doc_id"), "cnr").where("chunk_type <> 'snippet'").select("doc_id", "chunk_type", F.md5("text").alias("digest")))
-query("input_text", f"WITH {CASES} SELECT doc_id, substr('Parties: ' || petitioner || ' v. ' || respondent || chr(10) || extracted_text_snippet, 1, 1500) AS text FROM cases")(lambda s, d: cases(s, d).select("doc_id", C.input_text(c("petitioner"), c("respondent"), F.lit(""), c("extracted_text_snippet")).alias("text")))
-query("query_record", f"WITH {CASES} SELECT doc_id, substr(text, 1, 1500) AS opening, substr(text, 1501, 1500) AS body, substr(text, 3001, 1500) AS holding, TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN 'n/a' ELSE CAST(year AS VARCHAR) END AS INT) AS year FROM cases")(lambda s, d: table(s, d, "documents").select("doc_id", *(F.substring("text", a, 1500).alias(k) for k, a in (("opening", 1), ("body", 1501), ("holding", 3001))), F.when(c("doc_id") % 5 == 0, "n/a").otherwise((F.lit(2010) + c("doc_id") % 16).cast("string")).try_cast("int").alias("year")))
-query("paragraph_chunks")(lambda s, d: C.paragraph_chunks(table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("[Page "), t["turn"] + 1, F.lit("]\n"), t["text"])), "\n\n").alias("text")), "conv_id", "text", 1000, 200))
-query("page_carry_forward", "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS page FROM conversations")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.last(F.when(c("turn") % 3 == 0, c("turn")), True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("page")))
+    FROM n, unnest(['opening', 'body', 'holding']) AS u(x) WHERE t <> ''""",
+)
+def chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    return (
+        C.chunk_rows(cases(s, d))
+        .join(cases(s, d).select("cnr", "doc_id"), "cnr")
+        .where("chunk_type <> 'snippet'")
+        .select("doc_id", "chunk_type", F.md5("text").alias("digest"))
+    )
+
+
+@query(
+    "input_text",
+    f"""WITH {CASES} SELECT doc_id, substr('Parties: ' || petitioner || ' v. ' || respondent || chr(10) || extracted_text_snippet, 1, 1500) AS text
+        FROM cases""",
+)
+def input_text(s: SparkSession, d: str) -> DataFrame:
+    return cases(s, d).select("doc_id", C.input_text(c("petitioner"), c("respondent"), F.lit(""), c("extracted_text_snippet")).alias("text"))
+
+
+@query(
+    "query_record",
+    f"""WITH {CASES} SELECT doc_id, substr(text, 1, 1500) AS opening, substr(text, 1501, 1500) AS body, substr(text, 3001, 1500) AS holding, TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN 'n/a' ELSE CAST(year AS VARCHAR) END AS INT) AS year
+        FROM cases""",
+)
+def query_record(s: SparkSession, d: str) -> DataFrame:
+    return (
+        table(s, d, "documents")
+        .select(
+            "doc_id",
+            *(F.substring("text", a, 1500).alias(k) for k, a in (("opening", 1), ("body", 1501), ("holding", 3001))),
+            F.when(c("doc_id") % 5 == 0, "n/a").otherwise((F.lit(2010) + c("doc_id") % 16).cast("string")).try_cast("int").alias("year"),
+        )
+    )
+
+
+@query("paragraph_chunks")
+def paragraph_chunks(s: SparkSession, d: str) -> DataFrame:
+    return (
+        C.paragraph_chunks(
+            table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("[Page "), t["turn"] + 1, F.lit("]\n"), t["text"])), "\n\n").alias("text")),
+            "conv_id",
+            "text",
+            1000,
+            200,
+        )
+    )
+
+
+@query(
+    "page_carry_forward",
+    """SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS page
+        FROM conversations""",
+)
+def page_carry_forward(s: SparkSession, d: str) -> DataFrame:
+    return (
+        table(s, d, "conversations")
+        .select(
+            "conv_id",
+            "turn",
+            F.last(F.when(c("turn") % 3 == 0, c("turn")), True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("page"),
+        )
+    )
 
 
 def _batch(s, d):
@@ -70,42 +185,351 @@ def _batch(s, d):
     return b.unionByName(again)
 
 
-query("incremental_dedup", f"WITH {CASES} SELECT cnr, case_number, year, doc_id AS ordinal FROM cases WHERE year >= 2018")(lambda s, d: I.new_only(_batch(s, d), cases(s, d).where("year < 2018").select("cnr", "case_number")))
-query("stratified_sample", f"WITH {CASES} SELECT year, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (doc_id * 7919) % 1009, doc_id) AS n FROM cases) WHERE n <= 5")(lambda s, d: cases(s, d).withColumn("n", F.row_number().over(Window.partitionBy("year").orderBy((c("doc_id") * 7919) % 1009, "doc_id"))).where("n <= 5").select("year", "doc_id"))
-query("mode_cycle", f"WITH {CASES} SELECT doc_id, CASE (row_number() OVER (PARTITION BY year ORDER BY doc_id)) % 4 WHEN 0 THEN 'exact_cnr' WHEN 1 THEN 'ocr_noised_cnr' WHEN 2 THEN 'fuzzy_parties' ELSE 'semantic_headnote' END AS mode FROM cases")(lambda s, d: cases(s, d).withColumn("n", F.row_number().over(Window.partitionBy("year").orderBy("doc_id")) % 4).select("doc_id", F.element_at(F.array(*map(F.lit, ("exact_cnr", "ocr_noised_cnr", "fuzzy_parties", "semantic_headnote"))), c("n") + 1).alias("mode")))
-query("anti_semi_filters", f"WITH {CASES} SELECT count(*) FILTER (doc_id % 3 = 0) AS kept, count(*) FILTER (doc_id % 3 <> 0) AS rest FROM cases")(lambda s, d: (lambda a, k: a.join(k, "doc_id", "left_semi").agg(F.count("*").alias("kept")).join(a.join(k, "doc_id", "left_anti").agg(F.count("*").alias("rest")), F.lit(True)))(cases(s, d).select("doc_id"), cases(s, d).where("doc_id % 3 = 0").select("doc_id")))
-query("nearest_date", f"WITH {CASES}, x AS (SELECT year, doc_id, abs(date_diff('day', CAST(strptime(decision_date, '%d-%m-%Y') AS DATE), make_date(year, 6, 30))) AS n FROM cases) SELECT year, arg_min(doc_id, n * 1000000 + doc_id) AS doc_id FROM x GROUP BY year")(lambda s, d: cases(s, d).groupBy("year").agg(F.min_by("doc_id", F.struct(F.abs(F.datediff(X.decision_date(c("decision_date")), F.make_date("year", F.lit(6), F.lit(30)))), c("doc_id"))).alias("doc_id")))
-query("year_counts", f"WITH {CASES} SELECT year, count(*) AS n FROM cases GROUP BY year")(lambda s, d: cases(s, d).groupBy("year").agg(F.count("*").alias("n")))
-query("chunk_stats", "SELECT count(*) FILTER (n < 3400) AS fallback, round(median(n), 4) AS med, max(n) AS most FROM (SELECT CAST(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS INT) AS n FROM documents)")(lambda s, d: cases(s, d).agg(E.count_where(c("chunk_fallback")).alias("fallback"), F.round(F.median("full_text_len"), 4).alias("med"), F.max("full_text_len").alias("most")))
-query("triage_by_year", f"WITH {CASES} SELECT year, count(*) AS sampled, count(*) FILTER (length(text) >= 100) AS usable, CAST(floor(avg(length(text))) AS BIGINT) AS mean_chars FROM cases GROUP BY year")(lambda s, d: table(s, d, "documents").groupBy((F.lit(2010) + c("doc_id") % 16).cast("int").alias("year")).agg(F.count("*").alias("sampled"), E.count_where(F.length("text") >= 100).alias("usable"), F.floor(F.avg(F.length("text"))).alias("mean_chars")))
+@query("incremental_dedup", f"WITH {CASES} SELECT cnr, case_number, year, doc_id AS ordinal FROM cases WHERE year >= 2018")
+def incremental_dedup(s: SparkSession, d: str) -> DataFrame:
+    return I.new_only(_batch(s, d), cases(s, d).where("year < 2018").select("cnr", "case_number"))
+
+
+@query(
+    "stratified_sample",
+    f"""WITH {CASES} SELECT year, doc_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (doc_id * 7919) % 1009, doc_id) AS n
+        FROM cases)
+        WHERE n <= 5""",
+)
+def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .withColumn("n", F.row_number().over(Window.partitionBy("year").orderBy((c("doc_id") * 7919) % 1009, "doc_id")))
+        .where("n <= 5")
+        .select("year", "doc_id")
+    )
+
+
+@query(
+    "mode_cycle",
+    f"""WITH {CASES} SELECT doc_id, CASE (row_number() OVER (PARTITION BY year ORDER BY doc_id)) % 4 WHEN 0 THEN 'exact_cnr' WHEN 1 THEN 'ocr_noised_cnr' WHEN 2 THEN 'fuzzy_parties' ELSE 'semantic_headnote' END AS mode
+        FROM cases""",
+)
+def mode_cycle(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .withColumn("n", F.row_number().over(Window.partitionBy("year").orderBy("doc_id")) % 4)
+        .select(
+            "doc_id",
+            F.element_at(F.array(*map(F.lit, ("exact_cnr", "ocr_noised_cnr", "fuzzy_parties", "semantic_headnote"))), c("n") + 1).alias("mode"),
+        )
+    )
+
+
+@query(
+    "anti_semi_filters",
+    f"""WITH {CASES} SELECT count(*) FILTER (doc_id % 3 = 0) AS kept, count(*) FILTER (doc_id % 3 <> 0) AS rest
+        FROM cases""",
+)
+def anti_semi_filters(s: SparkSession, d: str) -> DataFrame:
+    a = cases(s, d).select("doc_id")
+    k = cases(s, d).where("doc_id % 3 = 0").select("doc_id")
+    return (
+        a.join(k, "doc_id", "left_semi")
+        .agg(F.count("*").alias("kept"))
+        .join(a.join(k, "doc_id", "left_anti").agg(F.count("*").alias("rest")), F.lit(True))
+    )
+
+
+@query(
+    "nearest_date",
+    f"""WITH {CASES}, x AS (SELECT year, doc_id, abs(date_diff('day', CAST(strptime(decision_date, '%d-%m-%Y') AS DATE), make_date(year, 6, 30))) AS n
+        FROM cases) SELECT year, arg_min(doc_id, n * 1000000 + doc_id) AS doc_id
+        FROM x
+        GROUP BY year""",
+)
+def nearest_date(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .groupBy("year")
+        .agg(F.min_by("doc_id", F.struct(F.abs(F.datediff(X.decision_date(c("decision_date")), F.make_date("year", F.lit(6), F.lit(30)))), c("doc_id"))).alias("doc_id"))
+    )
+
+
+@query("year_counts", f"WITH {CASES} SELECT year, count(*) AS n FROM cases GROUP BY year")
+def year_counts(s: SparkSession, d: str) -> DataFrame:
+    return cases(s, d).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query(
+    "chunk_stats",
+    """SELECT count(*) FILTER (n < 3400) AS fallback, round(median(n), 4) AS med, max(n) AS most
+        FROM (SELECT CAST(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS INT) AS n
+        FROM documents)""",
+)
+def chunk_stats(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .agg(
+            E.count_where(c("chunk_fallback")).alias("fallback"),
+            F.round(F.median("full_text_len"), 4).alias("med"),
+            F.max("full_text_len").alias("most"),
+        )
+    )
+
+
+@query(
+    "triage_by_year",
+    f"""WITH {CASES} SELECT year, count(*) AS sampled, count(*) FILTER (length(text) >= 100) AS usable, CAST(floor(avg(length(text))) AS BIGINT) AS mean_chars
+        FROM cases
+        GROUP BY year""",
+)
+def triage_by_year(s: SparkSession, d: str) -> DataFrame:
+    return (
+        table(s, d, "documents")
+        .groupBy((F.lit(2010) + c("doc_id") % 16).cast("int").alias("year"))
+        .agg(
+            F.count("*").alias("sampled"),
+            E.count_where(F.length("text") >= 100).alias("usable"),
+            F.floor(F.avg(F.length("text"))).alias("mean_chars"),
+        )
+    )
+
 
 # --- measures of routing
-query("routing_metrics", f"WITH {ARMS} SELECT stage, count(*) AS n, round(avg(CAST(correct AS INT)), 4) AS matter_accuracy, round(count(*) FILTER (status = 'filed' AND correct) / count(*) FILTER (status = 'filed'), 4) AS autofile_precision, round(count(*) FILTER (status = 'filed' AND correct) / count(*), 4) AS autofile_recall, round(count(*) FILTER (status <> 'filed') / count(*), 4) AS review_rate, count(*) FILTER (status = 'filed' AND NOT correct) AS harmful_error_count FROM arms WHERE arm = 1 GROUP BY GROUPING SETS ((), (stage))")(lambda s, d: E.routing(arms(s, d).where("arm = 1")))
-query("latency_percentiles", f"WITH {ARMS}, x AS (SELECT arm, list_sort(list(route_ms)) AS v FROM arms GROUP BY arm) SELECT arm, v[len(v) // 2 + 1] AS p50, v[CAST(floor(len(v) * 0.9) AS INT) + 1] AS p90 FROM x")(lambda s, d: E.order_statistics(arms(s, d), "arm", "route_ms", {"p50": 0.5, "p90": 0.9}))
-query("calibration_bands", f"WITH {ARMS} SELECT round_even(CAST(confidence AS DOUBLE) * 20, 0) / 20 AS band, count(*) AS n, count(*) FILTER (correct) AS correct FROM arms GROUP BY ALL")(lambda s, d: E.calibration(arms(s, d)))
+
+
+@query(
+    "routing_metrics",
+    f"""WITH {ARMS} SELECT stage, count(*) AS n, round(avg(CAST(correct AS INT)), 4) AS matter_accuracy, round(count(*) FILTER (status = 'filed' AND correct) / count(*) FILTER (status = 'filed'), 4) AS autofile_precision, round(count(*) FILTER (status = 'filed' AND correct) / count(*), 4) AS autofile_recall, round(count(*) FILTER (status <> 'filed') / count(*), 4) AS review_rate, count(*) FILTER (status = 'filed' AND NOT correct) AS harmful_error_count
+        FROM arms
+        WHERE arm = 1
+        GROUP BY GROUPING SETS ((), (stage))""",
+)
+def routing_metrics(s: SparkSession, d: str) -> DataFrame:
+    return E.routing(arms(s, d).where("arm = 1"))
+
+
+@query(
+    "latency_percentiles",
+    f"""WITH {ARMS}, x AS (SELECT arm, list_sort(list(route_ms)) AS v
+        FROM arms
+        GROUP BY arm) SELECT arm, v[len(v) // 2 + 1] AS p50, v[CAST(floor(len(v) * 0.9) AS INT) + 1] AS p90
+        FROM x""",
+)
+def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
+    return E.order_statistics(arms(s, d), "arm", "route_ms", {"p50": 0.5, "p90": 0.9})
+
+
+@query(
+    "calibration_bands",
+    f"""WITH {ARMS} SELECT round_even(CAST(confidence AS DOUBLE) * 20, 0) / 20 AS band, count(*) AS n, count(*) FILTER (correct) AS correct
+        FROM arms
+        GROUP BY ALL""",
+)
+def calibration_bands(s: SparkSession, d: str) -> DataFrame:
+    return E.calibration(arms(s, d))
+
+
 _PAIR = f"WITH {ARMS}, p AS (SELECT a.stage, a.correct AS a, b.correct AS b FROM arms a JOIN arms b USING (doc_id) WHERE a.arm = 1 AND b.arm = 3)"
-query("paired_contingency", f"{_PAIR} SELECT stage, count(*) FILTER (a AND b) AS both_right, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM p GROUP BY GROUPING SETS ((), (stage))")(lambda s, d: E.contingency(arms(s, d).where("arm = 1"), arms(s, d).where("arm = 3")))
-query("mcnemar", f"{_PAIR}, n AS (SELECT stage, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (b AND NOT a) AS c FROM p GROUP BY GROUPING SETS ((), (stage))) SELECT stage, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END, 6) AS p FROM n")(lambda s, d: E.contingency(arms(s, d).where("arm = 1"), arms(s, d).where("arm = 3")).select("stage", F.round(E.mcnemar(c("only_a"), c("only_b")), 6).alias("p")))
-query("regressions", f"WITH {ARMS} SELECT a.doc_id, b.status FROM arms a JOIN arms b USING (doc_id) WHERE a.arm = 1 AND b.arm = 2 AND a.correct AND NOT b.correct")(lambda s, d: arms(s, d).where("arm = 1 and correct").select("doc_id").join(arms(s, d).where("arm = 2 and not correct").select("doc_id", "status"), "doc_id"))
-query("tier_distribution", f"WITH {ARMS} SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM arms GROUP BY status")(lambda s, d: arms(s, d).groupBy("status").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * c("n") / F.sum("n").over(Window.partitionBy()), 4)))
-query("review_resolve", f"WITH {ARMS} SELECT doc_id, arg_max(status, arm) AS status FROM arms GROUP BY doc_id")(lambda s, d: I.latest(arms(s, d).select("doc_id", "arm", "status"), "doc_id", order="arm").select("doc_id", "status"))
-query("event_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")(lambda s, d: I.tumbling(table(s, d, "events")).withColumn("total", F.round("total", 3)).select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"))
-query("event_sliding", """WITH w AS (SELECT *, unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day']) AS start FROM events)
-    SELECT start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY ALL""")(lambda s, d: I.sliding(table(s, d, "events")).withColumn("total", F.round("total", 3)).select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"))
-query("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS fresh FROM events),
+
+
+@query(
+    "paired_contingency",
+    f"""{_PAIR} SELECT stage, count(*) FILTER (a AND b) AS both_right, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither
+        FROM p
+        GROUP BY GROUPING SETS ((), (stage))""",
+)
+def paired_contingency(s: SparkSession, d: str) -> DataFrame:
+    return E.contingency(arms(s, d).where("arm = 1"), arms(s, d).where("arm = 3"))
+
+
+@query(
+    "mcnemar",
+    f"""{_PAIR}, n AS (SELECT stage, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (b AND NOT a) AS c
+        FROM p
+        GROUP BY GROUPING SETS ((), (stage))) SELECT stage, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END, 6) AS p
+        FROM n""",
+)
+def mcnemar(s: SparkSession, d: str) -> DataFrame:
+    return (
+        E.contingency(arms(s, d).where("arm = 1"), arms(s, d).where("arm = 3"))
+        .select("stage", F.round(E.mcnemar(c("only_a"), c("only_b")), 6).alias("p"))
+    )
+
+
+@query(
+    "regressions",
+    f"""WITH {ARMS} SELECT a.doc_id, b.status
+        FROM arms a
+        JOIN arms b USING (doc_id)
+        WHERE a.arm = 1 AND b.arm = 2 AND a.correct AND NOT b.correct""",
+)
+def regressions_rows(s: SparkSession, d: str) -> DataFrame:
+    return (
+        arms(s, d)
+        .where("arm = 1 and correct")
+        .select("doc_id")
+        .join(arms(s, d).where("arm = 2 and not correct").select("doc_id", "status"), "doc_id")
+    )
+
+
+@query(
+    "tier_distribution",
+    f"""WITH {ARMS} SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct
+        FROM arms
+        GROUP BY status""",
+)
+def tier_distribution(s: SparkSession, d: str) -> DataFrame:
+    return (
+        arms(s, d)
+        .groupBy("status")
+        .agg(F.count("*").alias("n"))
+        .withColumn("pct", F.round(100.0 * c("n") / F.sum("n").over(Window.partitionBy()), 4))
+    )
+
+
+@query("review_resolve", f"WITH {ARMS} SELECT doc_id, arg_max(status, arm) AS status FROM arms GROUP BY doc_id")
+def review_resolve(s: SparkSession, d: str) -> DataFrame:
+    return I.latest(arms(s, d).select("doc_id", "arm", "status"), "doc_id", order="arm").select("doc_id", "status")
+
+
+@query(
+    "event_windows",
+    """SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total
+        FROM events
+        GROUP BY ALL""",
+)
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    return (
+        I.tumbling(table(s, d, "events"))
+        .withColumn("total", F.round("total", 3))
+        .select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    )
+
+
+@query(
+    "event_sliding",
+    """WITH w AS (SELECT *, unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day']) AS start FROM events)
+    SELECT start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY ALL""",
+)
+def event_sliding(s: SparkSession, d: str) -> DataFrame:
+    return (
+        I.sliding(table(s, d, "events"))
+        .withColumn("total", F.round("total", 3))
+        .select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    )
+
+
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS fresh FROM events),
     k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
-    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(*) AS n FROM k GROUP BY user_id, no""")(lambda s, d: I.sessions(table(s, d, "events")).select("user_id", *(c(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), "n"))
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(*) AS n FROM k GROUP BY user_id, no""",
+)
+def event_sessions(s: SparkSession, d: str) -> DataFrame:
+    return I.sessions(table(s, d, "events")).select("user_id", *(c(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), "n")
+
+
 projected("clean_party_upper", r"upper(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Mr ' || regexp_replace(petitioner, '[^A-Za-z ]', '', 'g') || ' & Ors.', '(?i)\b(Shri|Smt|Dr|Mr|Mrs|Ms|Prof|Justice|Er)\b', '', 'g'), '\s*&\s*', ' AND ', 'g'), '(?i)\bORS\b\.?', 'OTHERS', 'g'), '\s+', ' ', 'g'))) AS party", party=lambda: B.clean_party_upper(F.concat(F.lit("Mr "), F.regexp_replace("petitioner", "[^A-Za-z ]", ""), F.lit(" & Ors."))))
-query("synonyms", "SELECT doc_id, replace(replace(replace('The dismissed Civil Appeal of an FIR. ' || text, 'dismissed', 'rejected on merits'), 'Civil Appeal', 'appeal in this matter'), 'FIR.', 'first information report.') AS said FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", B.synonyms(F.concat(F.lit("The dismissed Civil Appeal of an FIR. "), "text")).alias("said")))
-query("text_or_fields", f"WITH {CASES} SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE petitioner || ' v. ' || respondent || ' ' || cnr || ' ' || nc_display END AS said FROM cases")(lambda s, d: cases(s, d).join(table(s, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", B.text_or_fields(F.when(c("doc_id") % 3 > 0, c("text")).otherwise(" "), c("petitioner"), c("respondent"), c("cnr"), c("nc_display")).alias("said")))
-query("summary_template", f"WITH {CASES} SELECT doc_id, 'Disposed by Supreme Court of India via Disposed on ' || decision_date || '.' AS history, '- **CNR / Neutral Citation:** ' || cnr || ' (' || nc_display || ')' AS ids FROM cases")(lambda s, d: cases(s, d).select("doc_id", F.split(B.summary({k: c(k) for k in ("cnr", "nc_display", "case_number", "decision_date", "chunk_opening", "chunk_holding", "chunk_body", "extracted_text_snippet")}, F.lit("")), "\n").alias("x")).select("doc_id", F.element_at(F.filter("x", lambda y: F.startswith(y, F.lit("Disposed by"))), 1).alias("history"), F.element_at(F.filter("x", lambda y: F.startswith(y, F.lit("- **CNR"))), 1).alias("ids")))
-query("demo_documents")(lambda s, d: (lambda r: cases(s, d).select("doc_id", *(f.alias(k) for k, f in (("easy", B.easy_document(r)), ("medium", B.medium_document(r, c("doc_id"))), ("hard", B.hard_document(r, c("doc_id")))))))({k: c(k) for k in ("cnr", "case_number", "nc_display", "petitioner", "respondent", "court_name", "year", "decision_date", "chunk_opening", "chunk_body", "chunk_holding", "extracted_text_snippet")} | {"disposal_nature": F.lit("Disposed")}))
-query("custom_pool", f"WITH {CASES} SELECT count(*) AS n, count(*) FILTER (is_custom) AS n_custom FROM (SELECT cnr, false AS is_custom FROM cases UNION ALL SELECT 'NEW' || doc_id, true FROM cases WHERE doc_id % 4 = 1)")(lambda s, d: R.with_custom(cases(s, d).select("cnr", "case_number"), cases(s, d).where("doc_id % 4 < 2").select(F.when(c("doc_id") % 4 == 1, F.concat(F.lit("NEW"), "doc_id")).otherwise(c("cnr")).alias("cnr"), "case_number", F.lit(True).alias("is_custom"))).agg(F.count("*").alias("n"), E.count_where(c("is_custom")).alias("n_custom")))
-query("summaries")(lambda s, d: summarise.summaries(table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("[Page "), t["turn"] + 1, F.lit("]\n"), t["text"])), "\n\n").alias("text")), FirstSentences(), "conv_id", "text", 1000, 200))
-query("two_pass_pages", """WITH p AS (SELECT page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS t FROM pages), q AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN substr(t, 1, 20) ELSE t END AS own FROM p),
+
+
+@query(
+    "synonyms",
+    """SELECT doc_id, replace(replace(replace('The dismissed Civil Appeal of an FIR. ' || text, 'dismissed', 'rejected on merits'), 'Civil Appeal', 'appeal in this matter'), 'FIR.', 'first information report.') AS said
+        FROM documents""",
+)
+def synonyms_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", B.synonyms(F.concat(F.lit("The dismissed Civil Appeal of an FIR. "), "text")).alias("said"))
+
+
+@query(
+    "text_or_fields",
+    f"""WITH {CASES} SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE petitioner || ' v. ' || respondent || ' ' || cnr || ' ' || nc_display END AS said
+        FROM cases""",
+)
+def text_or_fields(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+        .select(
+            "doc_id",
+            B.text_or_fields(F.when(c("doc_id") % 3 > 0, c("text")).otherwise(" "), c("petitioner"), c("respondent"), c("cnr"), c("nc_display")).alias("said"),
+        )
+    )
+
+
+@query(
+    "summary_template",
+    f"""WITH {CASES} SELECT doc_id, 'Disposed by Supreme Court of India via Disposed on ' || decision_date || '.' AS history, '- **CNR / Neutral Citation:** ' || cnr || ' (' || nc_display || ')' AS ids
+        FROM cases""",
+)
+def summary_template(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .select(
+            "doc_id",
+            F.split(B.summary({k: c(k) for k in ("cnr", "nc_display", "case_number", "decision_date", "chunk_opening", "chunk_holding", "chunk_body", "extracted_text_snippet")}, F.lit("")), "\n").alias("x"),
+        )
+        .select(
+            "doc_id",
+            F.element_at(F.filter("x", lambda y: F.startswith(y, F.lit("Disposed by"))), 1).alias("history"),
+            F.element_at(F.filter("x", lambda y: F.startswith(y, F.lit("- **CNR"))), 1).alias("ids"),
+        )
+    )
+
+
+@query("demo_documents")
+def demo_documents(s: SparkSession, d: str) -> DataFrame:
+    r = (
+        {k: c(k) for k in ("cnr", "case_number", "nc_display", "petitioner", "respondent", "court_name", "year", "decision_date", "chunk_opening", "chunk_body", "chunk_holding", "extracted_text_snippet")} | {"disposal_nature": F.lit("Disposed")}
+    )
+    return (
+        cases(s, d)
+        .select(
+            "doc_id",
+            *(f.alias(k) for k, f in (("easy", B.easy_document(r)), ("medium", B.medium_document(r, c("doc_id"))), ("hard", B.hard_document(r, c("doc_id"))))),
+        )
+    )
+
+
+@query(
+    "custom_pool",
+    f"""WITH {CASES} SELECT count(*) AS n, count(*) FILTER (is_custom) AS n_custom
+        FROM (SELECT cnr, false AS is_custom
+        FROM cases UNION ALL SELECT 'NEW' || doc_id, true
+        FROM cases
+        WHERE doc_id % 4 = 1)""",
+)
+def custom_pool(s: SparkSession, d: str) -> DataFrame:
+    return (
+        R.with_custom(
+            cases(s, d).select("cnr", "case_number"),
+            cases(s, d).where("doc_id % 4 < 2").select(F.when(c("doc_id") % 4 == 1, F.concat(F.lit("NEW"), "doc_id")).otherwise(c("cnr")).alias("cnr"), "case_number", F.lit(True).alias("is_custom")),
+        )
+        .agg(F.count("*").alias("n"), E.count_where(c("is_custom")).alias("n_custom"))
+    )
+
+
+@query("summaries")
+def summaries_rows(s: SparkSession, d: str) -> DataFrame:
+    return (
+        summarise.summaries(
+            table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("[Page "), t["turn"] + 1, F.lit("]\n"), t["text"])), "\n\n").alias("text")),
+            FirstSentences(),
+            "conv_id",
+            "text",
+            1000,
+            200,
+        )
+    )
+
+
+@query(
+    "two_pass_pages",
+    """WITH p AS (SELECT page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS t FROM pages), q AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN substr(t, 1, 20) ELSE t END AS own FROM p),
     d AS (SELECT *, length(own) >= 50 AND length(regexp_replace(own, '[^\\p{L}\\p{N}]', '', 'g')) / greatest(length(own), 1) >= 0.4 AS direct FROM q)
     SELECT page_id AS page, CASE WHEN direct THEN 'direct_parse' ELSE 'ocr' END AS method, CASE WHEN direct THEN 'passed' WHEN page_id % 5 = 0 OR page_id % 7 = 0 OR 60 + page_id % 41 < 80 THEN 'needs_review' ELSE 'passed' END AS status,
-        length(CASE WHEN direct THEN own WHEN page_id % 5 = 0 THEN '' ELSE t END) AS n_chars FROM d""".replace("\\\\", "\\"))(lambda s, d: _two_pass(s, d))
+        length(CASE WHEN direct THEN own WHEN page_id % 5 = 0 THEN '' ELSE t END) AS n_chars FROM d""".replace("\\\\", "\\"),
+)
+def two_pass_pages(s: SparkSession, d: str) -> DataFrame:
+    return _two_pass(s, d)
 
 
 def _two_pass(s, d):

@@ -22,20 +22,112 @@ def _pages(s, d):
 
 
 _PAGES = "pp AS (SELECT page_id % 25 AS job, page_id AS page, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS text, CASE WHEN 60 + page_id % 41 >= 80 THEN 'passed' ELSE 'needs_review' END AS status, CAST(60 + page_id % 41 AS DOUBLE) AS confidence, CASE WHEN page_id % 17 = 0 THEN 'unreadable' END AS error, CASE WHEN page_id % 2 = 0 THEN 'ocr' ELSE 'direct_parse' END AS method FROM pages)"
-query("page_parse_quality", rf"WITH {_PAGES} SELECT page, length(text) >= 50 AND length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / greatest(length(text), 1) >= 0.4 AS parseable FROM pp")(lambda s, d: _pages(s, d).select("page", X.parseable(c("text")).alias("parseable")))
-query("page_status", f"WITH {_PAGES} SELECT page, CASE WHEN confidence >= 80 THEN 'passed' ELSE 'needs_review' END AS status FROM pp")(lambda s, d: _pages(s, d).select("page", O.page_status(c("confidence")).alias("status")))
-query("doc_method", f"WITH {_PAGES} SELECT job, CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'hybrid' END AS method FROM pp GROUP BY job")(lambda s, d: _pages(s, d).groupBy("job").agg(O.document_method(c("method")).alias("method")))
-query("needs_review_count", f"WITH {_PAGES} SELECT job, count(*) FILTER (status = 'needs_review') AS n FROM pp GROUP BY job")(lambda s, d: _pages(s, d).groupBy("job").agg(E.count_where(c("status") == "needs_review").alias("n")))
-query("job_text_export", f"WITH {_PAGES} SELECT job, string_agg('================ PAGE ' || page || ' ================' || CASE WHEN status = 'needs_review' THEN '  [NEEDS REVIEW]' ELSE '' END || chr(10) || CASE WHEN error IS NOT NULL THEN '[ERROR: ' || error || ']' ELSE text END, chr(10) || chr(10) ORDER BY page) AS text FROM pp GROUP BY job")(lambda s, d: R.job_text(_pages(s, d)))
-query("word_counts", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')) AS INT) AS n_words, length(text) AS n_chars FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.words(c("text"))).alias("n_words"), F.length("text").cast("long").alias("n_chars")))
-query("token_bbox", f"WITH {TOKENS} SELECT page, seq, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / length(text) AS char_width FROM tokens")(lambda s, d: O.derived(tokens(s, d)).select("page", c("seq").cast("long").alias("seq"), "cx", "cy", "char_width"))
-query("token_lines", f"WITH {TOKENS} SELECT page, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL")(lambda s, d: tokens(s, d).groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda t: t["text"]), " ").alias("text")))
-query("token_words", rf"""WITH {TOKENS}, m AS (SELECT page, median((x1 - x0) / length(text)) AS m FROM tokens WHERE x1 - x0 > 5 AND length(text) >= 2 GROUP BY page),
+
+
+@query(
+    "page_parse_quality",
+    rf"""WITH {_PAGES} SELECT page, length(text) >= 50 AND length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / greatest(length(text), 1) >= 0.4 AS parseable
+        FROM pp""",
+)
+def page_parse_quality(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page", X.parseable(c("text")).alias("parseable"))
+
+
+@query(
+    "page_status",
+    f"WITH {_PAGES} SELECT page, CASE WHEN confidence >= 80 THEN 'passed' ELSE 'needs_review' END AS status FROM pp",
+)
+def page_status(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page", O.page_status(c("confidence")).alias("status"))
+
+
+@query(
+    "doc_method",
+    f"""WITH {_PAGES} SELECT job, CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'hybrid' END AS method
+        FROM pp
+        GROUP BY job""",
+)
+def doc_method(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).groupBy("job").agg(O.document_method(c("method")).alias("method"))
+
+
+@query("needs_review_count", f"WITH {_PAGES} SELECT job, count(*) FILTER (status = 'needs_review') AS n FROM pp GROUP BY job")
+def needs_review_count(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).groupBy("job").agg(E.count_where(c("status") == "needs_review").alias("n"))
+
+
+@query(
+    "job_text_export",
+    f"""WITH {_PAGES} SELECT job, string_agg('================ PAGE ' || page || ' ================' || CASE WHEN status = 'needs_review' THEN '  [NEEDS REVIEW]' ELSE '' END || chr(10) || CASE WHEN error IS NOT NULL THEN '[ERROR: ' || error || ']' ELSE text END, chr(10) || chr(10)
+        ORDER BY page) AS text
+        FROM pp
+        GROUP BY job""",
+)
+def job_text_export(s: SparkSession, d: str) -> DataFrame:
+    return R.job_text(_pages(s, d))
+
+
+@query(
+    "word_counts",
+    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '')) AS INT) AS n_words, length(text) AS n_chars
+        FROM documents""",
+)
+def word_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.size(X.words(c("text"))).alias("n_words"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "token_bbox",
+    f"""WITH {TOKENS} SELECT page, seq, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) / length(text) AS char_width
+        FROM tokens""",
+)
+def token_bbox(s: SparkSession, d: str) -> DataFrame:
+    return O.derived(tokens(s, d)).select("page", c("seq").cast("long").alias("seq"), "cx", "cy", "char_width")
+
+
+@query(
+    "token_lines",
+    f"WITH {TOKENS} SELECT page, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM tokens GROUP BY ALL",
+)
+def token_lines(s: SparkSession, d: str) -> DataFrame:
+    return (
+        tokens(s, d)
+        .groupBy("page", "line")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda t: t["text"]), " ").alias("text"))
+    )
+
+
+@query(
+    "token_words",
+    rf"""WITH {TOKENS}, m AS (SELECT page, median((x1 - x0) / length(text)) AS m FROM tokens WHERE x1 - x0 > 5 AND length(text) >= 2 GROUP BY page),
     k AS (SELECT t.*, coalesce(m, 12.0) AS m, (x1 - x0) / length(text) AS cw FROM tokens t LEFT JOIN m USING (page)),
     f AS (SELECT *, CASE WHEN (x0 - lag(x1) OVER w) / greatest(cw, coalesce(lag(cw) OVER w, 0), m, 4.0) < 0.45 THEN 0 ELSE 1 END AS apart FROM k WINDOW w AS (PARTITION BY page, line ORDER BY x0, seq)),
-    n AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY page, line ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM f) SELECT page, line, word_no, string_agg(text, '' ORDER BY x0, seq) AS word FROM n GROUP BY ALL""")(lambda s, d: O.gap_words(tokens(s, d), page="page"))
-query("page_confidence", f"WITH {TOKENS} SELECT page, round(avg(score) * 100, 4) AS confidence, count(*) FILTER (score < 0.75) AS low FROM tokens GROUP BY page")(lambda s, d: tokens(s, d).groupBy("page").agg(F.round(F.avg(c("score").cast("double")) * 100, 4).alias("confidence"), E.count_where(c("score") < 0.75).alias("low")))
-query("ocr_line_source", f"WITH {TOKENS} SELECT 'page' || page AS name, CAST(seq AS INT) AS seq, text, x0, y1 FROM tokens")(lambda s, d: R.recognised(tokens(s, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "score", "x0", "y0", "x1", "y1"))).alias("t")).select(F.concat(F.lit("page"), "page", F.lit("\t"), F.to_json(F.transform("t", lambda t: F.struct(t["text"].alias("transcription"), F.array(F.array(t["x0"], t["y0"]), F.array(t["x1"], t["y0"]), F.array(t["x1"], t["y1"]), F.array(t["x0"], t["y1"])).alias("points"), t["score"].cast("double").alias("score"))))).alias("value"))).select("name", "seq", "text", c("x0"), c("y1")))
+    n AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY page, line ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM f) SELECT page, line, word_no, string_agg(text, '' ORDER BY x0, seq) AS word FROM n GROUP BY ALL""",
+)
+def token_words(s: SparkSession, d: str) -> DataFrame:
+    return O.gap_words(tokens(s, d), page="page")
+
+
+@query(
+    "page_confidence",
+    f"""WITH {TOKENS} SELECT page, round(avg(score) * 100, 4) AS confidence, count(*) FILTER (score < 0.75) AS low
+        FROM tokens
+        GROUP BY page""",
+)
+def page_confidence(s: SparkSession, d: str) -> DataFrame:
+    return (
+        tokens(s, d)
+        .groupBy("page")
+        .agg(F.round(F.avg(c("score").cast("double")) * 100, 4).alias("confidence"), E.count_where(c("score") < 0.75).alias("low"))
+    )
+
+
+@query("ocr_line_source", f"WITH {TOKENS} SELECT 'page' || page AS name, CAST(seq AS INT) AS seq, text, x0, y1 FROM tokens")
+def ocr_line_source(s: SparkSession, d: str) -> DataFrame:
+    return (
+        R.recognised(tokens(s, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "score", "x0", "y0", "x1", "y1"))).alias("t")).select(F.concat(F.lit("page"), "page", F.lit("\t"), F.to_json(F.transform("t", lambda t: F.struct(t["text"].alias("transcription"), F.array(F.array(t["x0"], t["y0"]), F.array(t["x1"], t["y0"]), F.array(t["x1"], t["y1"]), F.array(t["x0"], t["y1"])).alias("points"), t["score"].cast("double").alias("score"))))).alias("value")))
+        .select("name", "seq", "text", c("x0"), c("y1"))
+    )
 
 
 def _bundle(s, d):
@@ -45,9 +137,48 @@ def _bundle(s, d):
     return k.select("doc_id", F.concat(head, F.lit("\n"), R.body(c("chunk_opening"), c("chunk_body"), c("chunk_holding"), rel)).alias("doc"), "chunk_opening", "chunk_holding")
 
 
-query("bundle_parse", f"WITH {CASES} SELECT doc_id, cnr, CAST(year AS VARCHAR) AS year, nullif(petitioner, '') AS petitioner, true AS same, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS n_related FROM cases")(lambda s, d: _bundle(s, d).select("doc_id", R.parse_field(c("doc"), "cnr").alias("cnr"), R.parse_field(c("doc"), "year").alias("year"), R.parse_field(c("doc"), "petitioner").alias("petitioner"), ((R.parse_chunk(c("doc"), "Opening") == X.strip(c("chunk_opening"))) & (R.parse_chunk(c("doc"), "Holding") == X.strip(c("chunk_holding")))).alias("same"), F.size(X.related_ids(c("doc"))).alias("n_related")))
-query("bundle_stats", "SELECT count(*) AS written, count(*) FILTER (doc_id % 3 = 0) AS links, count(*) FILTER (doc_id % 3 <> 0) AS unlinked FROM documents")(lambda s, d: _bundle(s, d).agg(F.count("*").alias("written"), F.floor(F.sum(F.size(X.related_ids(c("doc")))) / 2).alias("links"), E.count_where(F.size(X.related_ids(c("doc"))) == 0).alias("unlinked")))
-query("json_round_trip", f"WITH {CASES} SELECT doc_id, petitioner AS p, respondent AS r FROM cases")(lambda s, d: cases(s, d).select("doc_id", F.from_json(F.to_json(F.array("petitioner", "respondent")), "array<string>").alias("a")).select("doc_id", c("a")[0].alias("p"), c("a")[1].alias("r")))
+@query(
+    "bundle_parse",
+    f"""WITH {CASES} SELECT doc_id, cnr, CAST(year AS VARCHAR) AS year, nullif(petitioner, '') AS petitioner, true AS same, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS n_related
+        FROM cases""",
+)
+def bundle_parse(s: SparkSession, d: str) -> DataFrame:
+    return (
+        _bundle(s, d)
+        .select(
+            "doc_id",
+            R.parse_field(c("doc"), "cnr").alias("cnr"),
+            R.parse_field(c("doc"), "year").alias("year"),
+            R.parse_field(c("doc"), "petitioner").alias("petitioner"),
+            ((R.parse_chunk(c("doc"), "Opening") == X.strip(c("chunk_opening"))) & (R.parse_chunk(c("doc"), "Holding") == X.strip(c("chunk_holding")))).alias("same"),
+            F.size(X.related_ids(c("doc"))).alias("n_related"),
+        )
+    )
+
+
+@query(
+    "bundle_stats",
+    """SELECT count(*) AS written, count(*) FILTER (doc_id % 3 = 0) AS links, count(*) FILTER (doc_id % 3 <> 0) AS unlinked
+        FROM documents""",
+)
+def bundle_stats(s: SparkSession, d: str) -> DataFrame:
+    return (
+        _bundle(s, d)
+        .agg(
+            F.count("*").alias("written"),
+            F.floor(F.sum(F.size(X.related_ids(c("doc")))) / 2).alias("links"),
+            E.count_where(F.size(X.related_ids(c("doc"))) == 0).alias("unlinked"),
+        )
+    )
+
+
+@query("json_round_trip", f"WITH {CASES} SELECT doc_id, petitioner AS p, respondent AS r FROM cases")
+def json_round_trip(s: SparkSession, d: str) -> DataFrame:
+    return (
+        cases(s, d)
+        .select("doc_id", F.from_json(F.to_json(F.array("petitioner", "respondent")), "array<string>").alias("a"))
+        .select("doc_id", c("a")[0].alias("p"), c("a")[1].alias("r"))
+    )
 
 
 # --- exports
