@@ -33,6 +33,7 @@ PARAPHRASES = (
 PARENT_CASE = r"(?i)\b(?:M\.?A\.?|Misc\.?\s*Appl\.?)\s*(?:No\.?\s*\d+\s*(?:of|/)\s*\d+)?\s*\bin\b\s*(.*)"
 RELATED = r"\[([\w\-]+)\]\(/matters/[\w\-]+\.md\)"
 BENCH = r"\[([A-Z][A-Za-z.\s\*]{3,80}?,?\s*JJ?\.?)\]"
+MISREAD_CNR = r"(?i)\bESCR[-_\s]*[A-Za-z0-9]{10,14}\b"
 STRICT_CNR = r"\bESCR\d{12}\b"
 CITATION = r"\b(\d{4})\s*INSC\s*(\d+)\b"
 LOOSE_YEAR = r"\b(20[12]\d)\b"
@@ -121,12 +122,26 @@ def repair_id(token: Column) -> Column:
 def ocr_safe_cnr(text: Column) -> Column:
     """struct(cnr, corrected): the number as it stands, else of the repaired tokens the first that is one."""
     direct = cnr_ocr(text)
-    tokens = F.regexp_extract_all(text, F.lit(r"\bESCR[-_\s]*[A-Za-z0-9]{10,14}\b"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(MISREAD_CNR), F.lit(0))
     fixed = F.filter(F.transform(tokens, repair_id), lambda t: t.rlike(r"^ESCR\d{10,12}$"))
     found = F.coalesce(F.get(fixed, 0), F.lit(""))
     return F.when(direct != "", F.struct(direct.alias("cnr"), F.lit(False).alias("corrected"))).otherwise(F.struct(found.alias("cnr"), (found != "").alias("corrected")))
 
 
+def fields_ocr_safe(text: Column) -> Column:
+    """struct(cnr, case_number, year, corrected) of a recognised text: its record number as it stands, else repaired; its citation; the year of either, else one that the text names. Missing ones are empty."""
+    text = text_or_empty(text)
+    cite = [F.regexp_extract(text, f"(?i){CITATION}", i) for i in (1, 2)]
+    number = F.when(cite[0] != "", F.concat_ws("INSC", *cite)).otherwise("")
+    loose = F.regexp_extract(text, LOOSE_YEAR, 1)
+
+    def found(safe: Column) -> Column:
+        year = F.coalesce(F.nullif(F.right(safe["cnr"], F.lit(4)), F.lit("")), F.nullif(cite[0], F.lit("")), loose)
+        return F.struct(safe["cnr"].alias("cnr"), number.alias("case_number"), year.alias("year"), safe["corrected"].alias("corrected"))
+
+    return F.get(F.transform(F.array(ocr_safe_cnr(text)), found), 0)
+
+
 def parent_case(x: Column) -> Column:
     found = strip(F.regexp_extract(text_or_empty(x), PARENT_CASE, 1))
     return F.nullif(F.upper(rules(found, (r"^[(\[{\s\"'`]+", ""), (r"[)\]}\s\"'`]+$", ""))), F.lit(""))
@@ -244,3 +259,9 @@ def corpus_name(name: Column) -> Column:
 
 def duration(seconds: Column) -> Column:
     return F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("int").cast("string"), F.lit("s"))
+
+
+def canonical(petitioner: Column, respondent: Column, text: Column, court: Column) -> list[Column]:
+    """parties (a JSON array), snippet (the first 1500 characters) and court_name (the default where there is none) of a canonical record."""
+    named = F.coalesce(blank_to_null(court), F.lit("Supreme Court of India"))
+    return [F.to_json(F.array(text_or_empty(petitioner), text_or_empty(respondent))).alias("parties"), F.substring(text_or_empty(text), 1, 1500).alias("snippet"), named.alias("court_name")]

@@ -538,3 +538,27 @@ def _two_pass(s, d):
     own = p.select("doc", "page", F.when(c("page") % 3 == 0, F.substring("t", 1, 20)).otherwise(c("t")).alias("text"))
     read = p.where("page % 5 > 0").select("doc", "page", c("t").alias("text"), (60 + c("page") % 41).cast("double").alias("confidence"), F.when(c("page") % 7 == 0, "failed").alias("error"))
     return summarise.two_pass(own, read).select("page", "method", "status", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "ocr_fields",
+    f"""WITH {CASES} SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN cnr ELSE '' END AS cnr, year || 'INSC' || (doc_id + 1) AS case_number, CAST(year AS VARCHAR) AS year, doc_id % 3 = 1 AS corrected
+        FROM cases""",
+)
+def ocr_fields(s: SparkSession, d: str) -> DataFrame:
+    """Texts with a record number as it stands, misread, or none, and a citation in small letters."""
+    n = c("doc_id") % 3
+    number = F.when(n == 0, c("cnr")).when(n == 1, F.concat(F.lit("escr-"), F.translate(F.substring("cnr", 5, 12), "015", "OIS"))).otherwise("")
+    text = F.concat(F.lit("No. "), number, F.lit(" cited as "), F.lower("nc_display"))
+    return cases(s, d).select("doc_id", X.fields_ocr_safe(text).alias("f")).select("doc_id", "f.*")
+
+
+@query(
+    "canonical_projection",
+    f"""WITH {CASES} SELECT doc_id, '["' || replace(petitioner, '"', '\\"') || '","' || replace(respondent, '"', '\\"') || '"]' AS parties, extracted_text_snippet AS snippet, CASE WHEN doc_id % 4 = 0 THEN 'Supreme Court of India' ELSE court_name END AS court_name
+        FROM cases WHERE NOT contains(petitioner || respondent, chr(92))""",
+)
+def canonical_projection(s: SparkSession, d: str) -> DataFrame:
+    own = cases(s, d).where(~F.contains(F.concat("petitioner", "respondent"), F.lit("\\")))
+    court = F.when(c("doc_id") % 4 == 0, F.lit(" ")).otherwise(c("court_name"))
+    return own.withColumn("court_name", court).select("doc_id", *X.canonical(c("petitioner"), c("respondent"), c("extracted_text_snippet"), c("court_name")))

@@ -247,6 +247,34 @@ def custom_case_rejects(s: SparkSession, d: str) -> DataFrame:
     return R.custom_cases(_custom(s, d))[1].select("doc_id", "title")
 
 
+def _served(s: SparkSession, d: str) -> DataFrame:
+    """Pages of which even ones have a raw text, every third an empty geometry text."""
+    p = _pages(s, d).withColumns({"reviewed": c("page") % 10 == 0, "raw_text": F.when(c("page") % 2 == 0, F.concat("text", F.lit(" raw"))), "geometry_text": F.when(c("page") % 3 == 0, "").otherwise(F.concat(F.lit("set "), "text"))})
+    return p.withColumn("confidence", F.when(c("page") % 4 > 0, c("confidence") + 0.123))
+
+
+@query(
+    "served_pages",
+    f"""WITH {_PAGES} SELECT page, status, page % 10 = 0 AS reviewed, CASE WHEN page % 4 > 0 THEN round(confidence + 0.123, 2) END AS confidence, CASE WHEN page % 4 > 0 THEN printf('%.1f%%', confidence + 0.123) END AS confidence_display,
+    md5(CASE WHEN page % 2 = 0 THEN text || ' raw' ELSE text END) AS raw_digest, md5(CASE WHEN page % 3 > 0 THEN 'set ' || text ELSE text END) AS geometry_digest FROM pp""",
+)
+def served_pages(s: SparkSession, d: str) -> DataFrame:
+    shown = R.serialised(_served(s, d))
+    return shown.select("page", "status", "reviewed", "confidence", "confidence_display", F.md5("raw_text").alias("raw_digest"), F.md5("geometry_text").alias("geometry_digest"))
+
+
+@query(
+    "job_raw_json_export",
+    f"""WITH {_PAGES} SELECT job, '{{"job_id":' || job || ',"filename":"f' || job || '.pdf","engine":"first","processing_time_seconds":1.5,"pages":[' ||
+    string_agg('{{"page":' || page || ',"method":"' || method || '",' || CASE WHEN page % 2 = 0 THEN '"raw_text":' || CAST(to_json(text || ' raw') AS VARCHAR) || ',' ELSE '' END ||
+        '"geometry_text":' || CAST(to_json(CASE WHEN page % 3 = 0 THEN '' ELSE 'set ' || text END) AS VARCHAR) || ',"final_text":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY page) || ']}}' AS json FROM pp GROUP BY job""",
+)
+def job_raw_json_export(s: SparkSession, d: str) -> DataFrame:
+    pages = _served(s, d)
+    jobs = pages.select("job").distinct().withColumns({"filename": F.concat(F.lit("f"), "job", F.lit(".pdf")), "engine": F.lit("first"), "seconds": F.lit(1.5)})
+    return R.job_raw_json(pages, jobs)
+
+
 # --- recognised pages
 ODD = ("TFP", "B", "|", "§ 3", "~~", "$", "12", "Page 7", "Supreme Court Reports", "No.", ";;", "x", "€€", "s.", "(", "上")
 

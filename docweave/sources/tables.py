@@ -90,6 +90,21 @@ def job_json(pages: DataFrame, job: str = "job") -> DataFrame:
     return pages.groupBy(job).agg(F.to_json(F.struct(F.first(job).alias("job"), F.count("*").alias("n_pages"), each.alias("pages"))).alias("json"))
 
 
+def serialised(pages: DataFrame) -> DataFrame:
+    """pages(job, page, method, confidence, status, reviewed, error, text, raw_text, geometry_text) as the service shows them: confidence to two places and as a label, the page's text where it has no raw or geometry text."""
+    own = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("text"))
+    cols = {"confidence": F.bround("confidence", 2), "confidence_display": X.confidence_label(F.col("confidence")), "raw_text": own("raw_text"), "geometry_text": own("geometry_text")}
+    return pages.withColumns(cols)
+
+
+def job_raw_json(pages: DataFrame, jobs: DataFrame, job: str = "job") -> DataFrame:
+    """(job, json): jobs(job, filename, engine, seconds) with their pages(job, page, method, raw_text, geometry_text, text) in order; what is null is left out."""
+    each = F.array_sort(F.collect_list(F.struct("page", "method", "raw_text", "geometry_text", F.col("text").alias("final_text"))))
+    held = pages.groupBy(job).agg(each.alias("pages"))
+    whole = F.to_json(F.struct(F.col(job).alias("job_id"), "filename", "engine", F.col("seconds").alias("processing_time_seconds"), F.coalesce("pages", F.array().cast(held.schema["pages"].dataType)).alias("pages")))
+    return jobs.join(held, job, "left").select(job, whole.alias("json"))
+
+
 def custom_cases(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected new cases: a title, and a record or case number, are needed; parties come from the title if not given."""
     ok = (X.text_or_empty(F.col("title")) != "") & ((X.text_or_empty(F.col("cnr")) != "") | (X.text_or_empty(F.col("case_number")) != ""))
