@@ -129,13 +129,16 @@ def described(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         top = np.argpartition(-flat, k - 1, axis=1)[:, :k]
         of, at = np.nonzero(np.take_along_axis(flat, top, 1) > 0)
         top = top[of, at]
+        # positions in the flattened pictures: one index for each pixel that is looked at
+        pixels, near, points = smooth.ravel(), _DY * w + _DX, _POINTS[..., 0] * w + _POINTS[..., 1]
         for lo in range(0, len(of), SLICE):
             n = of[lo : lo + SLICE]
             cy, cx = top[lo : lo + SLICE] // r.shape[2] + PATCH, top[lo : lo + SLICE] % r.shape[2] + PATCH
-            patch = smooth[n[:, None], cy[:, None] + _DY, cx[:, None] + _DX]
+            centre = (n * h + cy) * w + cx
+            patch = pixels.take(centre[:, None] + near)
             turn = np.arctan2((patch * _DY).sum(-1), (patch * _DX).sum(-1)) % (2 * np.pi)
-            points = _POINTS[(turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS]
-            tests = smooth[n[:, None, None], cy[:, None, None] + points[..., 0], cx[:, None, None] + points[..., 1]]
+            turn = (turn * TURNS / (2 * np.pi)).round().astype(int) % TURNS
+            tests = pixels.take(centre[:, None, None] + points[turn])
             keys = np.packbits(tests[..., 1] - tests[..., 0] > MARGIN * patch.std(-1)[:, None], axis=-1)
             ox, oy = ((cx + 0.5) / scale - 0.5).round().astype(np.int64), ((cy + 0.5) / scale - 0.5).round().astype(np.int64)
             place = (ox // unit << 16 | oy // unit).astype(np.uint32).view(np.int32)
