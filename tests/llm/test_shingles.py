@@ -52,3 +52,66 @@ def test_links_of_a_group_connect_what_all_pairs_connect():
             old, new = max(r[i], r[j]), min(r[i], r[j])
             r[:] = [new if x == old else x for x in r]
     assert root == got
+
+
+def bits_apart(a, b):
+    return (int.from_bytes(shingles.fingerprint(a), "little") ^ int.from_bytes(shingles.fingerprint(b), "little")).bit_count()
+
+
+def test_fingerprint_counts_bits_of_mixed_hashes():
+    def mixed(h, k):
+        m = (1 << 64) - 1
+        x = (h + k * 0x9E3779B97F4A7C15) & m
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    for text in (None, "one two", "a b c d e f g h", " ".join(f"w{i}" for i in range(shingles.SLICE * 2 + 9))):
+        hashes = [int(h) for h in shingles.shingles(text)]
+        words = [sum(1 << b for b in range(64) if 2 * sum(mixed(h, k) >> b & 1 for h in hashes) > len(hashes)) for k in range(1, 5)]
+        assert shingles.fingerprint(shingles.shingles(text)) == b"".join(w.to_bytes(8, "little") for w in words)
+
+
+def test_radius_reaches_the_similarity():
+    """Pairs of similarity 0.8 or a little more are within the radius, whatever their sizes; sets without a common shingle aren't."""
+    rng = np.random.default_rng(5)
+    far = []
+    for both, a, b in ((4, 1, 0), (8, 1, 1), (12, 3, 0), (12, 1, 2), (40, 5, 5), (400, 50, 50), (400, 100, 0)):
+        for _ in range(400 if both < 100 else 60):
+            h = rng.integers(0, 1 << 63, both + a + b, dtype=np.uint64) * np.uint64(2)
+            x, y = np.sort(h[: both + a]), np.sort(np.concatenate([h[:both], h[both + a :]]))
+            assert shingles.similarity(x, y) >= 0.8 and bits_apart(x, y) <= shingles.RADIUS
+            far.append(bits_apart(x, rng.integers(0, 1 << 63, both, dtype=np.uint64)))
+    assert min(far) > shingles.RADIUS
+
+
+def test_links_come_from_trees_of_fingerprints(spark):
+    """What the trees don't find isn't linked: at any radius the links are those of fingerprints within it that pass the exact check."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (30, 80, 300):
+        for _ in range(5):
+            words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            texts.append(" ".join(words))
+            for k in (1, n // 60 + 1, n // 30 + 1):
+                other = list(words)
+                other[n // 3 : n // 3 + k] = [f"x{rng.integers(0, 10**9)}" for _ in range(k)]
+                texts.append(" ".join(other))
+    for i in range(40):  # a group for many shards
+        texts.append(" ".join(f"g{k}" if k // 4 != i else "odd" for k in range(160)))
+    sets = [shingles.shingles(t) for t in texts]
+    apart = {(i, j): bits_apart(sets[i], sets[j]) for i in range(len(sets)) for j in range(i) if shingles.similarity(sets[i], sets[j]) >= 0.8}
+    near = sorted(apart.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = set()
+    for radius in (-1, near[len(near) // 8], near[len(near) // 2], shingles.RADIUS):
+        root, got = list(range(len(sets))), list(range(len(sets)))
+        for r, pairs in ((root, [p for p, d in apart.items() if d <= radius]), (got, shingles.linked(sets, radius=radius))):
+            for i, j in pairs:
+                old, new = max(r[i], r[j]), min(r[i], r[j])
+                r[:] = [new if x == old else x for x in r]
+        assert got == root
+        groups.add(len(set(root)))
+        if radius in (-1, near[len(near) // 2]):
+            assert {r.doc_id: r.component_id for r in shingles.near_copies(df, id_col="doc_id", block=7, radius=radius).collect()} == dict(enumerate(root))
+    assert len(groups) >= 3
