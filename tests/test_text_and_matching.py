@@ -65,6 +65,11 @@ def test_input_text_of_a_text_without_words(spark, tmp_path):
     assert spark.range(1).select(chunks.input_text(F.lit(""), F.lit(""), F.lit(""), F.lit("x"))).first()[0] == "x"
 
 
+def test_mismatch_counts_the_characters_as_they_stand(spark):
+    df = spark.createDataFrame([("ß" + "x" * 99,), ("ß" + "x" * 100,)], "t string")
+    assert [r.m for r in df.select(X.text_mismatch(F.col("t"), F.lit("ESCR1")).alias("m")).collect()] == [False, True]
+
+
 def test_segments_are_the_cheapest():
     words = ocr.Vocabulary(["ab", "abc", "cd", "d", "bcd", "a"])
 
