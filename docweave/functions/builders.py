@@ -74,9 +74,9 @@ Applied established principles of Supreme Court adjudication.
 """
 
 
-def clean_party_upper(x: Column) -> Column:
+def clean_party_upper(x: Column, another: bool = True) -> Column:
     """The cleaned party in capitals, as yearly ingest keeps it."""
-    return F.upper(X.clean_party(x))
+    return F.upper(X.clean_party(x, another))
 
 
 def synonyms(x: Column, hard: bool = False) -> Column:

@@ -74,6 +74,8 @@ def test_clean_party_query_keeps_anr(spark, tmp_path):
     """Its SQL has no rule for ANR; the operator has."""
     d = table_of_texts(spark, tmp_path, {0: "a b c le anr de g"})
     assert catalogue.queries()["clean_party"](spark, d).first().party == "le anr de AND OTHERS"
+    d = table_of_texts(spark, tmp_path / "upper", {0: "le anr de a b c"})
+    assert catalogue.queries()["clean_party_upper"](spark, d).first().party == "LE ANR DE AND OTHERS"
     assert spark.range(1).select(X.clean_party(F.lit("Mr le anr. de"))).first()[0] == "le ANOTHER de"
 
 
