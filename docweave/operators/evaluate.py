@@ -75,8 +75,17 @@ def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
 def mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p-value of discordant counts; 1 if there are none."""
     n, low = b + c, F.least(b, c)
-    term = lambda k: F.exp(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.log((n - k + i) / i)).otherwise(F.lit(0.0))) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.lit(0.0), lambda s, k: s + term(k))
+    upto = lambda first: F.sequence(F.lit(first).cast("long"), F.greatest(low, F.lit(1)))
+    # the last term of the tail, and the sum of all as a multiple of it, from the last one down
+    last = F.exp(F.aggregate(upto(1), F.lit(0.0), lambda s, i: s + F.when(i <= low, F.log((n - low + i) / i)).otherwise(F.lit(0.0))) - n * F.log(F.lit(2.0)))
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def down(s: Column, i: Column) -> Column:
+        k = low - i + 1
+        term = F.when(k > 0, s["term"] * k / (n - k + 1)).otherwise(F.lit(0.0))
+        return F.struct((s["sum"] + term).alias("sum"), term.alias("term"))
+
+    tail = last * F.aggregate(upto(1), start, down)["sum"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
