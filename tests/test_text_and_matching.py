@@ -1,6 +1,8 @@
 """Golden pairs, and joins against brute force."""
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from docweave.functions import text as X
 from docweave.operators import evaluate as E
 from docweave.operators import ocr, summarise
 from docweave.operators import matching as M
-from docweave.plans import catalogue, linkage
+from docweave.plans import catalogue, fixtures, linkage
 from docweave.sources import boundary, tables
 from docweave.streaming import ingest
 
@@ -79,6 +81,48 @@ def test_clean_party_query_keeps_anr(spark, tmp_path):
     assert spark.range(1).select(X.clean_party(F.lit("Mr le anr. de"))).first()[0] == "le ANOTHER de"
 
 
+def test_strip_takes_white_space_of_any_kind(spark):
+    some = [chr(i) + "a b" + chr(i) * 2 for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000] + ["", " \n", "a\n", "\u3000a \x85"]
+    df = spark.createDataFrame([(x,) for x in some], "t string")
+    wanted = X.rules(F.col("t"), (r"(?U)^\s+", ""), (r"(?U)\s+$", ""))
+    assert df.where(X.strip(F.col("t")) != wanted).count() == 0
+
+
+def test_mcnemar_of_many_is_exact_and_linear(spark):
+    """The exact p-value of 20,000 discordant pairs, for which each of 10,000 terms took as many steps as its number before."""
+    df = spark.createDataFrame([(9900, 10100), (3, 9), (0, 5), (0, 0), (7, 7), (9000, 11000)], "b long, c long")
+    for r in df.select("b", "c", E.mcnemar(F.col("b"), F.col("c")).alias("p")).collect():
+        n, low = r.b + r.c, min(r.b, r.c)
+        assert r.p == pytest.approx(min(1.0, 2 * sum(math.comb(n, k) for k in range(low + 1)) / 2**n) if n < 100 else _tail(n, low), rel=1e-8)
+
+
+def _tail(n, low):
+    unit = 1 << 200
+    term = total = unit  # of the last term, the others down from it
+    for k in range(low, 0, -1):
+        term = term * k // (n - k + 1)
+        total += term
+    return min(1.0, 2 * float(Fraction(math.comb(n, low) * total, unit << n)))
+
+
+def test_pages_are_shuffled_once_and_before_their_words_are_rows(spark, tmp_path):
+    d = table_of_texts(spark, tmp_path, {0: " ".join(f"w{i}" for i in range(450)), 3: "", 7: " one two\n"})
+    plan = catalogue.queries()["token_lines"](spark, d)
+    assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    rows = {(r.page, r.line): r.text for r in plan.collect()}
+    assert len(rows) == 17 * 2 + 5 + 1 and rows[700000, 0] == "one two" and rows[2, 4] == "w448 w449"
+    facts = {r.page: (r.raw_text, r.low_confidence, r.artefacts) for r in ocr.facts(fixtures.tokens(spark, d), "page").collect()}
+    assert facts == {r.page: (r.raw_text, r.low_confidence, r.artefacts) for r in ocr.processed(fixtures.tokens(spark, d), "page").collect()}
+
+
+def test_year_band_sizes_count_the_pairs(spark):
+    df = spark.createDataFrame([(i, y) for i, y in enumerate([2001, 2002, 2002, 2004, None, 2010])], "doc_id long, year int")
+    pairs = M.year_band(df, df).groupBy("q_doc_id").count()
+    assert sorted(map(tuple, M.year_band_sizes(df, df, "doc_id").collect())) == sorted(map(tuple, pairs.collect()))
+    plan = M.year_band_sizes(df, df, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan.split("Join")[1]  # the pool is counted before it is joined
+
+
 def test_segments_are_the_cheapest():
     words = ocr.Vocabulary(["ab", "abc", "cd", "d", "bcd", "a"])
 
